@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from jobtrail.llm.bpe_codec import bpe_codec
 from jobtrail.llm.common import table
 from jobtrail.llm.decontaminate import decontaminate
+from jobtrail.llm.fingerprints import fingerprints
 from jobtrail.llm.near_dedup import near_dedup
+from jobtrail.llm.sharding import shard
 from jobtrail.llm.token_counts import token_counts
 from jobtrail.llm.token_output import token_output
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,6 +33,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +46,6 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_token_output, op5_near_dedup, op8_decontaminate, op9_bpe_codec)
+    f.__name__: f for f in (op1_fingerprints, op2_token_counts, op4_token_output, op5_near_dedup, op7_sharding, op8_decontaminate, op9_bpe_codec)
 }
 ORACLE_SQL: dict[str, str] = {}
