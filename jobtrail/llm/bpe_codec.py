@@ -27,7 +27,7 @@ CUT_BITS = 9
 #: A cut that near to the one before is none; runs of one byte stay whole.
 LEAST = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-KEPT_PIECES, KEPT_CHUNKS = 200_000, 20_000
+KEPT_PIECES, KEPT_CHUNKS = 100_000, 10_000
 #: Marks the last token of a word.
 WORD_END = "</w>"
 

@@ -38,7 +38,7 @@ class Known:
         self.limit, self.words, self.others, self.add = limit, words, others, add
         self.new: dict = {}
         self.old: dict = {}
-        gc.disable()  # a worker's values hold no cycles; scans of millions of them cost more than the work
+        gc.set_threshold(200_000, 50, 100)  # scans of so many values, which hold no cycles, cost more than the work
 
     def resolve(self, pieces: set) -> Callable:
         """See that every piece has a value; returns the look-up, good until the next call."""

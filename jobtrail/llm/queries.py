@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,10 +12,40 @@ from jobtrail.llm.bpe_codec import bpe_codec
 from jobtrail.llm.common import table
 from jobtrail.llm.decontaminate import decontaminate
 from jobtrail.llm.fingerprints import fingerprints
+from jobtrail.llm.html_extract import main_text
 from jobtrail.llm.near_dedup import near_dedup
+from jobtrail.llm.quality import quality
 from jobtrail.llm.sharding import shard
 from jobtrail.llm.token_counts import token_counts
 from jobtrail.llm.token_output import token_output
+from jobtrail.llm.toxicity import toxicity
+
+
+#: Runs over all words of all documents.
+DECONTAMINATE_SQL = r"""
+with doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
+), item as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark
+), win as (
+  select distinct item_id, least(10, len(w)) n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') t
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from item where len(w) > 0)
+), sizes as (select distinct n from win
+), hit as (
+  select p.doc_id, p.i, p.n, win.item_id
+  from (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') t
+        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from doc, sizes where len(w) >= n)) p
+  join win on win.t = p.t and win.n = p.n
+), covered as (
+  select doc_id, count(distinct k)::bigint n_hit from (select doc_id, unnest(range(i, i + n)) k from hit) group by doc_id
+), named as (
+  select doc_id, count(*)::bigint n_items, string_agg(item, ',' order by item) items
+  from (select distinct doc_id, item_id::varchar item from hit) group by doc_id
+)
+select doc.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+       sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from doc left join covered using (doc_id) left join named using (doc_id)
+"""
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +56,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,6 +68,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -45,7 +84,13 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_token_counts, op4_token_output, op5_near_dedup, op7_sharding, op8_decontaminate, op9_bpe_codec)
-}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_toxicity, op4_token_output, op5_near_dedup, op6_html_extract, op7_sharding, op8_decontaminate, op9_bpe_codec, op10_quality)
+} | {"pipeline": corpus_pipeline.run}
+
+#: Shards depend on the schedule, models on training, digests on the tokenizers library: SQL has none of these.
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": DECONTAMINATE_SQL}

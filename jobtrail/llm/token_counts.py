@@ -21,7 +21,7 @@ from jobtrail.llm.pieces import Known, keys_of
 
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
 NO_RANK = np.iinfo(np.int64).max
 
 

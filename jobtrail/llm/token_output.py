@@ -33,7 +33,7 @@ SEEK_MAGIC, SKIPPABLE, IDS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 DESCRIPTOR = 0x80
 #: Byte-level BPE shows a space as this letter.
 SPACE = "\u0120"
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
 LEVEL = 3
 
 
