@@ -9,9 +9,10 @@
 4. Pairs are confirmed on the full sets, computed from the texts.
 5. Confirmed links form components (min-label propagation on stars).
 6. A bucket whose members are still in several components may hide links between members
-   that its hub does not share: pairs across components that pass bounds on size and on a
-   one-bit sketch are confirmed as well, and components are joined. So no pair that meets
-   in a bucket is left out unless both are already in one component.
+   that its hub does not share: pairs across components that pass bounds on size, on a
+   parity map and on a one-bit sketch are confirmed as well, and components are joined. So no
+   pair that meets in a bucket is left out unless both are already in one component. The
+   parity map bounds exactly: sets differ in at least as many shingles as their maps in bits.
 
 With 28 bands of 6 bins a pair of similarity 0.85 meets in no bucket with probability 2e-6.
 """
@@ -33,6 +34,8 @@ BINS = BANDS * ROWS
 MOST_BITS = 35
 #: Sketches of smaller sets vary more; their pairs are not dropped by bits.
 SMALL = 400
+#: Longs of the parity map: bit k tells whether an odd number of shingles hash to k.
+PARITY = 16
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -92,7 +95,8 @@ def sketcher():
                 b = W.mixed(b * np.uint64(W.BASE) + v[r::ROWS])
             bands.append(b.view(np.int64))
             one = (W.mixed(v + np.uint64(5)) & np.uint64(1)).reshape(3, 56)
-            bits.append((one * weights).sum(axis=1).astype(np.int64))
+            odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+            bits.append(np.append((one * weights).sum(axis=1).astype(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
         return [batch.column(0), n, low, high, pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
 
     return sketch
@@ -177,13 +181,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     placed = members.select("bucket", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    bits = reps.select("doc_id", "n_shingles", F.col("bits")[0].alias("x"), F.col("bits")[1].alias("y"), F.col("bits")[2].alias("z"))
+    bits = reps.select("doc_id", "n_shingles", F.col("bits")[0].alias("x"), F.col("bits")[1].alias("y"), F.col("bits")[2].alias("z"), *(F.col("bits")[3 + k].alias(f"m{k}") for k in range(PARITY)))
     left = store(placed.join(split, "bucket", "left_semi").join(bits, "doc_id"), "left")
     one, two = left.alias("p"), left.alias("q")
     apart = "p.bucket = q.bucket and p.doc_id < q.doc_id and p.component <> q.component"
     sizes = f"100 * least(p.n_shingles, q.n_shingles) >= {PERCENT} * greatest(p.n_shingles, q.n_shingles)"
     near = f"(least(p.n_shingles, q.n_shingles) < {SMALL} or bit_count(p.x ^ q.x) + bit_count(p.y ^ q.y) + bit_count(p.z ^ q.z) <= {MOST_BITS})"
-    rest = one.join(two, F.expr(f"{apart} and {sizes} and {near}")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
+    differ = " + ".join(f"bit_count(p.m{k} ^ q.m{k})" for k in range(PARITY))
+    parity = f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (p.n_shingles + q.n_shingles)"
+    rest = one.join(two, F.expr(f"{apart} and {sizes} and {near} and {parity}")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = store(confirmed(rest, texts), "links")
     if not more.isEmpty():
