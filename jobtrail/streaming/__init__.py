@@ -1 +1 @@
-
+"""Incremental ingestion and aggregates by Structured Streaming."""
