@@ -153,7 +153,7 @@ def task_key(task_id: Column) -> Column:
 
 def submit_time_of(history: Column) -> Column:
     """The 13 digits of submitTime after JOB_SUBMITTED in a raw history file; 0 if not there."""
-    digits = F.regexp_extract(history, r'(?s)"type":"JOB_SUBMITTED.*?"submitTime":(\d{13})', 1)
+    digits = F.regexp_extract(history, r'(?s)"type"\s*:\s*"JOB_SUBMITTED.*?"submitTime"\s*:\s*(\d{13})', 1)
     return F.coalesce(digits.try_cast("bigint"), F.lit(0))
 
 
