@@ -63,6 +63,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0)) == 1
 
 
+def sampled_labels(labels: DataFrame, label: Column, most: int) -> DataFrame:
+    """(doc_id, label) of rows not held out, about `most` of them if there are more.
+
+    The sample is taken by a hash of doc_id, so each task takes its own share, and its size
+    is bounded: it can be broadcast.
+    """
+    rows = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = rows.groupBy("doc_id").agg(label.cast("int").alias("label")).where("label is not null")
+    n = known.count()
+    return known if n <= most else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """mapInArrow with a per-task setup: make() returns f(batch) -> columns in the order of schema."""
     fields = df.sparkSession.createDataFrame([], schema).schema

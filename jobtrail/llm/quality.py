@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.llm import words as W
-from jobtrail.llm.common import bounded_batches, held_out, map_batches, store, texts_of
+from jobtrail.llm.common import bounded_batches, held_out, map_batches, sampled_labels, store, texts_of
 
-#: Bound of the sample of labelled rows the rules are learned from, taken by a hash of doc_id.
+#: Of more labelled rows about so many, taken by a hash of doc_id, are learned from.
 SAMPLE = 20_000
 TREES, DEPTH, PENALTY = 24, 3, 0.002
 STATISTICS = (
@@ -100,8 +100,8 @@ def paths(node, above: tuple = ()) -> set[tuple]:
 
 
 def learn(stats: DataFrame) -> Rules:
-    """Learn from rows (doc_id, stats, label); at most SAMPLE of them are used."""
-    rows = store(stats.orderBy(F.xxhash64("doc_id")).limit(SAMPLE).select(F.col("label").cast("double").alias("label"), "stats"), "quality-sample")
+    """Learn from a bounded number of rows (doc_id, stats, label)."""
+    rows = store(stats.select(F.col("label").cast("double").alias("label"), "stats"), "quality-sample")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     share = ((ones or 0) + 1) / (n + 2)
     if not n or ones in (0, n):  # nothing to tell apart: the share of label 1
@@ -125,7 +125,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
     of one kind, all rows get the (smoothed) share of label 1. An empty table gives no rows.
     """
     stats = store(with_statistics(docs), "quality-stats")
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    model = learn(stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+    known = sampled_labels(labels, F.min("quality"), SAMPLE)
+    model = learn(stats.join(F.broadcast(known), "doc_id"))
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("stats")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

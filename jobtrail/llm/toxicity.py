@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import bounded_batches, held_out, map_batches, store
+from jobtrail.llm.common import bounded_batches, held_out, map_batches, sampled_labels, store
 
-#: Bound of the sample of labelled rows to learn from, taken by a hash of doc_id.
+#: Of more labelled rows about so many, taken by a hash of doc_id, are learned from.
 SAMPLE = 12_000
 #: Bounds of what the driver gets of them: spans of either kind, landmarks of either kind.
 SPANS, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 3000, 96, 96
@@ -243,15 +243,26 @@ def with_margins(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through margins, with smoothed labels (Platt)."""
-    ones = label.sum()
-    target = np.where(label > 0, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
-    x, w = np.column_stack([margin, np.ones(len(margin))]), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - target) + 1e-3 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
+    """Slope and shift of the logistic curve through margins, with smoothed labels (Platt).
+
+    Fitted again without rows whose label the curve all but excludes: wrong labels would
+    flatten it.
+    """
+    rows = np.ones(len(margin), bool)
+    for _ in range(4):
+        x, y = np.column_stack([margin, np.ones(len(margin))])[rows], label[rows]
+        ones = y.sum()
+        target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+        w = np.array([1.0, 0.0])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ (p - target) + 1e-2 * w
+            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+            w = w - np.clip(np.linalg.solve(h, g), -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(margin * w[0] + w[1], -30, 30)))
+        rows = np.abs(p - label) < 0.9
+        if not 0 < label[rows].sum() < rows.sum():
+            break
     return float(w[0]), float(w[1])
 
 
@@ -268,8 +279,8 @@ def harder(clean: dict[str, float], tops: list[tuple[str, int, int]]) -> tuple[d
 
 
 def learn(sample: DataFrame) -> Model | float:
-    """Learn from rows (doc_id, text, label); a number if there is nothing to tell apart."""
-    rows = store(sample.orderBy(F.xxhash64("doc_id")).limit(SAMPLE).select("doc_id", "text", F.col("label").cast("int").alias("label")), "toxic-sample")
+    """Learn from a bounded number of rows (doc_id, text, label); a number if there is nothing to tell apart."""
+    rows = store(sample.select("doc_id", "text", "label"), "toxic-sample")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     share = ((ones or 0) + 1) / (n + 2)
     if not n or ones in (0, n):
@@ -290,10 +301,10 @@ def learn(sample: DataFrame) -> Model | float:
         return share
     labelled = rows.select("doc_id", "label")
     for _ in range(ROUNDS):
-        tops = with_margins(rows, model).join(labelled, "doc_id").groupBy(F.lower("top")).agg(F.sum("label"), F.sum(1 - F.col("label"))).collect()  # at most SAMPLE
+        tops = with_margins(rows, model).join(labelled, "doc_id").groupBy(F.lower("top")).agg(F.sum("label"), F.sum(1 - F.col("label"))).collect()  # about SAMPLE at most
         toxic, clean = harder(clean, tops)
         model = learn_spans(toxic, clean) or model
-    seen = with_margins(rows, model).join(labelled, "doc_id").select("margin", "label").collect()  # at most SAMPLE
+    seen = with_margins(rows, model).join(labelled, "doc_id").select("margin", "label").collect()  # about SAMPLE at most
     margin, label = (np.array(x, float) for x in zip(*seen))
     slope, shift = curve(margin, label)
     return Model(model.keys, model.values, model.bias, max(slope, 1e-3), shift)
@@ -309,8 +320,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).join(known, "doc_id")
+    known = sampled_labels(labels, F.max("toxic"), SAMPLE)
+    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     model = learn(rows)
     if isinstance(model, float):
         scored = docs.select("doc_id", F.lit(model).alias("score"))
