@@ -13,7 +13,8 @@ import re
 import string
 from collections.abc import Callable, Iterable
 
-_ODD = re.compile(r"\s | \s")
+#: A space beside other white space; it begins with a literal, which the search skips to.
+_ODD = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Beyond this letter lower-casing or composition may change what counts as a letter.
 _PLAIN = "\u0130"

@@ -10,11 +10,13 @@ decompresses only their frames.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.llm.common import bounded_batches, map_batches, partitions, shared_dir, store
-from jobtrail.llm.pieces import Known, keys_of
+from jobtrail.llm.pieces import keys_of
 
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, SKIPPABLE, IDS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
@@ -33,54 +35,137 @@ SEEK_MAGIC, SKIPPABLE, IDS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 DESCRIPTOR = 0x80
 #: Byte-level BPE shows a space as this letter.
 SPACE = "\u0120"
-KEPT_PIECES = 150_000
+KEPT_PIECES = 250_000
 LEVEL = 3
 
 
+class Index(dict):
+    """Numbers pieces in the order they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = k = len(self)
+        self.fresh.append(piece)
+        return k
+
+
+class Tokens:
+    """Ids of pieces in flat arrays, by the pieces' numbers; two generations of bounded size."""
+
+    def __init__(self, path: str, limit: int = KEPT_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.encode = tokenizer.encode_batch_fast
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.array([(tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
+        self.limit, self.old = limit, None
+        self.begin()
+
+    def begin(self) -> None:
+        self.index, self.flat, self.start, self.size = Index(), np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def keep(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], more: int) -> None:
+        """Add blocks (numbers of pieces, sizes, ids one after another) for that many more pieces."""
+        offset = len(self.flat)
+        self.start, self.size = np.append(self.start, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int64))
+        for number, size, ids in blocks:
+            self.start[number] = offset + np.cumsum(size) - size
+            self.size[number] = size
+            offset += len(ids)
+        self.flat = np.concatenate([self.flat, *(ids for _, _, ids in blocks)])
+
+    def numbers(self, rows: list[list]) -> np.ndarray:
+        """The numbers of all pieces of rows, in order; their ids are known afterwards."""
+        if len(self.index) > self.limit:
+            self.old = (self.index, self.flat, self.start, self.size)
+            self.begin()
+        look = self.index.__getitem__
+        flat = np.fromiter(map(look, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
+        self.learn()
+        return flat
+
+    def learn(self) -> None:
+        """Find the ids of the fresh pieces: from the older generation, as sums, or from the library."""
+        index, fresh, base = self.index, self.index.fresh, len(self.start)
+        known = self.old[0] if self.old else {}
+        again, words, others, sums = [], [], [], []
+        k = 0
+        while k < len(fresh):  # grows by the parts of sums
+            p = fresh[k]
+            if p in known:
+                again.append((k, known[p]))
+            elif p.__class__ is tuple:
+                others.append(k)
+            else:
+                core = p.rstrip(string.punctuation)
+                if not core.isalpha():
+                    others.append(k)
+                elif len(core) < len(p):
+                    sums.append((k, index[core], index[(p[len(core) :],)]))
+                else:
+                    words.append(k)
+            k += 1
+        blocks = []
+        if again:
+            number, n = np.array(again, np.int64).T
+            blocks.append((number, self.old[3][n], ragged(self.old[1], self.old[2][n], self.old[3][n])))
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.encode([" " + " ".join([fresh[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.spaced[ids])  # each word of letters begins at its space
+            if len(first) == len(part):
+                blocks.append((np.array(part), np.diff(first, append=len(ids)), ids))
+            else:
+                others += part
+        texts = [fresh[k][0] if fresh[k].__class__ is tuple else " " + fresh[k] for k in others]
+        found = [e.ids for e in self.encode(texts, add_special_tokens=False)]
+        blocks.append((np.array(others, np.int64), np.array([len(i) for i in found], np.int64), np.fromiter(chain.from_iterable(found), "<u4")))
+        self.keep([(number + base, size, ids) for number, size, ids in blocks], len(fresh))
+        if sums:
+            number, core, tail = np.array(sums, np.int64).T
+            parts = np.column_stack([core, tail]).ravel()
+            ids = ragged(self.flat, self.start[parts], self.size[parts])
+            self.keep([(number + base, self.size[core] + self.size[tail], ids)], 0)
+        fresh.clear()
+
+    def of_rows(self, rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows one after another, and where each row ends."""
+        at = self.numbers(rows)
+        size = self.size[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        return ragged(self.flat, self.start[at], size), before[np.cumsum([len(row) for row in rows], dtype=np.int64)] if rows else before[:0]
+
+
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat, one after another."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
 @lru_cache(maxsize=2)
-def worker_state(path: str) -> Known:
-    """One per Python worker: ids (as bytes) of pieces, from the library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    size = tokenizer.get_vocab_size(with_added_tokens=True)
-    spaced = np.array([(tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
-
-    def words(missing: list[str]) -> list[bytes]:
-        """Encode words of letters as one text; each of them begins at its space."""
-        out = []
-        for at in range(0, len(missing), 2000):
-            part = missing[at : at + 2000]
-            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            begin = (np.flatnonzero(spaced[ids]) * 4).tolist()
-            if len(begin) != len(part):
-                out += others(part)
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(begin, [*begin[1:], len(raw)])]
-        return out
-
-    def others(missing: list) -> list[bytes]:
-        texts = [p[0] if p.__class__ is tuple else " " + p for p in missing]
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return Known(KEPT_PIECES, words, others, bytes.__add__)
+def worker_state(path: str) -> Tokens:
+    """One per Python worker."""
+    return Tokens(path)
 
 
 def encoder(path: str, end_id: int | None, edges: list[int]):
     """f(batch of doc_id, text) -> file number, doc_id, n_tokens, checksum, frame."""
-    known = worker_state(path)
+    tokens = worker_state(path)
     end = b"" if end_id is None else struct.pack("<I", end_id)
     compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True).compress
     bounds = np.array(edges, np.int64)
 
     def run(batch: pa.RecordBatch) -> list:
-        rows = keys_of(batch.column(1).to_pylist())
-        look = known.resolve(set().union(*rows))
-        raw = [b"".join(map(look, row)) + end for row in rows]
+        flat, stops = tokens.of_rows(keys_of(batch.column(1).to_pylist()))
+        stops = stops.tolist()
+        raw = [flat[a:b].tobytes() + end for a, b in zip([0, *stops], stops)]
         ids = batch.column(0)
         files = np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy(), side="right").astype(np.int32)
         return [files, ids, [len(r) // 4 for r in raw], [xxhash.xxh64_intdigest(r) & 0xFFFFFFFF for r in raw], [compress(r) for r in raw]]
