@@ -14,6 +14,8 @@ from jobtrail.llm.quality import quality
 from jobtrail.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Percent of shared five-word runs from which the stage takes documents as near copies.
+NEAR = 80
 
 
 def kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, near_dedup(docs).where("kept"))
+    return kept(docs, near_dedup(docs, NEAR).where("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

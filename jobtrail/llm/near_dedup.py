@@ -14,11 +14,14 @@
    pair that meets in a bucket is left out unless both are already in one component. The
    parity map bounds exactly: sets differ in at least as many shingles as their maps in bits.
 
-With 28 bands of 6 bins a pair of similarity 0.85 meets in no bucket with probability 2e-6.
+Bands, bits and bounds follow from the threshold. With 28 bands of 6 bins a pair of similarity
+0.85 meets in no bucket with probability 2e-6, with 33 bands of 5 bins one of 0.8.
 """
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,16 +31,26 @@ from jobtrail.llm import words as W
 from jobtrail.llm.common import bounded_batches, drop, map_batches, store, texts_of
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 28, 6
-BINS = BANDS * ROWS
-#: Pairs differing in more of the BINS one-bit values have, at 6 standard deviations, a similarity below 0.85.
-MOST_BITS = 35
+#: Bins of a sketch; a pair at the threshold meets in no band with at most this probability.
+BINS, MISSED = 168, 3e-6
 #: Sketches of smaller sets vary more; their pairs are not dropped by bits.
 SMALL = 400
 #: Longs of the parity map: bit k tells whether an odd number of shingles hash to k.
 PARITY = 16
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """Number of bands and bins of each: the longest bands that miss few enough pairs at the threshold."""
+    rows = max((r for r in range(1, 13) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED), default=1)
+    return BINS // rows, rows
+
+
+def most_bits(percent: int) -> int:
+    """Pairs differing in more of the BINS one-bit values have, at 6 standard deviations, a similarity below the threshold."""
+    p = (1 - percent / 100) / 2
+    return int(BINS * p + 6 * sqrt(BINS * p * (1 - p))) + 2
+
+
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles; of the whole if there are fewer words."""
     h = W.hashes(*W.bounds(text, W.NOT_SPACE))
@@ -75,8 +88,9 @@ def densified(h: np.ndarray) -> np.ndarray:
     return value
 
 
-def sketcher():
-    salt = W.mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
+def sketcher(percent: int):
+    n_bands, n_rows = bands_of(percent)
+    salt = W.mixed(np.arange(n_bands, dtype=np.uint64) + np.uint64(77))
     weights = (np.uint64(1) << np.arange(56, dtype=np.uint64))
 
     def sketch(batch: pa.RecordBatch) -> list:
@@ -91,8 +105,8 @@ def sketcher():
             high.append(int(np.add.reduce(W.mixed(h + np.uint64(99))).view(np.int64)))
             v = densified(h)
             b = salt.copy()
-            for r in range(ROWS):
-                b = W.mixed(b * np.uint64(W.BASE) + v[r::ROWS])
+            for r in range(n_rows):
+                b = W.mixed(b * np.uint64(W.BASE) + v[r : n_bands * n_rows : n_rows])
             bands.append(b.view(np.int64))
             one = (W.mixed(v + np.uint64(5)) & np.uint64(1)).reshape(3, 56)
             odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
@@ -102,7 +116,7 @@ def sketcher():
     return sketch
 
 
-def judge():
+def judge(percent: int):
     """f(batch of a, text_a, b, text_b) -> a, b, linked; pairs of one a come together."""
     last: list = [None, None]
 
@@ -114,18 +128,18 @@ def judge():
                 last[:] = [x, shingles(tx.encode())]
             one, two = last[1], shingles(ty.encode())
             both = len(np.intersect1d(one, two, assume_unique=True))
-            linked.append(100 * both >= PERCENT * (len(one) + len(two) - both))
+            linked.append(100 * both >= percent * (len(one) + len(two) - both))
         return [batch.column(0), batch.column(2), linked]
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     full = pairs.join(one, "b").join(two, "a").select("a", "text_a", "b", "text_b")
-    return map_batches(full, "a long, b long, linked boolean", judge).where("linked").select("a", "b")
+    return map_batches(full, "a long, b long, linked boolean", lambda: judge(percent)).where("linked").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,9 +165,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): n_shingles, component_id, kept.
 
+    Linked are documents whose shingle sets have a similarity of percent / 100 or more.
+
     Texts without words and null texts have 0 shingles and are linked with nothing. Rows of
     one doc_id share a component; the larger n_shingles counts for all of them. Rows with a
     null doc_id come back with a null component and are kept. An empty table gives no rows.
@@ -161,7 +177,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    sketch = store(map_batches(docs, "doc_id long, n_shingles long, low long, high long, bands array<long>, bits array<long>", sketcher), "sketch")
+    sketch = store(map_batches(docs, "doc_id long, n_shingles long, low long, high long, bands array<long>, bits array<long>", lambda: sketcher(percent)), "sketch")
     sets = sketch.where("n_shingles > 0 and doc_id is not null")
     same = store(sets.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "sets")
     reps = sets.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -172,7 +188,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     pairs = store(members.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "pairs")
     involved = members.select("doc_id").distinct()
     texts = store(docs.where("text is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = store(confirmed(pairs, texts), "links")
+    links = store(confirmed(pairs, texts, percent), "links")
     repeats = sets.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     # a doc_id with several sets links them
     twice = sets.join(repeats, "doc_id", "left_semi").join(same, ["low", "high", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -185,13 +201,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     left = store(placed.join(split, "bucket", "left_semi").join(bits, "doc_id"), "left")
     one, two = left.alias("p"), left.alias("q")
     apart = "p.bucket = q.bucket and p.doc_id < q.doc_id and p.component <> q.component"
-    sizes = f"100 * least(p.n_shingles, q.n_shingles) >= {PERCENT} * greatest(p.n_shingles, q.n_shingles)"
-    near = f"(least(p.n_shingles, q.n_shingles) < {SMALL} or bit_count(p.x ^ q.x) + bit_count(p.y ^ q.y) + bit_count(p.z ^ q.z) <= {MOST_BITS})"
+    sizes = f"100 * least(p.n_shingles, q.n_shingles) >= {percent} * greatest(p.n_shingles, q.n_shingles)"
+    near = f"(least(p.n_shingles, q.n_shingles) < {SMALL} or bit_count(p.x ^ q.x) + bit_count(p.y ^ q.y) + bit_count(p.z ^ q.z) <= {most_bits(percent)})"
     differ = " + ".join(f"bit_count(p.m{k} ^ q.m{k})" for k in range(PARITY))
-    parity = f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (p.n_shingles + q.n_shingles)"
+    parity = f"{100 + percent} * ({differ}) <= {100 - percent} * (p.n_shingles + q.n_shingles)"
     rest = one.join(two, F.expr(f"{apart} and {sizes} and {near} and {parity}")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = store(confirmed(rest, texts), "links")
+    more = store(confirmed(rest, texts, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

@@ -65,7 +65,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents"), 85)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
