@@ -1,10 +1,9 @@
 """Operator 6: main text of web pages by consensus host paths.
 
 1. Each page is scanned once. Containers (article, main, section, div, td, body ...) are known
-   by their path of tags and classes, generalised: digits in classes count alike. A container's
-   score is the length of the paragraph text in it less that of its links, where containers
-   that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag or
-   class count nothing.
+   by their path of tags and classes, generalised: digits in classes count alike. Menus, page
+   headers, footers, sidebars, notices, adverts, forms or comments by tag or whole class name
+   count nothing, unless the page has next to no text without them.
 2. In Spark, the pages of a host vote: the scores of each path are summed, the path with the
    largest sum wins; of paths that hold the same text the deepest one. A hot host is summed
    where its pages are first.
@@ -17,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,13 +33,25 @@ DROPPED = frozenset("nav header footer aside form button select dialog menu head
 CLOSES_P = BLOCKS - {"body", "html", "title"}
 #: Words of classes, ids and roles that mark what is not the article.
 NOISE = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|"
-    r"notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|widget|pager|pagination|toolbar|search)(?:$|[^a-z])"
+    r"nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|"
+    r"notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|widget|pager|pagination|toolbar|search"
 )
+#: Of these, the heads of an article too; and what readers write, which may be longer than the article.
+HEADS = frozenset("header masthead banner".split())
+REPLIES = re.compile(r"comments?|replies|respond|disqus|cookies?|consent|ads?|advert\w*|sponsor\w*")
+#: Words that may follow a word of noise, words that make a name one of layout or state, and words of articles.
+FILL = frozenset("box bar list slot wrap wrapper container block item items link links button buttons icon icons unit panel form posts articles stories section inner top bottom left right main primary secondary".split())
+LAYOUT = frozenset("has with no without not hide hidden layout show is one two both single open closed".split())
+ARTICLE = frozenset("article post entry story content".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 DIGITS = re.compile(r"\d+")
 WHITE = re.compile(r"\s+")
+WORD = re.compile(r"[^a-z]+")
+#: Kinds of noise: by class, id, role or form; what readers or advertisers write; a page's or an article's head; by tag.
+SOFT, REPLY, HEAD, HARD = 1, 2, 3, 4
+#: Text in these is the page's own; bare text of a container may be a label.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th figcaption caption summary address".split())
 ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
@@ -65,24 +77,52 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def step(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised name of an element, and whether it is noise by tag, class, id or role."""
+@lru_cache(maxsize=10_000)
+def named_noise(name: str) -> int:
+    """Of one whole class, id or role: 0 content, or the kind of noise.
+
+    Its last word names the thing ("post-comments"), or its first with words of FILL after it
+    ("share-buttons"); "has-sidebar", "comments-open" and "search-result" are names of other things.
+    """
+    words = [w for w in WORD.split(name) if w]
+    if not words or not LAYOUT.isdisjoint(words):
+        return 0
+    last, first = words[-1], words[0]
+    if not NOISE.fullmatch(last):
+        if not NOISE.fullmatch(first) or any(w not in FILL and not NOISE.fullmatch(w) for w in words):
+            return 0
+        last = first
+    if last in HEADS:
+        return 0 if not ARTICLE.isdisjoint(words) else HEAD
+    return REPLY if any(REPLIES.fullmatch(w) for w in words) else SOFT
+
+
+def step(tag: str, attributes: str) -> tuple[str, int]:
+    """The generalised name of an element, and the kind of noise it is by tag, class, id or role."""
+    noise = (SOFT if tag == "form" else HEAD if tag == "header" else HARD) if tag in DROPPED else 0
     if not attributes:
-        return tag, tag in DROPPED
-    named = {k.lower(): a or b or c or "" for k, a, b, c in NAMED.findall(attributes)}
-    classes = sorted(DIGITS.sub("0", c) for c in named.get("class", "").lower().split())
-    noise = tag in DROPPED or (tag not in ("body", "html", "main", "article") and any(NOISE.search(v.lower()) for v in named.values()))
+        return tag, noise
+    named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in NAMED.findall(attributes)}
+    if not named:
+        return tag, noise
+    classes = sorted(DIGITS.sub("0", c) for c in named.get("class", "").split())
+    if not noise and tag not in ("body", "html", "main", "article"):
+        noise = max((named_noise(n) for v in named.values() for n in v.split()), default=0)
     return ".".join([tag, *classes]), noise
 
 
 class Scan:
-    """One pass over a page: blocks of text with the containers they are in."""
+    """One pass over a page: blocks of text with the containers they are in.
+
+    What is noise by class, id, role or form is a zone. A zone without which the page would
+    have next to no text is none: its text counts (of replies and adverts, only if there is no other).
+    """
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, int]] = []  # text and innermost container
-        self.paths: list[tuple[str, int, bool]] = [("", -1, False)]  # path, parent, noise
-        self.score: list[int] = [0]
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, noise
+        blocks: list[tuple[str, int, int, int, bool]] = []  # text, innermost container, zone, score, paragraph or heading
+        self.paths: list[tuple[str, int]] = [("", -1)]  # path, parent
+        self.zones: list[tuple[int, int]] = [(-1, 0)]  # parent, kind
+        stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, container, zone, kind if its text is dropped
         parts: list[str] = []
         links = linked = 0
 
@@ -90,16 +130,18 @@ class Scan:
             nonlocal linked
             text = WHITE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
             parts.clear()
-            if text and not stack[-1][2]:
-                self.blocks.append((text, stack[-1][1]))
-                self.score[stack[-1][1]] += max(0, len(text) - 2 * linked)
+            if text:
+                tag, inside, zone, _ = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
+                score = max(0, len(text) - 2 * linked)
+                blocks.append((text, inside, zone, score, score > 0 and tag in PARAGRAPHS))
             linked = 0
 
         for kind, a, b in events(page):
             if kind == "text":
-                parts.append(a)
-                if links:
-                    linked += len(a)
+                if not stack[-1][3]:
+                    parts.append(a)
+                    if links:
+                        linked += len(a)
             elif kind == "open":
                 if a == "a":
                     links = 1
@@ -107,19 +149,32 @@ class Scan:
                     parts.append(" ")
                 if a in BLOCKS:
                     flush()
-                    if a in CLOSES_P and stack[-1][0] == "p":
-                        stack.pop()
-                    elif a == "li" and stack[-1][0] == "li":
-                        stack.pop()
+                    near = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS or not k)
+                    if a in CLOSES_P and stack[near][0] == "p" or a == "li" and stack[near][0] == "li":
+                        del stack[near:]
                     name, noise = step(a, b)
-                    noise = noise or stack[-1][2]
-                    inside = stack[-1][1]
-                    if a in CONTAINERS and not noise:
-                        self.paths.append((f"{self.paths[inside][0]}/{name}", inside, noise))
-                        self.score.append(0)
+                    _, inside, zone, dropped = stack[-1]
+                    if dropped == SOFT:  # an inline element around blocks is a zone
+                        dropped, noise = 0, max(noise, SOFT)
+                    if noise == HEAD and any(x[0] == "article" for x in stack):
+                        noise = 0
+                    elif noise == HEAD:
+                        noise = HARD if a == "header" else SOFT
+                    if not dropped and noise == HARD:
+                        dropped = HARD
+                    elif not dropped and noise:
+                        self.zones.append((zone, noise))
+                        zone = len(self.zones) - 1
+                    if a in CONTAINERS and not dropped:
+                        self.paths.append((f"{self.paths[inside][0]}/{name}", inside))
                         inside = len(self.paths) - 1
                     if a not in VOID:
-                        stack.append((a, inside, noise))
+                        stack.append((a, inside, zone, dropped))
+                elif a not in VOID:
+                    _, inside, zone, dropped = stack[-1]
+                    noise = dropped or step(a, b)[1]
+                    if noise:
+                        stack.append((a, inside, zone, HARD if noise == HARD else SOFT))
             else:
                 if a == "a":
                     links = 0
@@ -128,11 +183,42 @@ class Scan:
                     depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == a), 0)
                     if depth:
                         del stack[depth:]
+                else:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] in BLOCKS:
+                            break
+                        if stack[k][0] == a:
+                            del stack[k:]
+                            break
         flush()
+        seen = self.seen(blocks)
+        self.blocks = [(t, c, s, p) for t, c, z, s, p in blocks if seen[z]]
+
+    def seen(self, blocks: list) -> list[bool]:
+        """Of each zone whether its text counts."""
+        whole, own = [0] * len(self.zones), [0] * len(self.zones)
+        for _, _, zone, score, _ in blocks:
+            own[zone] += score
+        for k in range(len(whole) - 1, -1, -1):
+            whole[k] += own[k]
+            if k:
+                whole[self.zones[k][0]] += whole[k]
+        out = [True] + [False] * (len(whole) - 1)
+        level = [0]
+        while level:  # zones within those that count, level by level
+            text = sum(own[k] for k in range(len(own)) if out[k])
+            level = [k for k in range(1, len(out)) if self.zones[k][0] in level and whole[k] and (not text if self.zones[k][1] == REPLY else 10 * text < whole[k])]
+            if text == 0 and any(self.zones[k][1] != REPLY for k in level):
+                level = [k for k in level if self.zones[k][1] != REPLY]
+            for k in level:
+                out[k] = True
+        return out
 
     def totals(self) -> list[int]:
         """Of each container the score of all within it."""
-        out = self.score[:]
+        out = [0] * len(self.paths)
+        for _, k, s, _ in self.blocks:
+            out[k] += s
         for k in range(len(out) - 1, 0, -1):
             out[self.paths[k][1]] += out[k]
         return out
@@ -145,12 +231,12 @@ class Scan:
 
     def text(self, path: str) -> str:
         """The blocks within containers of that path; of the best one if the page has none."""
-        if path not in {p for p, _, _ in self.paths}:
+        if path not in {p for p, _ in self.paths}:
             path = self.best()
         inside = []
-        for p, parent, _ in self.paths:
+        for p, parent in self.paths:
             inside.append(p == path or parent >= 0 and inside[parent])
-        return "\n\n".join(t for t, k in self.blocks if inside[k])
+        return "\n\n".join(t for t, k, _, _ in self.blocks if inside[k])
 
 
 def vote():
@@ -161,7 +247,7 @@ def vote():
         out = []
         for page in texts_of(batch.column(1)):
             scan, per = Scan(page.decode()), {}
-            for (path, _, _), score in zip(scan.paths, scan.totals()):
+            for (path, _), score in zip(scan.paths, scan.totals()):
                 per[path] = max(per.get(path, 0), score)
             out.append([{"path": p, "depth": p.count("/"), "score": s} for p, s in per.items() if s])
         return [batch.column(0), pa.array(out, kind)]
