@@ -4,11 +4,12 @@
    by their path of tags and classes, generalised: digits in classes count alike. Menus, page
    headers, footers, sidebars, notices, adverts, forms or comments by tag or whole class name
    count nothing, unless the page has next to no text without them.
-2. In Spark, the pages of a host vote: the scores of each path are summed, the path with the
-   largest sum wins; of paths that hold the same text the deepest one. A hot host is summed
-   where its pages are first.
-3. Every page is scanned again with its host's winning path; a page that lacks it falls back
-   to its own best container.
+2. A path holds a page's text if nothing is left outside but labels: no paragraph or heading
+   that is not a link, and less than a tenth of the score (length of text less that of links).
+3. In Spark, the pages of a host vote for all paths that hold their text; of the paths with
+   nearly all votes the deepest one wins. A hot host is summed where its pages are first.
+4. Every page is scanned again with its host's winning path; a page whose text that path does
+   not hold falls back to the deepest path that does.
 """
 
 from __future__ import annotations
@@ -214,25 +215,33 @@ class Scan:
                 out[k] = True
         return out
 
-    def totals(self) -> list[int]:
-        """Of each container the score of all within it."""
-        out = [0] * len(self.paths)
-        for _, k, s, _ in self.blocks:
-            out[k] += s
-        for k in range(len(out) - 1, 0, -1):
-            out[self.paths[k][1]] += out[k]
+    def totals(self) -> dict[str, tuple[int, int]]:
+        """Of each path the score and the number of paragraphs and headings within."""
+        score, many = [0] * len(self.paths), [0] * len(self.paths)
+        for _, k, s, paragraph in self.blocks:
+            score[k] += s
+            many[k] += paragraph
+        out: dict[str, tuple[int, int]] = {}
+        for k in range(len(score) - 1, -1, -1):
+            path, parent = self.paths[k]
+            if k:
+                score[parent] += score[k]
+                many[parent] += many[k]
+            s, n = out.get(path, (0, 0))
+            out[path] = s + score[k], n + many[k]
         return out
 
-    def best(self) -> str:
-        """The deepest container with nearly all the text of the page."""
+    def whole(self) -> list[str]:
+        """Paths with all paragraphs and headings of the page and nearly all of its text."""
         total = self.totals()
-        good = [k for k in range(len(total)) if total[k] * 10 >= total[0] * 9]
-        return self.paths[max(good, key=lambda k: (self.paths[k][0].count("/"), -k))][0]
+        score, many = total[""]
+        return [p for p, (s, n) in total.items() if n == many and s * 10 >= score * 9]
 
     def text(self, path: str) -> str:
-        """The blocks within containers of that path; of the best one if the page has none."""
-        if path not in {p for p, _ in self.paths}:
-            path = self.best()
+        """The blocks within containers of that path; of the deepest whole one if that path does not hold the page's text."""
+        whole = self.whole()
+        if path not in whole:
+            path = min(whole, key=lambda p: (-p.count("/"), p))
         inside = []
         for p, parent in self.paths:
             inside.append(p == path or parent >= 0 and inside[parent])
@@ -240,16 +249,14 @@ class Scan:
 
 
 def vote():
-    """f(batch of host, html) -> host, votes: path, depth and score of each container."""
-    kind = pa.list_(pa.struct([("path", pa.string()), ("depth", pa.int32()), ("score", pa.int64())]))
+    """f(batch of host, html) -> host, votes: path and depth of each that holds the page's text."""
+    kind = pa.list_(pa.struct([("path", pa.string()), ("depth", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> list:
         out = []
         for page in texts_of(batch.column(1)):
-            scan, per = Scan(page.decode()), {}
-            for (path, _), score in zip(scan.paths, scan.totals()):
-                per[path] = max(per.get(path, 0), score)
-            out.append([{"path": p, "depth": p.count("/"), "score": s} for p, s in per.items() if s])
+            scan = Scan(page.decode())
+            out.append([{"path": p, "depth": p.count("/")} for p in scan.whole()] if scan.blocks else [])
         return [batch.column(0), pa.array(out, kind)]
 
     return run
@@ -274,12 +281,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    votes = map_batches(rows.select("host", "html"), "host string, votes array<struct<path:string,depth:int,score:long>>", vote)
-    sums = votes.select("host", F.explode("votes").alias("v")).select("host", "v.*").groupBy("host", "path", "depth").agg(F.sum("score").alias("score"))
-    # the deepest path with nearly all of the host's text: the root's sum is the whole
-    whole = F.max("score").over(Window.partitionBy("host"))
-    good = sums.withColumn("whole", whole).where(F.col("score") * 10 >= F.col("whole") * 9)
-    winners = store(good.groupBy("host").agg(F.min_by("path", F.struct(-F.col("depth"), -F.col("score"), "path")).alias("path")), "host-paths")
+    votes = map_batches(rows.select("host", "html"), "host string, votes array<struct<path:string,depth:int>>", vote)
+    sums = votes.select("host", F.explode("votes").alias("v")).select("host", "v.*").groupBy("host", "path", "depth").agg(F.count("*").alias("n"))
+    # the deepest path that holds the text of nearly all of the host's pages: the root has the votes of all
+    pages_of = F.max("n").over(Window.partitionBy("host"))
+    good = sums.withColumn("pages", pages_of).where(F.col("n") * 10 >= F.col("pages") * 9)
+    winners = store(good.groupBy("host").agg(F.min_by("path", F.struct(-F.col("depth"), -F.col("n"), "path")).alias("path")), "host-paths")
     small = winners.count() <= BROADCAST_HOSTS
     chosen = rows.join(F.broadcast(winners) if small else winners, "host", "left")
     return map_batches(chosen.select("page_id", "url", "html", "path"), "page_id long, url string, text string, n_chars long", extract)

@@ -19,6 +19,20 @@ TEXT = ("long text " * 60).strip()
 SHELL = "<body><nav><p>menu</p></nav>%s<footer><p>foot</p></footer></body>"
 
 
+def test_title_and_lead_outside_the_inner_container_stay(spark):
+    page = SHELL % f"<article><h1>T</h1><p>lead</p><div class=body>{LONG}</div></article>"
+    quoted = SHELL % f"<article><p>He said</p><blockquote>{LONG}</blockquote></article>"
+    got = extracted(spark, [("a", page)] * 3 + [("b", quoted)])
+    assert got == [f"T\n\nlead\n\n{TEXT}"] * 3 + [f"He said\n\n{TEXT}"]
+
+
+def test_minority_template_is_not_cut_to_a_box_of_the_winning_path(spark):
+    most = SHELL % f"<div class=story>{LONG}</div><div>label</div>"
+    few = SHELL % f"<div class=story><p>box</p></div><div class=other><h2>Two</h2>{LONG}</div>"
+    got = extracted(spark, [("a", most)] * 18 + [("a", few)])
+    assert got[:18] == [TEXT] * 18 and got[18] == f"box\n\nTwo\n\n{TEXT}"
+
+
 @pytest.mark.parametrize("wrapper", ["layout has-sidebar", "content-with-sidebar", "single no-sidebar", "post comments-open", "widget-area content", "search-result", "search", "sidebar"])
 def test_wrappers_named_after_noise_keep_the_page(wrapper):
     assert alone(SHELL % f'<div class="{wrapper}"><h1>T</h1>{LONG}<div class="sidebar"><p>side</p></div></div>') == f"T\n\n{TEXT}"
