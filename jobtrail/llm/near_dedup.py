@@ -20,6 +20,7 @@ Bands, bits and bounds follow from the threshold. With 28 bands of 6 bins a pair
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import sqrt
 
 import numpy as np
@@ -59,15 +60,13 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(W.runs(h, min(SHINGLE, len(h))))
 
 
-def _picks() -> np.ndarray:
-    """For each bin the bins to try, by attempt."""
-    k = np.arange(BINS * 64, dtype=np.uint64)
+@lru_cache(maxsize=None)
+def picks(block: int) -> np.ndarray:
+    """For each bin 64 bins to try, by attempt; blocks follow each other without end."""
+    k = np.arange(BINS * 64, dtype=np.uint64) + np.uint64(block * BINS * 64)
     return (W.mixed(k + np.uint64(1 << 40)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, 64)
 
 
-PICKS = _picks()
-
-
 def densified(h: np.ndarray) -> np.ndarray:
     """The BINS values of a set of sorted hashes."""
     bins = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
@@ -75,16 +74,17 @@ def densified(h: np.ndarray) -> np.ndarray:
     value, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
     value[bins[first]], full[bins[first]] = h[first], True
     empty = np.flatnonzero(~full)
-    there = np.flatnonzero(full)
-    for attempt in range(64):
-        if not len(empty):
-            break
-        pick = PICKS[empty, attempt]
-        ok = full[pick]
-        value[empty[ok]] = value[pick[ok]]
-        empty = empty[~ok]
-    if len(empty):  # a set of very few hashes: any fixed rule that depends on the set alone
-        value[empty] = value[there[empty % len(there)]]
+    if len(first) == 1:
+        value[empty] = h[0]
+        return value
+    block = 0
+    while len(empty):
+        tried = picks(block)[empty]
+        ok = full[tried]
+        hit = ok.any(axis=1)
+        value[empty[hit]] = value[tried[hit, ok[hit].argmax(axis=1)]]
+        empty = empty[~hit]
+        block += 1
     return value
 
 
