@@ -5,11 +5,15 @@ letters, a subsequence weighing DECAY to the length it spans, so letters in betw
 weight: "id-i.ot" stays close to "idiot". Kernels are normalised.
 
 Sentences of labelled documents carry their document's label. A sentence is as toxic as its
-most toxic span (a run without white space, or single letters in a row). So the SVM learns on
-spans: first on those that occur in toxic sentences almost only, then, ROUNDS times, on the
-span of each labelled document that it finds most toxic. Spans are mapped to
-landmarks by the Nystroem method. As the landmarks are fixed, the SVM's margin of a span is
-one weight per subsequence, looked up and summed: nothing is lost and a text costs little.
+most toxic stretch: a word (a run without white space, or single letters in a row) with marks
+for its ends, or any LONGEST letters in a row, white space being one letter that only costs
+weight, so phrases and words with gaps are seen. The SVM learns on stretches: first on words
+and phrases that occur in toxic sentences almost only, then, ROUNDS times, on the stretch of
+each labelled document that it finds most toxic. Stretches are mapped to landmarks by the
+Nystroem method. As the landmarks are fixed, the SVM's margin of a stretch is one weight per
+subsequence, looked up and summed: nothing is lost. Every window of a text is summed at once by
+the distances of the three letters; as its norm is at least that of different subsequences,
+only windows that can exceed the text's best so far need their exact norm.
 A document's margin is the largest of its sentences; a logistic curve makes it a score.
 """
 
@@ -39,6 +43,8 @@ LONGEST = 16
 #: Letters that stand for the start and the end of a span.
 START, END = 38 + 23, 38 + 24
 KEPT = 200_000
+#: Words of a phrase, and toxic sentences that a phrase is in, at least, to be learned from at first.
+PHRASE, SEEN = 4, 4
 NOTHING = -4.0
 _SINGLE = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
@@ -60,6 +66,12 @@ def codes(span: str) -> list[int]:
 
 
 def windows(span: str) -> list[list[int]]:
+    """The strings of a word, with marks for its ends; of a phrase or (with a space first) a window, without."""
+    if span[:1] == " ":
+        return [codes(span[1:])]
+    if " " in span:
+        c = codes(span)
+        return [c[i : i + LONGEST] for i in range(0, max(1, len(c) - LONGEST + 4), 4)]
     c = codes(span)
     while c and not c[0]:
         c.pop(0)
@@ -78,8 +90,8 @@ def weights(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, decay = triples(strings.shape[1])
     a, b, c = (strings[:, at[:, k]] for k in range(3))
     key = np.where((a > 0) & (b > 0) & (c > 0), (a * LETTERS + b) * LETTERS + c, -1)
-    order = np.argsort(key, axis=1, kind="stable")
-    key = np.take_along_axis(key, order, 1)
+    packed = np.sort(key << 10 | np.arange(key.shape[1]), axis=1)  # there are fewer than 1024
+    key, order = packed >> 10, packed & 1023
     w = np.where(key >= 0, decay[order], 0.0)
     # equal subsequences of a string add up: norm of the sums
     flat = (key + np.arange(len(key))[:, None] * LETTERS**3).ravel()
@@ -89,15 +101,23 @@ def weights(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, w / np.where(norm > 0, norm, 1)[:, None]
 
 
+def vectors(span: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each window of a span the subsequences and their normalised weights."""
+    out = []
+    for c in windows(span):
+        if len(c) < 3:
+            continue
+        key, w = weights(np.array([c]))
+        keys, at = np.unique(key[0], return_inverse=True)
+        sums = np.bincount(at, w[0])
+        if (keys >= 0).any():
+            out.append((keys[keys >= 0], sums[keys >= 0]))
+    return out
+
+
 def vector(span: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """The subsequences of one string (its first window) and their normalised weights."""
-    c = windows(span)[0]
-    if len(c) < 3:
-        return None
-    key, w = weights(np.array([c]))
-    keys, at = np.unique(key[0], return_inverse=True)
-    sums = np.bincount(at, w[0])
-    return (keys[keys >= 0], sums[keys >= 0]) if (keys >= 0).any() else None
+    """That of the first window."""
+    return next(iter(vectors(span)), None)
 
 
 def kernel(one: list[tuple], two: list[tuple]) -> np.ndarray:
@@ -145,7 +165,7 @@ class Model:
 def learn_spans(toxic: dict[str, float], clean: dict[str, float], cost: float = 1000.0) -> Model | None:
     """Fit the SVM on spans with weights; each kind has the same share of the cost."""
     known = [(t, w, 1.0) for t, w in sorted(toxic.items())] + [(t, w, -1.0) for t, w in sorted(clean.items())]
-    known = [(t, w, s, v) for t, w, s in known if (v := vector(t)) is not None]
+    known = [(t, w, s, v) for t, w, s in known for v in vectors(t)]
     known.sort(key=lambda x: -x[1])
     y = np.array([s for _, _, s, _ in known])
     if not (y > 0).any() or not (y < 0).any():
@@ -178,8 +198,64 @@ def worker_state(model: Model) -> tuple[np.ndarray, list[dict]]:
     return model.table(), [{}, {}]
 
 
-def margins(model: Model):
-    """f(texts) -> the largest margin of each text's spans, and such a span."""
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """codes() of every character, as a table."""
+    k = np.arange(0x110000)
+    known = np.frombuffer(bytes(c > 127 and chr(c).isalpha() for c in range(0x110000)), bool)
+    return np.where((k >= 97) & (k <= 122), k - 96, np.where(known, 27 + k % 34, 0)).astype(np.int32)
+
+
+def sums_of_windows(c: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of c (which ends in LONGEST zeros) the sum of its weights and the least square of its norm."""
+    n = len(c) - LONGEST
+    raw, least = np.zeros(n), np.zeros(n)
+    full = c > 0
+    before = np.append(0, np.cumsum(full))
+    c = c.astype(np.int64)
+    pairs = [(c[: len(c) - d] * LETTERS + c[d:]) * LETTERS for d in range(1, LONGEST)]
+    keys, found = np.empty(len(c), np.int64), np.empty(len(c), np.float32)
+    for span in range(2, LONGEST):
+        m = len(c) - span
+        last, one = c[span:], np.zeros(m, np.float32)
+        for d in range(1, span):
+            np.add(pairs[d - 1][:m], last, out=keys[:m])
+            one += np.take(table, keys[:m], out=found[:m], mode="clip")
+        many = (full[:m] & full[span:]) * (before[span : span + m] - before[1 : m + 1])
+        for out, x, decay in ((raw, one, DECAY ** (span - 2)), (least, many, DECAY ** (2 * span - 4))):
+            total = np.append(0.0, np.cumsum(x, dtype=np.float64))
+            out += decay * (total[LONGEST - span : LONGEST - span + n] - total[:n])
+    return raw, least
+
+
+def stretches(texts: list[str | None], best: list[tuple[float, str]], table: np.ndarray, bias: float) -> None:
+    """Replace the best margins of texts by those of windows (with a space before them) that have larger ones."""
+    part = table.astype(np.float32)
+    flat = [" ".join(t.lower().split()) if t else "" for t in texts]
+    for i, t in enumerate(flat):
+        if len(t) < 3:
+            continue
+        c = np.append(letters()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)], np.zeros(LONGEST, np.int32))
+        most = []
+        for at in range(0, len(t), 1 << 12):
+            raw, least = sums_of_windows(c[at : at + (1 << 12) + LONGEST], part)
+            most.append(np.where(least > 1e-9, np.maximum(raw, 0) / np.sqrt(np.maximum(least, 1e-9)) + bias + 1e-4, NOTHING))
+        bound = np.concatenate(most)
+        order = np.flatnonzero(bound > best[i][0])
+        order = order[np.argsort(-bound[order])]
+        at, step = 0, 4
+        while at < len(order) and bound[order[at]] > best[i][0]:
+            now = order[at : at + step]
+            key, w = weights(c[now[:, None] + np.arange(LONGEST)].astype(np.int64))
+            m = (table[key] * w).sum(axis=1) + bias
+            k = int(m.argmax())
+            if m[k] > best[i][0]:
+                best[i] = float(m[k]), " " + t[now[k] : now[k] + LONGEST]
+            at, step = at + step, min(4 * step, 1024)
+
+
+def margins(model: Model, wide: bool = True):
+    """f(texts) -> the largest margin of each text's words and windows, and such a one."""
     table, kept = worker_state(model)
 
     def find(spans: list[str]) -> None:
@@ -220,13 +296,16 @@ def margins(model: Model):
         find(unknown)
         look = kept[0].__getitem__
         tops = [max(spans, key=look, default="") for spans in rows]
-        return [(look(top) if top else NOTHING, top) for top in tops]
+        best = [(look(top) if top else NOTHING, top) for top in tops]
+        if wide:
+            stretches(texts, best, table, model.bias)
+        return best
 
     return run
 
 
-def margin_batches(model: Model):
-    run = margins(model)
+def margin_batches(model: Model, wide: bool = True):
+    run = margins(model, wide)
 
 
     def of(batch: pa.RecordBatch) -> list:
@@ -236,10 +315,10 @@ def margin_batches(model: Model):
     return of
 
 
-def with_margins(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, margin and the span that has it, row by row."""
+def with_margins(docs: DataFrame, model: Model, wide: bool = True) -> DataFrame:
+    """doc_id, margin and the span that has it, row by row; of words alone unless wide."""
     bounded_batches(docs.sparkSession)
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, margin double, top string", lambda: margin_batches(model))
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, margin double, top string", lambda: margin_batches(model, wide))
 
 
 def curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -289,20 +368,30 @@ def learn(sample: DataFrame) -> Model | float:
     span = F.explode(F.array_distinct(F.split(F.lower("sentence"), r"\s+")))
     bare = F.regexp_replace("span", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     sentences = rows.select("label", sentence.alias("sentence")).distinct()  # copies do not count
-    spans = sentences.select("label", span.alias("span")).select("label", bare.alias("span")).where("length(span) between 3 and 40")
-    counts = store(spans.groupBy("span").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")), "toxic-spans")
-    toxic = dict(map(tuple, counts.where("toxic >= 2 and toxic >= 8 * clean").orderBy(F.desc("toxic"), "span").limit(FIRST).select("span", "toxic").collect()))
-    plain = counts.where("clean > toxic").select("span", "clean")
-    often = plain.orderBy(F.desc("clean"), "span").limit(SPANS).collect()
-    other = plain.orderBy(F.xxhash64("span")).limit(SPANS).collect()
-    clean = {t: 1 + float(np.log1p(n)) for t, n in [*often, *other]}
+    words = sentences.select("label", "sentence", span.alias("span")).select("label", bare.alias("span"), F.lit(1).alias("n")).where("length(span) between 3 and 40")
+    row = F.filter(F.transform(F.split(F.lower("sentence"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("row")), lambda k: F.transform(F.sequence(F.lit(2), F.lit(PHRASE)), lambda n: F.when(k + n <= F.size("row") + 1, F.array_join(F.slice("row", k, n), " ")))))
+    phrases = sentences.select("label", row.alias("row")).where("size(row) > 1").select("label", F.explode(F.array_distinct(runs)).alias("span"), F.lit(2).alias("n")).where("length(span) between 5 and 40")
+    counts = store(words.unionByName(phrases).groupBy("span", "n").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")), "toxic-spans")
+    seeds = counts.where(f"toxic >= if(n = 1, 2, {SEEN}) and toxic >= 8 * clean").orderBy("n", F.desc("toxic"), "span")
+    toxic = dict(map(tuple, seeds.where("n = 1").limit(FIRST).select("span", "toxic").collect()))
+    plain = counts.where("clean > toxic").select("span", "clean", "n")
+    for phrase, n in seeds.where("n > 1").limit(4 * FIRST).select("span", "toxic").collect():
+        if len(toxic) < 2 * FIRST and not any(w in toxic for w in phrase.split()):
+            toxic[phrase] = n
+    often = plain.where("n = 1").orderBy(F.desc("clean"), "span").limit(SPANS).select("span", "clean").collect()
+    other = plain.orderBy("n", F.xxhash64("span")).where("n = 1").limit(SPANS).select("span", "clean").collect()
+    runs_of = plain.where("n > 1").orderBy(F.xxhash64("span")).limit(SPANS).select("span", "clean").collect()
+    clean = {t: 1 + float(np.log1p(n)) for t, n in [*often, *other, *runs_of]}
     model = learn_spans(toxic, clean)
     if model is None:
         return share
     labelled = rows.select("doc_id", "label")
+    kept = {t: n for t, n in toxic.items() if " " in t}
     for _ in range(ROUNDS):
-        tops = with_margins(rows, model).join(labelled, "doc_id").groupBy(F.lower("top")).agg(F.sum("label"), F.sum(1 - F.col("label"))).collect()  # about SAMPLE at most
+        tops = with_margins(rows, model, wide=False).join(labelled, "doc_id").groupBy(F.lower("top")).agg(F.sum("label"), F.sum(1 - F.col("label"))).collect()  # about SAMPLE at most
         toxic, clean = harder(clean, tops)
+        toxic |= kept
         model = learn_spans(toxic, clean) or model
     seen = with_margins(rows, model).join(labelled, "doc_id").select("margin", "label").collect()  # about SAMPLE at most
     margin, label = (np.array(x, float) for x in zip(*seen))
