@@ -6,6 +6,7 @@ columns (also ones whose names clash with result columns) never matter.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,12 +31,21 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which the driver and all executors see.
 
-    Where it is unset, as in tests on one machine, a folder of the warehouse is used.
+    Where it is unset on one machine, as in tests, a folder of the warehouse is used; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors reach")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI, by the cluster's own default file system where it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. Survives lost executors."""
     spark = df.sparkSession
@@ -54,10 +64,26 @@ def drop(*stored: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished queries left on the driver; their broadcasts and cached rows go with it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def deal(df: DataFrame, values: list[int], column: str) -> DataFrame:
+    """df repartitioned by an int column that has these values, a partition for each of them."""
+    spark, n = df.sparkSession, len(values)
+    # numbers whose hashes fall into different partitions
+    places = spark.range(64 * n + 64).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()  # n rows
+    own = dict(zip(values, [r.id for r in places]))
+    key = F.element_at(F.create_map(*(F.lit(x) for pair in own.items() for x in pair)), F.col(column)) if len(own) == n else F.col(column).cast("long")
+    return df.withColumn("dealt_by", key).repartition(n, "dealt_by").drop("dealt_by")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 3 is 1: rows no label is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0)) == 1
@@ -97,15 +123,3 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
-class Kept(dict):
-    """A dictionary of bounded size: it is emptied when it reaches its limit."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-
-    def room(self, more: int) -> None:
-        if len(self) + more > self.limit:
-            self.clear()

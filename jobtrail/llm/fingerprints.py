@@ -5,9 +5,11 @@ the sum of its paragraphs' vectors modulo a power of two, so their order does no
 and paragraphs can be added or taken out without reading the rest. A vector has two parts:
 
 * LANES lanes of 16 bits from an extendable-output hash of the paragraph. Sums of such
-  vectors are equal only for equal multisets of paragraphs (as far as anyone can find).
+  vectors are equal for equal multisets of paragraphs, and by chance for no others.
 * SKETCH lanes of 16 bits with +-1 for each run of 16 bytes that begins a word. The sum
   estimates by scalar products how many such runs two documents share.
+
+A fingerprint is all these sums, as text: update() adds and takes out paragraphs of a stored one.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.llm import words as W
-from jobtrail.llm.common import bounded_batches, partitions, store
+from jobtrail.llm.common import bounded_batches, deal, partitions
 
-LANES, SKETCH, RUN = 1024, 256, 16
+LANES, SKETCH, RUN = 256, 256, 16
+#: Null doc_ids are sorted as the least.
+LEAST = -(1 << 63)
 SPACE = ~W.NOT_SPACE
 #: Keeps the first so many bytes of eight.
 FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -78,9 +82,18 @@ class Fingerprint:
         return self.sketch.astype(np.uint16).view(np.int16).astype(np.float64)
 
     def text(self) -> str:
-        """A digest of the wide sum, and the sketch lanes."""
-        wide = hashlib.blake2b(self.sums.tobytes(), digest_size=32).hexdigest()
-        return f"{wide}-{base64.b64encode(self.sketch.astype('<u2').tobytes()).decode()}"
+        """All lanes of both parts."""
+        return base64.b64encode(self.sums.astype("<u2").tobytes() + self.sketch.astype("<u2").tobytes()).decode()
+
+    @staticmethod
+    def of_text(text: str) -> Fingerprint:
+        lanes = np.frombuffer(base64.b64decode(text), "<u2")
+        return Fingerprint(lanes[:LANES].astype(np.uint16), lanes[LANES:].astype(np.int64))
+
+
+def update(fingerprint: str, added: list[str] = (), removed: list[str] = ()) -> str:
+    """A stored fingerprint after paragraphs were added and taken out; their order does not matter."""
+    return Fingerprint.of_text(fingerprint).changed([p.encode() for p in added], [p.encode() for p in removed]).text()
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
@@ -132,35 +145,37 @@ def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
+def ties(n: int) -> list[int]:
+    """Where to cut a doc_id that fills n ranges: evenly over all hashes, the least first."""
+    return [LEAST + k * (1 << 64) // n for k in range(n)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty. The next document is the one before in doc_id; rows of one doc_id
     follow each other by the hash of their text; the last document's next is the first, and a
-    single row is its own next. Null doc_ids come last. Equal texts have equal fingerprints. An
-    empty table gives no rows.
+    single row is its own next. Null doc_ids come last. Equal texts have equal fingerprints; texts of
+    any length are taken whole. Tasks get ranges of (doc_id, hash of the text). An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
     n = max(1, partitions(spark))
-    # cuts on (doc_id, tie), so that rows of one doc_id can be in several chunks
-    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    chunk = F.lit(0)
-    if cuts:
-        found = F.expr(f"array({','.join(f'{c}L' for c in cuts)})")
-        chunk = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.aggregate(found, F.lit(0), lambda a, c: a + F.when(F.col("doc_id") < c, 1).otherwise(0)))
+    cuts = rows.select(F.percentile_approx("d", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    # a doc_id that is several cuts is cut by the hash of the text as well
+    found = sorted(((int(c), t) for c in set(cuts) for t in ties(cuts.count(c))), reverse=True)
+    bounds = F.array(*(F.struct(F.lit(c).cast("long").alias("d"), F.lit(t).cast("long").alias("tie")) for c, t in found)) if found else None
+    chunk = F.lit(0) if not found else F.size(F.filter(bounds, lambda x: F.struct("d", "tie") < x))
     placed = rows.withColumn("chunk", chunk.cast("int"))
-    order = ("doc_id", "tie")
     # the first row of each chunk (a row for each chunk) goes to the chunk before it as well
-    firsts = placed.select("chunk", *order).groupBy("chunk").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "tie")).alias("f")).orderBy("chunk").collect()
+    firsts = placed.groupBy("chunk").agg(F.max(F.struct("d", "tie")).alias("f")).orderBy("chunk").collect()
     if not firsts:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], kind)
     to = [(r.f.d, r.f.tie, firsts[k - 1].chunk) for k, r in enumerate(firsts)]
     edges = spark.createDataFrame(to, "d long, tie long, to int")
-    placed = placed.withColumn("d", F.coalesce("doc_id", F.lit(-(2**63))))
     halos = placed.join(F.broadcast(edges), ["d", "tie"]).dropDuplicates(["d", "tie"])
     every = placed.select("chunk", "doc_id", "text", F.lit(False).alias("halo"), "d", "tie").unionByName(halos.select(F.col("to").alias("chunk"), "doc_id", "text", F.lit(True).alias("halo"), "d", "tie"))
-    dealt = every.repartition(len(firsts), "chunk").sortWithinPartitions("chunk", "halo", F.desc("d"), F.desc("tie"))
-    return dealt.select("chunk", "doc_id", "text", "halo").mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = deal(every, [r.chunk for r in firsts], "chunk").sortWithinPartitions("chunk", "halo", F.desc("d"), F.desc("tie"))
+    return dealt.select("chunk", "doc_id", "text", "halo").mapInArrow(compared, kind)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.llm import words as W
-from jobtrail.llm.common import bounded_batches, held_out, map_batches, sampled_labels, store, texts_of
+from jobtrail.llm.common import bounded_batches, drop, held_out, map_batches, release, sampled_labels, store, texts_of
 
 #: Of more labelled rows about so many, taken by a hash of doc_id, are learned from.
 SAMPLE = 20_000
@@ -101,7 +101,9 @@ def paths(node, above: tuple = ()) -> set[tuple]:
 
 def learn(stats: DataFrame) -> Rules:
     """Learn from a bounded number of rows (doc_id, stats, label)."""
-    rows = store(stats.select(F.col("label").cast("double").alias("label"), "stats"), "quality-sample")
+    spark = stats.sparkSession
+    # a few partitions: the sample is small, and every step of the fit is a job over them
+    rows = store(stats.select(F.col("label").cast("double").alias("label"), "stats").repartition(4), "quality-sample")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     share = ((ones or 0) + 1) / (n + 2)
     if not n or ones in (0, n):  # nothing to tell apart: the share of label 1
@@ -113,7 +115,11 @@ def learn(stats: DataFrame) -> Rules:
     lasso = LogisticRegression(featuresCol="v", regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=100)
     fit = lasso.fit(rows.select("label", array_to_vector(fired).alias("v")))
     kept = tuple((float(w), r) for w, r in zip(fit.coefficients.toArray(), rules) if abs(w) > 1e-6)
-    return Rules(kept, float(fit.intercept))
+    intercept = float(fit.intercept)
+    del model, fit
+    drop(rows)
+    release(spark)
+    return Rules(kept, intercept)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.llm.common import bounded_batches, map_batches
-from jobtrail.llm.pieces import Known, keys_of
+from jobtrail.llm.pieces import Known, bytes_of
 
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 150_000
+#: Pre-tokens merged at once.
+ROUND = 20_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -38,6 +39,9 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        rule = spec["pre_tokenizer"]
+        if rule["type"] != "ByteLevel" or rule["add_prefix_space"] or not rule.get("use_regex", True) or spec["normalizer"]:
+            raise ValueError(f"{path}: only byte-level BPE with the public pattern and without normalisation is counted")
         vocab = spec["model"]["vocab"]
         self.first = np.array([vocab[c] for c in byte_symbols()], np.int64)
         self.size = max(vocab.values()) + 1
@@ -92,38 +96,37 @@ class Merges:
         return done
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def worker_state(path: str) -> Known:
     """One per Python worker: how to count, and the counts known so far."""
     merges, pre = Merges(path), regex.compile(PRE_TOKEN)
     special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
 
-    def words(missing: list[str]) -> list[int]:
-        return merges.count([b" " + w.encode() for w in missing]).tolist()
-
-    def others(missing: list) -> list[int]:
-        tokens, owner, extra = [], [], np.zeros(len(missing), np.int64)
-        for k, piece in enumerate(missing):
-            text = piece[0] if piece.__class__ is tuple else " " + piece
+    def learn(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, owner, extra = [], [], np.zeros(len(pieces), np.int64)
+        for k, piece in enumerate(pieces):
+            text = piece.decode()
+            if text[0] == " " and text[1:].isalpha():
+                tokens.append(piece)
+                owner.append(k)
+                continue
             parts = special.split(text) if special and special.search(text) else [text]
             extra[k] = len(parts) // 2
             own = [t.encode() for p in parts[::2] for t in pre.findall(p)]
             tokens += own
             owner += [k] * len(own)
-        counts = merges.count(tokens)
-        return (np.bincount(np.array(owner, np.int64), counts, len(missing)).astype(np.int64) + extra).tolist()
+        counts = np.concatenate([merges.count(tokens[at : at + ROUND]) for at in range(0, max(1, len(tokens)), ROUND)])
+        return np.ones(len(pieces), np.int64), np.bincount(np.array(owner, np.int64), counts, len(pieces)).astype(np.int64) + extra
 
-    return Known(KEPT_PIECES, words, others, int.__add__)
+    return Known(learn, [t.encode() for t in merges.special], "<i8")
 
 
 def counter(path: str):
     known = worker_state(path)
 
     def count(batch: pa.RecordBatch) -> list:
-        texts = batch.column(1).to_pylist()
-        rows = keys_of(texts)
-        look = known.resolve(set().union(*rows))
-        return [batch.column(0), [len(t.encode()) if t else 0 for t in texts], [sum(map(look, row)) for row in rows]]
+        _, at = bytes_of(batch.column(1))
+        return [batch.column(0), np.diff(at), known.totals(batch.column(1))]
 
     return count
 

@@ -10,24 +10,23 @@ decompresses only their frames.
 from __future__ import annotations
 
 import os
-import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import bounded_batches, map_batches, partitions, shared_dir, store
-from jobtrail.llm.pieces import keys_of
+from jobtrail.llm.common import bounded_batches, drop, map_batches, partitions, qualified, shared_dir, store
+from jobtrail.llm.pieces import Known, library_ids, special_strings
 
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, SKIPPABLE, IDS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
@@ -35,140 +34,40 @@ SEEK_MAGIC, SKIPPABLE, IDS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 DESCRIPTOR = 0x80
 #: Byte-level BPE shows a space as this letter.
 SPACE = "\u0120"
-KEPT_PIECES = 250_000
+SUFFIX = ".ids.zst"
 LEVEL = 3
 
 
-class Index(dict):
-    """Numbers pieces in the order they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list = []
-
-    def __missing__(self, piece) -> int:
-        self[piece] = k = len(self)
-        self.fresh.append(piece)
-        return k
-
-
-class Tokens:
-    """Ids of pieces in flat arrays, by the pieces' numbers; two generations of bounded size."""
-
-    def __init__(self, path: str, limit: int = KEPT_PIECES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        self.encode = tokenizer.encode_batch_fast
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        self.spaced = np.array([(tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
-        self.limit, self.old = limit, None
-        self.begin()
-
-    def begin(self) -> None:
-        self.index, self.flat, self.start, self.size = Index(), np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def keep(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], more: int) -> None:
-        """Add blocks (numbers of pieces, sizes, ids one after another) for that many more pieces."""
-        offset = len(self.flat)
-        self.start, self.size = np.append(self.start, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int64))
-        for number, size, ids in blocks:
-            self.start[number] = offset + np.cumsum(size) - size
-            self.size[number] = size
-            offset += len(ids)
-        self.flat = np.concatenate([self.flat, *(ids for _, _, ids in blocks)])
-
-    def numbers(self, rows: list[list]) -> np.ndarray:
-        """The numbers of all pieces of rows, in order; their ids are known afterwards."""
-        if len(self.index) > self.limit:
-            self.old = (self.index, self.flat, self.start, self.size)
-            self.begin()
-        look = self.index.__getitem__
-        flat = np.fromiter(map(look, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
-        self.learn()
-        return flat
-
-    def learn(self) -> None:
-        """Find the ids of the fresh pieces: from the older generation, as sums, or from the library."""
-        index, fresh, base = self.index, self.index.fresh, len(self.start)
-        known = self.old[0] if self.old else {}
-        again, words, others, sums = [], [], [], []
-        k = 0
-        while k < len(fresh):  # grows by the parts of sums
-            p = fresh[k]
-            if p in known:
-                again.append((k, known[p]))
-            elif p.__class__ is tuple:
-                others.append(k)
-            else:
-                core = p.rstrip(string.punctuation)
-                if not core.isalpha():
-                    others.append(k)
-                elif len(core) < len(p):
-                    sums.append((k, index[core], index[(p[len(core) :],)]))
-                else:
-                    words.append(k)
-            k += 1
-        blocks = []
-        if again:
-            number, n = np.array(again, np.int64).T
-            blocks.append((number, self.old[3][n], ragged(self.old[1], self.old[2][n], self.old[3][n])))
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.encode([" " + " ".join([fresh[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
-            first = np.flatnonzero(self.spaced[ids])  # each word of letters begins at its space
-            if len(first) == len(part):
-                blocks.append((np.array(part), np.diff(first, append=len(ids)), ids))
-            else:
-                others += part
-        texts = [fresh[k][0] if fresh[k].__class__ is tuple else " " + fresh[k] for k in others]
-        found = [e.ids for e in self.encode(texts, add_special_tokens=False)]
-        blocks.append((np.array(others, np.int64), np.array([len(i) for i in found], np.int64), np.fromiter(chain.from_iterable(found), "<u4")))
-        self.keep([(number + base, size, ids) for number, size, ids in blocks], len(fresh))
-        if sums:
-            number, core, tail = np.array(sums, np.int64).T
-            parts = np.column_stack([core, tail]).ravel()
-            ids = ragged(self.flat, self.start[parts], self.size[parts])
-            self.keep([(number + base, self.size[core] + self.size[tail], ids)], 0)
-        fresh.clear()
-
-    def of_rows(self, rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows one after another, and where each row ends."""
-        at = self.numbers(rows)
-        size = self.size[at]
-        before = np.concatenate([[0], np.cumsum(size)])
-        return ragged(self.flat, self.start[at], size), before[np.cumsum([len(row) for row in rows], dtype=np.int64)] if rows else before[:0]
-
-
-def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches of flat, one after another."""
-    before = np.cumsum(size) - size
-    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
-
-
-@lru_cache(maxsize=2)
-def worker_state(path: str) -> Tokens:
-    """One per Python worker."""
-    return Tokens(path)
-
-
-def encoder(path: str, end_id: int | None, edges: list[int]):
-    """f(batch of doc_id, text) -> file number, doc_id, n_tokens, checksum, frame."""
-    tokens = worker_state(path)
+def tokens_of(path: str) -> Known:
+    """The table of pieces' ids, which the tokenizers library gives."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    spaced = np.array([(tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
+    return Known(library_ids(tokenizer, spaced, None), special_strings(tokenizer))
+
+
+@lru_cache(maxsize=1)
+def worker_state(path: str) -> Known:
+    """One per Python worker; its size is bounded by bytes."""
+    return tokens_of(path)
+
+
+def encoder(path: str, end_id: int | None):
+    """f(batch of doc_id, text) -> doc_id, n_tokens, checksum, frame."""
+    known = worker_state(path)
     end = b"" if end_id is None else struct.pack("<I", end_id)
     compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True).compress
-    bounds = np.array(edges, np.int64)
 
     def run(batch: pa.RecordBatch) -> list:
-        flat, stops = tokens.of_rows(keys_of(batch.column(1).to_pylist()))
-        stops = stops.tolist()
-        raw = [flat[a:b].tobytes() + end for a, b in zip([0, *stops], stops)]
-        ids = batch.column(0)
-        files = np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy(), side="right").astype(np.int32)
-        return [files, ids, [len(r) // 4 for r in raw], [xxhash.xxh64_intdigest(r) & 0xFFFFFFFF for r in raw], [compress(r) for r in raw]]
+        flat, at = known.of_texts(batch.column(1))
+        raw, stops = memoryview(flat.tobytes()), (4 * at).tolist()
+        rows = [bytes(raw[a:b]) + end for a, b in zip(stops, stops[1:])]
+        return [batch.column(0), [len(r) // 4 for r in rows], [xxhash.xxh64_intdigest(r) & 0xFFFFFFFF for r in rows], [compress(r) for r in rows]]
 
     return run
 
@@ -179,7 +78,7 @@ class Writer:
     def __init__(self, folder: str, number: int):
         self.fs, base = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(base, recursive=True)
-        self.path = f"{base}/part-{number:06d}.ids.zst"
+        self.path = f"{base}/part-{number:06d}{SUFFIX}"
         self.draft = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.draft)
         self.table, self.doc_ids, self.tokens = [], [], 0
@@ -231,32 +130,35 @@ class Reader:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2) -> DataFrame:
     """Encode docs (doc_id, text) and write them in ascending doc_id order; one row per file: number, path, docs, tokens.
 
-    Files hold consecutive doc_id ranges whose bounds are quantiles of doc_id. folder is a
-    URI that all executors reach. Null texts are empty; null doc_ids come first; rows with
-    equal doc_ids are all kept, ordered by their ids' checksums. An empty table writes no file.
+    Files hold consecutive ranges of (doc_id, checksum), a task each, so rows of one doc_id may be in several.
+    folder is a URI that all executors reach. Null texts are empty; null doc_ids come first; rows with
+    equal doc_ids are all kept, ordered by their ids' checksums. Texts of any length are one frame. An
+    empty table writes no file. Drafts that lost tasks left are removed.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = max(1, partitions(spark))
-    edges = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    encoded = map_batches(docs.select("doc_id", "text"), "file int, doc_id long, n_tokens long, check long, frame binary", lambda: encoder(tokenizer, end_id, edges))
-    dealt = encoded.repartition(len(edges) + 1, "file").sortWithinPartitions("file", F.asc_nulls_first("doc_id"), "check", "frame")
+    # encoded once: finding the ranges reads the stored frames, not the texts
+    encoded = store(map_batches(docs.select("doc_id", "text"), "doc_id long, n_tokens long, check long, frame binary", lambda: encoder(tokenizer, end_id)), "frames")
+    order = (F.asc_nulls_first("doc_id"), F.asc("check"), F.asc("row"))
+    dealt = encoded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, number = None, None
-        done = []
+        number, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            for file, doc_id, n_tokens, check, frame in zip(*(c.to_pylist() for c in batch.columns)):
-                if file != number:
-                    done += [(number, *writer.close())] if writer else []
-                    writer, number = Writer(folder, file), file
+            for doc_id, n_tokens, check, frame in zip(*(c.to_pylist() for c in batch.columns[:4])):
+                writer = writer or Writer(folder, number)
                 writer.add(doc_id, n_tokens, check, frame)
-        done += [(number, *writer.close())] if writer else []
-        columns = list(zip(*done)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["file", "path", "docs", "tokens"])
+        if writer:
+            columns = zip((number, *writer.close()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["file", "path", "docs", "tokens"])
 
-    return store(dealt.mapInArrow(write, "file int, path string, docs long, tokens long"), "token-files")
+    files = store(dealt.mapInArrow(write, "file int, path string, docs long, tokens long"), "token-files")
+    drop(encoded)
+    fs, base = pafs.FileSystem.from_uri(folder)
+    for found in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if not found.path.endswith(SUFFIX):
+            fs.delete_file(found.path)
+    return files
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -295,7 +197,7 @@ def token_output(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     """Write docs as token files, read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/token-output-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(spark, folder)
     files = write_token_files(docs, tokenizer, folder, end_id)
     back = read_token_files(spark, folder, files)
     return map_batches(back, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda: lambda b: [b.column(0), b.column(1), b.column(2), crc32_of(b.column(3))])

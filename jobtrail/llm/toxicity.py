@@ -1,132 +1,127 @@
 """Operator 3: toxicity by a subsequence string kernel SVM with Nystroem landmarks.
 
 The kernel of two strings is the scalar product of their weights of all subsequences of three
-letters, a subsequence weighing DECAY to the length it spans, so letters in between only cost
-weight: "id-i.ot" stays close to "idiot". Kernels are normalised.
-
-Sentences of labelled documents carry their document's label. A sentence is as toxic as its
-most toxic stretch: a word (a run without white space, or single letters in a row) with marks
-for its ends, or any LONGEST letters in a row, white space being one letter that only costs
-weight, so phrases and words with gaps are seen. The SVM learns on stretches: first on words
-and phrases that occur in toxic sentences almost only, then, ROUNDS times, on the stretch of
-each labelled document that it finds most toxic. Stretches are mapped to landmarks by the
+letters that reach over at most REACH more letters, a subsequence weighing DECAY for each letter
+in between, divided by the norms of both (of the weights by place). So letters put in between
+only cost weight: "idxiot" stays close to "idiot". Digits, marks and white space are no letters
+and cost nothing: "id-i. ot" is "idiot". The start and the end of a string count as letters.
+
+Sentences of labelled documents carry their document's label. A sentence is as toxic as its most
+toxic stretch: a word, letters that stand alone in a row, or up to PHRASE words in a row, so that
+phrases and words with white space in them are one string; of very long words every WINDOW letters.
+The SVM learns on stretches: of a toxic document on that of its sentence found most toxic, of a
+clean one on that found most toxic wrongly, ROUNDS times; at first on words and phrases that are
+in toxic sentences almost only, found by counting. Stretches are mapped to landmarks by the
 Nystroem method. As the landmarks are fixed, the SVM's margin of a stretch is one weight per
-subsequence, looked up and summed: nothing is lost. Every window of a text is summed at once by
-the distances of the three letters; as its norm is at least that of different subsequences,
-only windows that can exceed the text's best so far need their exact norm.
-A document's margin is the largest of its sentences; a logistic curve makes it a score.
+subsequence, summed and divided by the norm: every stretch of a whole text is scored exactly, by
+whole-array arithmetic. A document's margin is that of its most toxic stretch; a logistic curve
+makes it a score.
 """
 
 from __future__ import annotations
 
-import gc
 import re
+import unicodedata
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import bounded_batches, held_out, map_batches, sampled_labels, store
+from jobtrail.llm.common import bounded_batches, drop, held_out, map_batches, partitions, release, sampled_labels, store
 
 #: Of more labelled rows about so many, taken by a hash of doc_id, are learned from.
 SAMPLE = 12_000
-#: Bounds of what the driver gets of them: spans of either kind, landmarks of either kind.
-SPANS, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 3000, 96, 96
-ROUNDS, FIRST = 2, 300
-DECAY, LETTERS = 0.6, 64
-#: Longer spans are judged by windows of this length, half of it apart.
-LONGEST = 16
-#: Letters that stand for the start and the end of a span.
-START, END = 38 + 23, 38 + 24
-KEPT = 200_000
-#: Words of a phrase, and toxic sentences that a phrase is in, at least, to be learned from at first.
-PHRASE, SEEN = 4, 4
+#: Words and phrases of clean sentences that the first round learns from, taken by hash; landmarks of either kind.
+CLEAN_STRINGS, LANDMARKS = 6000, 128
+ROUNDS = 3
+DECAY, REACH = 0.6, 4
+#: Words of more letters are judged by windows of so many too, half of it apart.
+WINDOW = 16
+#: Codes: 0 is no letter; then letters, any letter without a code of its own, start and end of a string.
+LETTERS = 64
+OTHER, START, END = LETTERS - 3, LETTERS - 2, LETTERS - 1
+#: Words of a phrase; toxic sentences that a word or a phrase is in, at least, to be learned from at first.
+PHRASE, SEEN_WORD, SEEN_PHRASE = 4, 2, 4
 NOTHING = -4.0
-_SINGLE = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Letters that are scored at once; longer texts are cut, with so many letters in both parts.
+BLOCK, OVERLAP = 1 << 15, 256
+#: What words begin and end with that is no part of them.
+EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 
-@lru_cache(maxsize=None)
+def plain(text: str) -> str:
+    """Lower case, each stretch of white space one space."""
+    return " ".join(text.lower().split())
+
+
+@lru_cache(maxsize=2)
+def letter_codes(alphabet: str) -> np.ndarray:
+    """The code of every character: Latin letters with marks count as those without."""
+    known = {c: k + 1 for k, c in enumerate(alphabet)}
+    out = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), bool) * np.uint8(OTHER)
+    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        if out[c]:
+            out[c] = known.get(unicodedata.normalize("NFKD", chr(c)).lower()[0], OTHER)
+    for c, k in known.items():
+        out[ord(c)] = k
+    return out
+
+
+def codes(text: str, alphabet: str) -> np.ndarray:
+    return letter_codes(alphabet)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+@lru_cache(maxsize=1024)
 def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index triples of a string of n letters, and the weight of what they span."""
-    at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    """Index triples of n letters, and the weight of what they reach over."""
+    at = np.array([(i, i + j, i + span) for span in range(2, min(REACH, n - 1) + 1) for i in range(n - span) for j in range(1, span)], np.int64).reshape(-1, 3)
     return at, DECAY ** (at[:, 2] - at[:, 0] - 2.0)
 
 
-def codes(span: str) -> list[int]:
-    """Letters as numbers from 1; what is no letter is 0 and only takes up room."""
-    out = []
-    for c in span.lower():
-        k = ord(c)
-        out.append(k - 96 if 97 <= k <= 122 else 27 + k % 34 if k > 127 and c.isalpha() else 0)
-    return out
+def norms(most: int) -> np.ndarray:
+    """The norm of the weights by place of strings of 0 to that many letters; 1 where there are no subsequences."""
+    n = np.arange(most + 1)[:, None]
+    span = np.arange(2, REACH + 1)
+    out = np.sqrt((np.maximum(n - span, 0) * (span - 1) * DECAY ** (2.0 * span - 4)).sum(axis=1))
+    return np.where(out > 0, out, 1.0)
 
 
-def windows(span: str) -> list[list[int]]:
-    """The strings of a word, with marks for its ends; of a phrase or (with a space first) a window, without."""
-    if span[:1] == " ":
-        return [codes(span[1:])]
-    if " " in span:
-        c = codes(span)
-        return [c[i : i + LONGEST] for i in range(0, max(1, len(c) - LONGEST + 4), 4)]
-    c = codes(span)
-    while c and not c[0]:
-        c.pop(0)
-    while c and not c[-1]:
-        c.pop()
-    if not c:
-        return [c]
-    c = [START, *c, END]
-    if len(c) <= LONGEST:
-        return [c]
-    return [c[i : i + LONGEST] for i in range(0, len(c) - LONGEST // 2, LONGEST // 2)]
-
-
-def weights(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of strings of one length, rows of codes: subsequences (-1: none) and their normalised weights."""
-    at, decay = triples(strings.shape[1])
-    a, b, c = (strings[:, at[:, k]] for k in range(3))
-    key = np.where((a > 0) & (b > 0) & (c > 0), (a * LETTERS + b) * LETTERS + c, -1)
-    packed = np.sort(key << 10 | np.arange(key.shape[1]), axis=1)  # there are fewer than 1024
-    key, order = packed >> 10, packed & 1023
-    w = np.where(key >= 0, decay[order], 0.0)
-    # equal subsequences of a string add up: norm of the sums
-    flat = (key + np.arange(len(key))[:, None] * LETTERS**3).ravel()
-    first = np.flatnonzero(np.diff(flat, prepend=flat[0] - 1 if len(flat) else 0))
-    sums = np.add.reduceat(w.ravel(), first)
-    norm = np.sqrt(np.bincount(first // w.shape[1], sums**2, len(w)))
-    return key, w / np.where(norm > 0, norm, 1)[:, None]
-
-
-def vectors(span: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each window of a span the subsequences and their normalised weights."""
-    out = []
-    for c in windows(span):
-        if len(c) < 3:
-            continue
-        key, w = weights(np.array([c]))
-        keys, at = np.unique(key[0], return_inverse=True)
-        sums = np.bincount(at, w[0])
-        if (keys >= 0).any():
-            out.append((keys[keys >= 0], sums[keys >= 0]))
-    return out
+def vector(c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Subsequences of a string of letters and their weights, divided by the norm of the weights by place."""
+    at, decay = triples(len(c))
+    if not len(at):
+        return None
+    a, b, c = (c[at[:, k]].astype(np.int64) for k in range(3))
+    keys, which = np.unique((a * LETTERS + b) * LETTERS + c, return_inverse=True)
+    return keys, np.bincount(which, decay) / np.sqrt((decay**2).sum())
 
 
-def vector(span: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """That of the first window."""
-    return next(iter(vectors(span)), None)
+def vectors(text: str, alphabet: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a word or phrase; of one with more letters than a window of its windows too."""
+    c = codes(text, alphabet)
+    c = c[c > 0]
+    if not len(c):
+        return []
+    parts = [np.concatenate([[START], c, [END]])[:200]]
+    if len(c) > WINDOW:
+        parts += [c[i : i + WINDOW] for i in range(0, len(c) - WINDOW // 2, WINDOW // 2)]
+    return [v for v in map(vector, parts) if v]
 
 
 def kernel(one: list[tuple], two: list[tuple]) -> np.ndarray:
-    """Kernels of all of one with all of two, which is short."""
+    """Kernels of all of one with all of two."""
     known = np.unique(np.concatenate([k for k, _ in two]))
-    table = np.zeros((len(known) + 1, len(two)))  # the last row: subsequences that two lacks
+    table = np.zeros((len(known) + 1, len(two)), np.float32)  # the last row: subsequences that two lacks
     for j, (k, w) in enumerate(two):
         table[np.searchsorted(known, k), j] = w
-    out = np.zeros((len(one), len(two)))
+    out = np.zeros((len(one), len(two)), np.float32)
     for i, (k, w) in enumerate(one):
         at = np.searchsorted(known, k)
         at[known[np.minimum(at, len(known) - 1)] != k] = len(known)
@@ -134,22 +129,36 @@ def kernel(one: list[tuple], two: list[tuple]) -> np.ndarray:
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM with squared hinge loss, each row with its own cost."""
-    z = np.column_stack([x, np.ones(len(x))])
-    w, v = np.zeros(z.shape[1]), np.zeros(z.shape[1])
-    rate = 1 / (1 + 2 * np.linalg.norm(z * np.sqrt(c)[:, None], 2) ** 2)
-    for k in range(1, steps + 1):
-        gap = np.maximum(0, 1 - y * (z @ v))
-        after = v - rate * (np.append(v[:-1], 0) - 2 * z.T @ (c * y * gap))
-        v, w = after + (k - 1) / (k + 2) * (after - w), after
+def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear SVM with squared hinge loss, each row with its own cost; by Newton steps."""
+    z = np.column_stack([x, np.ones(len(x), x.dtype)])
+    own = np.append(np.ones(x.shape[1]), 1e-9)  # the bias is free
+    w = np.zeros(z.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return float((own * w * w).sum() / 2 + (c * np.maximum(0, 1 - y * (z @ w)) ** 2).sum())
+
+    for _ in range(steps):
+        gap = 1 - y * (z @ w)
+        on = gap > 0
+        rows = z[on]
+        slope = own * w - 2 * rows.T @ (c * y * gap)[on]
+        rows *= np.sqrt(c[on, None]).astype(rows.dtype)
+        move = np.linalg.solve(np.diag(own) + 2.0 * (rows.T @ rows), slope)
+        now, rate = loss(w), 1.0
+        while rate > 1e-3 and loss(w - rate * move) > now - 0.1 * rate * float(slope @ move):
+            rate /= 2
+        w = w - rate * move
+        if float(slope @ move) < 1e-8 * max(1.0, now):
+            break
     return w[:-1], float(w[-1])
 
 
 @dataclass(frozen=True)
 class Model:
-    """A weight for every subsequence, the SVM's bias, and the curve from margins to scores."""
+    """Letters, a weight for every subsequence, the SVM's bias, and the curve from margins to scores."""
 
+    alphabet: str
     keys: bytes
     values: bytes
     bias: float
@@ -157,168 +166,186 @@ class Model:
     shift: float = 0.0
 
     def table(self) -> np.ndarray:
-        out = np.zeros(LETTERS**3 + 1)  # the last is for key -1
+        out = np.zeros(LETTERS**3, np.float32)
         out[np.frombuffer(self.keys, np.int64)] = np.frombuffer(self.values, np.float64)
         return out
 
 
-def learn_spans(toxic: dict[str, float], clean: dict[str, float], cost: float = 1000.0) -> Model | None:
-    """Fit the SVM on spans with weights; each kind has the same share of the cost."""
-    known = [(t, w, 1.0) for t, w in sorted(toxic.items())] + [(t, w, -1.0) for t, w in sorted(clean.items())]
-    known = [(t, w, s, v) for t, w, s in known for v in vectors(t)]
-    known.sort(key=lambda x: -x[1])
-    y = np.array([s for _, _, s, _ in known])
+def learn_strings(toxic: dict[str, float], clean: dict[str, float], alphabet: str, cost: float = 1000.0) -> Model | None:
+    """Fit the SVM on strings with weights; each kind has the same share of the cost."""
+    known = [(w, s, v) for strings, s in ((toxic, 1.0), (clean, -1.0)) for t, w in sorted(strings.items()) for v in vectors(t, alphabet)]
+    known.sort(key=lambda x: -x[0])
+    y = np.array([s for _, s, _ in known])
     if not (y > 0).any() or not (y < 0).any():
         return None
     marks: list[tuple] = []
-    for sign, most in ((1, TOXIC_LANDMARKS), (-1, CLEAN_LANDMARKS)):
-        first = [v for _, _, s, v in known if s == sign][: 4 * most]
+    for sign in (1, -1):  # landmarks differ from each other
+        first = [v for _, s, v in known if s == sign][: 4 * LANDMARKS]
         alike, own = kernel(first, first), []
-        for i in range(len(first)):  # landmarks differ from each other
-            if len(own) < most and (not own or alike[i, own].max() < 0.9):
+        for i in range(len(first)):
+            if len(own) < LANDMARKS and (not own or alike[i, own].max() < 0.9):
                 own.append(i)
         marks += [first[i] for i in own]
-    among = kernel(marks, marks)
-    value, base = np.linalg.eigh(among + 1e-6 * np.eye(len(marks)))
+    value, base = np.linalg.eigh(kernel(marks, marks) + 1e-6 * np.eye(len(marks)))
     root = base @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ base.T
-    x = kernel([k[3] for k in known], marks) @ root
-    share = np.array([w for _, w, _, _ in known], float)
+    x = kernel([v for _, _, v in known], marks) @ root.astype(np.float32)
+    share = np.array([w for w, _, _ in known], float)
     share = np.where(y > 0, share / share[y > 0].sum(), share / share[y < 0].sum()) * cost
     w, bias = svm(x, y, share)
-    per: dict[int, float] = {}
-    for alpha, mark in zip(root @ w, marks):
-        for k, v in zip(*(x.tolist() for x in mark)):
-            per[k] = per.get(k, 0.0) + float(alpha) * v
-    return Model(np.array(list(per), np.int64).tobytes(), np.array(list(per.values())).tobytes(), bias)
+    per = np.zeros(LETTERS**3)
+    for alpha, (k, v) in zip(root @ w, marks):
+        per[k] += alpha * v
+    keys = np.flatnonzero(per)
+    return Model(alphabet, keys.tobytes(), per[keys].tobytes(), bias)
 
 
-@lru_cache(maxsize=2)
-def worker_state(model: Model) -> tuple[np.ndarray, list[dict]]:
-    gc.disable()
-    return model.table(), [{}, {}]
+def words_of(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First letter, letter after the last, and text of each word, from the word and text of each letter.
 
+    Letters that stand alone in a row are one word.
+    """
+    new = np.append(True, word[1:] != word[:-1])
+    start = np.flatnonzero(new)
+    end, own = np.append(start[1:], len(word)), doc[start]
+    alone = end - start == 1
+    head = np.flatnonzero(~np.append(False, alone[1:] & alone[:-1] & (own[1:] == own[:-1])))
+    return start[head], end[np.append(head[1:], len(end)) - 1], own[head]
 
-@lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    """codes() of every character, as a table."""
-    k = np.arange(0x110000)
-    known = np.frombuffer(bytes(c > 127 and chr(c).isalpha() for c in range(0x110000)), bool)
-    return np.where((k >= 97) & (k <= 122), k - 96, np.where(known, 27 + k % 34, 0)).astype(np.int32)
-
-
-def sums_of_windows(c: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window of c (which ends in LONGEST zeros) the sum of its weights and the least square of its norm."""
-    n = len(c) - LONGEST
-    raw, least = np.zeros(n), np.zeros(n)
-    full = c > 0
-    before = np.append(0, np.cumsum(full))
-    c = c.astype(np.int64)
-    pairs = [(c[: len(c) - d] * LETTERS + c[d:]) * LETTERS for d in range(1, LONGEST)]
-    keys, found = np.empty(len(c), np.int64), np.empty(len(c), np.float32)
-    for span in range(2, LONGEST):
-        m = len(c) - span
-        last, one = c[span:], np.zeros(m, np.float32)
-        for d in range(1, span):
-            np.add(pairs[d - 1][:m], last, out=keys[:m])
-            one += np.take(table, keys[:m], out=found[:m], mode="clip")
-        many = (full[:m] & full[span:]) * (before[span : span + m] - before[1 : m + 1])
-        for out, x, decay in ((raw, one, DECAY ** (span - 2)), (least, many, DECAY ** (2 * span - 4))):
-            total = np.append(0.0, np.cumsum(x, dtype=np.float64))
-            out += decay * (total[LONGEST - span : LONGEST - span + n] - total[:n])
-    return raw, least
-
-
-def stretches(texts: list[str | None], best: list[tuple[float, str]], table: np.ndarray, bias: float) -> None:
-    """Replace the best margins of texts by those of windows (with a space before them) that have larger ones."""
-    part = table.astype(np.float32)
-    flat = [" ".join(t.lower().split()) if t else "" for t in texts]
-    for i, t in enumerate(flat):
-        if len(t) < 3:
-            continue
-        c = np.append(letters()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)], np.zeros(LONGEST, np.int32))
-        most = []
-        for at in range(0, len(t), 1 << 12):
-            raw, least = sums_of_windows(c[at : at + (1 << 12) + LONGEST], part)
-            most.append(np.where(least > 1e-9, np.maximum(raw, 0) / np.sqrt(np.maximum(least, 1e-9)) + bias + 1e-4, NOTHING))
-        bound = np.concatenate(most)
-        order = np.flatnonzero(bound > best[i][0])
-        order = order[np.argsort(-bound[order])]
-        at, step = 0, 4
-        while at < len(order) and bound[order[at]] > best[i][0]:
-            now = order[at : at + step]
-            key, w = weights(c[now[:, None] + np.arange(LONGEST)].astype(np.int64))
-            m = (table[key] * w).sum(axis=1) + bias
-            k = int(m.argmax())
-            if m[k] > best[i][0]:
-                best[i] = float(m[k]), " " + t[now[k] : now[k] + LONGEST]
-            at, step = at + step, min(4 * step, 1024)
-
-
-def margins(model: Model, wide: bool = True):
-    """f(texts) -> the largest margin of each text's words and windows, and such a one."""
-    table, kept = worker_state(model)
-
-    def find(spans: list[str]) -> None:
-        by_length: dict[int, tuple[list, list]] = {}
-        new = kept[0]
-        for s in spans:
-            new[s] = NOTHING
-            for c in windows(s):
-                if len(c) >= 3:
-                    rows, owner = by_length.setdefault(len(c), ([], []))
-                    rows.append(c)
-                    owner.append(s)
-        for rows, owner in by_length.values():
-            step = max(1, 2_000_000 // len(triples(len(rows[0]))[0]))
-            for at in range(0, len(rows), step):
-                key, w = weights(np.array(rows[at : at + step]))
-                for s, m in zip(owner[at : at + step], ((table[key] * w).sum(axis=1) + model.bias).tolist()):
-                    if m > new[s]:
-                        new[s] = m
-
-    def run(texts: list[str | None]) -> list[tuple[float, str]]:
-        rows = []
-        for t in texts:
-            spans = set(t.split()) if t else set()
-            if t:
-                spans.update("".join(m.split()) for m in _SINGLE.findall(t))
-            rows.append(spans)
-        if len(kept[0]) > KEPT:
-            kept[1], kept[0] = kept[0], {}
-        new, old = kept
-        unknown = []
-        for s in set().union(*rows):
-            if s not in new:
-                if s in old:
-                    new[s] = old[s]
-                else:
-                    unknown.append(s)
-        find(unknown)
-        look = kept[0].__getitem__
-        tops = [max(spans, key=look, default="") for spans in rows]
-        best = [(look(top) if top else NOTHING, top) for top in tops]
-        if wide:
-            stretches(texts, best, table, model.bias)
-        return best
 
-    return run
+def rows_of_words(own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First and last word of stretches that do not overlap: single words, then up to PHRASE in a row from every word on."""
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    for k in range(1, PHRASE + 1):
+        for r in range(k):
+            head = np.flatnonzero((place % k == r) | (place == 0))
+            yield head, np.append(head[1:], len(own)) - 1
 
 
-def margin_batches(model: Model, wide: bool = True):
-    run = margins(model, wide)
+def windows_of(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of windows in long words, which do not overlap."""
+    long = [(a, b) for a, b in zip(start.tolist(), end.tolist()) if b - a > WINDOW]
+    for r in (0, WINDOW // 2) if long else ():
+        cut = [(k, min(k + WINDOW, b)) for a, b in long for k in range(a + r, max(a + r + 1, b - WINDOW // 2), WINDOW)]
+        yield tuple(np.array(cut).T)
 
 
-    def of(batch: pa.RecordBatch) -> list:
-        found = run(batch.column(1).to_pylist())
-        return [batch.column(0), [m for m, _ in found], [s for _, s in found]]
+def cumulated(n: int, letters: Callable, table: np.ndarray) -> np.ndarray:
+    """Weights summed over subsequences that reach over up to so many letters (the first index).
 
-    return of
+    letters(k, span) gives the codes at the first, second and last place, k after the first, times
+    LETTERS squared, LETTERS and 1.
+    """
+    out = np.zeros((REACH + 1, n))
+    keys, found = np.empty(n, np.int64), np.empty(n, np.float32)
+    for span in range(2, REACH + 1):
+        one = np.zeros(n, np.float32)
+        for k in range(1, span):
+            x, y, z = letters(k, span)
+            np.add(x, y, out=keys)
+            np.add(keys, z, out=keys)
+            one += np.take(table, keys, out=found, mode="clip")
+        np.add(out[span - 1], one * np.float32(DECAY ** (span - 2)), out=out[span])
+    return out
 
 
-def with_margins(docs: DataFrame, model: Model, wide: bool = True) -> DataFrame:
-    """doc_id, margin and the span that has it, row by row; of words alone unless wide."""
+@lru_cache(maxsize=1)
+def worker_table(model: Model) -> np.ndarray:
+    return model.table()
+
+
+def best_stretches(texts: list[str], model: Model) -> list[tuple[float, int, int]]:
+    """Of each text (plain, not empty) the largest kernel expansion of a stretch, and where that is."""
+    table = worker_table(model)
+    flat = " ".join(texts) + " "
+    points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = letter_codes(model.alphabet)[points]
+    size = np.array([len(t) + 1 for t in texts])
+    offset = np.cumsum(size) - size
+    best, where = np.full(len(texts), NOTHING), np.zeros((len(texts), 2), np.int64)
+    place = np.flatnonzero(code)
+    n = len(place)
+    if not n:
+        return [(NOTHING, 0, 0)] * len(texts)
+    text = np.repeat(np.arange(len(texts)), size)[place]
+    start, end, own = words_of(np.cumsum(points == 0x20)[place], text)
+    c = np.zeros(n + 2 * REACH, np.int64)
+    c[REACH : REACH + n] = code[place]
+    low, high = c * LETTERS, c * LETTERS**2
+    last, middle = ([x[REACH + k : REACH + k + n] for k in range(REACH + 1)] for x in (c, low))
+    inner = cumulated(n, lambda k, span: (high[REACH : REACH + n], middle[k], last[span]), table)
+    before = np.append(0, np.cumsum(inner[REACH]))
+    # the start of a string is one place before its first letter, the end one after the last
+    at, to = start + REACH, end + REACH
+    head = cumulated(len(at), lambda k, span: (START * LETTERS**2, low[at + k - 1], c[at + span - 1]), table)
+    tail = cumulated(len(to), lambda k, span: (high[to - span], low[to - span + k], END), table)
+
+    def beyond(to: np.ndarray) -> np.ndarray:
+        """Sums over subsequences that begin within so many letters before an end and reach over it."""
+        out = np.zeros((REACH + 1, len(to)))
+        for j in range(REACH):
+            k = np.maximum(to - 1 - j, 0)
+            out[j + 1] = out[j] + inner[REACH, k] - inner[j, k]
+        return out
+
+    def judge(a: np.ndarray, b: np.ndarray, of: np.ndarray, over: np.ndarray, to: np.ndarray, ends: np.ndarray | None) -> None:
+        """Stretches from a to b, in order; over and to say what reaches over their ends, ends their first words."""
+        long = b - a
+        span = np.minimum(long, REACH)
+        value = before[b] - before[a] - over[span, to]
+        if ends is not None:  # the end reaches back over as many letters
+            value += head[np.minimum(long, REACH), ends] + tail[np.minimum(long, REACH), to]
+            long = long + 2
+        value /= norms(int(long.max()))[long]
+        group = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        most = np.maximum.reduceat(value, group)
+        for k in np.flatnonzero(most > best[of[group]]).tolist():
+            x = int(group[k]) + int(np.argmax(value[group[k] :] == most[k]))
+            best[of[x]] = most[k]
+            where[of[x]] = place[a[x]] - offset[of[x]], place[b[x] - 1] + 1 - offset[of[x]]
+
+    over = beyond(end)
+    for x, y in rows_of_words(own):
+        judge(start[x], end[y], own[x], over, y, x)
+    for a, b in windows_of(start, end):
+        judge(a, b, text[a], beyond(b), np.arange(len(b)), None)
+    return [(m, a, b) for m, (a, b) in zip(best.tolist(), where.tolist())]
+
+
+def margins(model: Model, texts: list[str | None], with_tops: bool = False) -> tuple[list[float], list[str]]:
+    """The margin of each text, and on demand its stretch that has it."""
+    margin, tops = [NOTHING] * len(texts), [""] * len(texts)
+    parts = []
+    for k, t in enumerate(texts):
+        t = plain(t) if t else ""
+        at = 0
+        while at < len(t):  # parts of bounded length, which begin with a word where they can
+            parts.append((k, t[at : at + BLOCK]))
+            if at + BLOCK >= len(t):
+                break
+            at += BLOCK - OVERLAP
+            at = t.find(" ", at, at + OVERLAP // 2) + 1 or at
+    while parts:
+        n, room = 0, 0
+        while n < len(parts) and (not n or room + len(parts[n][1]) <= BLOCK):
+            room += len(parts[n][1])
+            n += 1
+        now, parts = parts[:n], parts[n:]
+        for (k, t), (m, a, b) in zip(now, best_stretches([t for _, t in now], model)):
+            if m > NOTHING and m + model.bias > margin[k]:
+                margin[k] = m + model.bias
+                tops[k] = t[a:b] if with_tops else ""
+    return margin, tops
+
+
+def with_margins(docs: DataFrame, model: Model, with_tops: bool = False) -> DataFrame:
+    """doc_id and margin row by row, and on demand the stretch that has it."""
     bounded_batches(docs.sparkSession)
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, margin double, top string", lambda: margin_batches(model, wide))
+
+    def score(batch: pa.RecordBatch) -> list:
+        margin, tops = margins(model, batch.column(1).to_pylist(), with_tops)
+        return [batch.column(0), margin, tops] if with_tops else [batch.column(0), margin]
+
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, margin double" + ", top string" * with_tops, lambda: score)
 
 
 def curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -345,72 +372,126 @@ def curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def harder(clean: dict[str, float], tops: list[tuple[str, int, int]]) -> tuple[dict, dict]:
-    """Toxic spans anew, and the clean ones with those that clean documents look toxic by."""
-    toxic, clean = {}, dict(clean)
-    for span, a, b in tops:
+def bare_words(sentence: str) -> list[str]:
+    """The words of a sentence in lower case, without marks at their ends."""
+    words = (w if w.isalnum() else EDGES.sub("", w) for w in sentence.lower().split())
+    return [w for w in words if w]
+
+
+def phrases_of(words: list[str]) -> Iterator[tuple[str, str]]:
+    """Every phrase of 2 to PHRASE words, and the word before it."""
+    for k in range(len(words) - 1):
+        for n in range(2, min(PHRASE, len(words) - k) + 1):
+            yield " ".join(words[k : k + n]), words[k - 1] if k else ""
+
+
+def count_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (label, sentence): words with the number of toxic and of clean sentences; phrases of toxic ones with the word before."""
+    words, phrases = (Counter(), Counter()), set()  # a task's share of the sample
+    for batch in batches:
+        for label, sentence in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            row = bare_words(sentence)
+            words[label].update(set(row))
+            if label:
+                phrases.update(phrases_of(row))
+    rows = [(w, None, words[1][w], words[0][w]) for w in words[0].keys() | words[1].keys()] + [(t, p, 1, 0) for t, p in phrases]
+    columns = list(zip(*rows)) or [[]] * 4
+    for k in range(0, len(rows), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000], t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["string", "previous", "toxic", "clean"])
+
+
+def clean_phrases(candidates: set[str]):
+    """f(batches of clean sentences): candidates with the number of sentences, and some other phrases with 0."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, other = Counter(), set()
+        for batch in batches:
+            for sentence in batch.column(0).to_pylist():
+                found = {t for t, _ in phrases_of(bare_words(sentence))}
+                met.update(found & candidates)
+                other.update(t for t in found - candidates if zlib.crc32(t.encode()) % 256 == 0)
+        yield pa.RecordBatch.from_arrays([pa.array([*met, *other], pa.string()), pa.array([*met.values(), *(0 for _ in other)], pa.int64())], names=["string", "clean"])
+
+    return run
+
+
+def first_strings(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and phrases that are in toxic sentences almost only, and some of clean sentences, with weights.
+
+    What comes to the driver is bounded by the sample.
+    """
+    sentence = F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence")
+    sentences = store(rows.select("label", sentence).distinct().repartition(partitions(rows.sparkSession)), "toxic-sentences")  # copies do not count
+    counted = store(sentences.mapInArrow(count_strings, "string string, previous string, toxic long, clean long"), "toxic-strings")
+    words = store(counted.where("previous is null").groupBy("string").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-words")
+    toxic = {r.string: float(r.toxic) for r in words.where(f"toxic >= {SEEN_WORD} and toxic >= 8 * clean").select("string", "toxic").collect()}
+    # near copies of a sentence have the same word before the phrase, and count once
+    often = counted.where("previous is not null").groupBy("string").agg(F.count_distinct("previous").alias("n")).where(f"n >= {SEEN_PHRASE}")
+    candidates = {r.string: r.n for r in often.collect()}
+    found = sentences.where("label = 0").select("sentence").mapInArrow(clean_phrases(set(candidates)), "string string, clean long")
+    clean_of = store(found.groupBy("string").agg(F.sum("clean").alias("clean")), "clean-phrases")
+    met = {r.string: r.clean for r in clean_of.where("clean > 0").collect()}
+    for phrase, n in candidates.items():
+        if n >= 8 * met.get(phrase, 0) and not any(w in toxic for w in phrase.split()):
+            toxic[phrase] = float(n)
+    some = words.where("clean > toxic").orderBy(F.xxhash64("string")).limit(CLEAN_STRINGS // 2)
+    other = clean_of.where("clean = 0").orderBy(F.xxhash64("string")).limit(CLEAN_STRINGS // 2)
+    clean = {r.string: 1 + float(np.log1p(r.clean)) for r in some.select("string", "clean").collect()} | {r.string: 1.0 for r in other.select("string").collect()}
+    drop(sentences, counted, words, clean_of)
+    return toxic, clean
+
+
+def harder(first: dict[str, float], clean: dict[str, float], tops: list[tuple[str, int, int]]) -> tuple[dict, dict]:
+    """The first toxic strings and those found in toxic documents; the clean ones and those that clean documents look toxic by."""
+    toxic, clean = dict(first), dict(clean)
+    for string, a, b in tops:
         if a >= 4 * b and a:
-            toxic[span] = float(a)
-            clean.pop(span, None)
+            toxic[string] = toxic.get(string, 0.0) + a
+            clean.pop(string, None)
         elif b > a:
-            clean[span] = clean.get(span, 1.0) + b
+            toxic.pop(string, None)
+            clean[string] = clean.get(string, 1.0) + b
     return toxic, clean
 
 
 def learn(sample: DataFrame) -> Model | float:
     """Learn from a bounded number of rows (doc_id, text, label); a number if there is nothing to tell apart."""
-    rows = store(sample.select("doc_id", "text", "label"), "toxic-sample")
+    rows = store(sample.select("doc_id", "text", "label").repartition(partitions(sample.sparkSession)), "toxic-sample")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     share = ((ones or 0) + 1) / (n + 2)
     if not n or ones in (0, n):
         return share
-    sentence = F.explode(F.split("text", r"(?<=[.!?])\s+|\n"))
-    span = F.explode(F.array_distinct(F.split(F.lower("sentence"), r"\s+")))
-    bare = F.regexp_replace("span", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    sentences = rows.select("label", sentence.alias("sentence")).distinct()  # copies do not count
-    words = sentences.select("label", "sentence", span.alias("span")).select("label", bare.alias("span"), F.lit(1).alias("n")).where("length(span) between 3 and 40")
-    row = F.filter(F.transform(F.split(F.lower("sentence"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("row")), lambda k: F.transform(F.sequence(F.lit(2), F.lit(PHRASE)), lambda n: F.when(k + n <= F.size("row") + 1, F.array_join(F.slice("row", k, n), " ")))))
-    phrases = sentences.select("label", row.alias("row")).where("size(row) > 1").select("label", F.explode(F.array_distinct(runs)).alias("span"), F.lit(2).alias("n")).where("length(span) between 5 and 40")
-    counts = store(words.unionByName(phrases).groupBy("span", "n").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")), "toxic-spans")
-    seeds = counts.where(f"toxic >= if(n = 1, 2, {SEEN}) and toxic >= 8 * clean").orderBy("n", F.desc("toxic"), "span")
-    toxic = dict(map(tuple, seeds.where("n = 1").limit(FIRST).select("span", "toxic").collect()))
-    plain = counts.where("clean > toxic").select("span", "clean", "n")
-    for phrase, n in seeds.where("n > 1").limit(4 * FIRST).select("span", "toxic").collect():
-        if len(toxic) < 2 * FIRST and not any(w in toxic for w in phrase.split()):
-            toxic[phrase] = n
-    often = plain.where("n = 1").orderBy(F.desc("clean"), "span").limit(SPANS).select("span", "clean").collect()
-    other = plain.orderBy("n", F.xxhash64("span")).where("n = 1").limit(SPANS).select("span", "clean").collect()
-    runs_of = plain.where("n > 1").orderBy(F.xxhash64("span")).limit(SPANS).select("span", "clean").collect()
-    clean = {t: 1 + float(np.log1p(n)) for t, n in [*often, *other, *runs_of]}
-    model = learn_spans(toxic, clean)
+    first, clean = first_strings(rows)
+    others = Counter(c for t in first for c in t if c.isalpha() and unicodedata.normalize("NFKD", c)[0] not in LATIN)
+    alphabet = LATIN + "".join(c for c, _ in sorted(others.items(), key=lambda x: (-x[1], x[0]))[: OTHER - 1 - len(LATIN)])
+    model = learn_strings(first, clean, alphabet)
     if model is None:
         return share
     labelled = rows.select("doc_id", "label")
-    kept = {t: n for t, n in toxic.items() if " " in t}
     for _ in range(ROUNDS):
-        tops = with_margins(rows, model, wide=False).join(labelled, "doc_id").groupBy(F.lower("top")).agg(F.sum("label"), F.sum(1 - F.col("label"))).collect()  # about SAMPLE at most
-        toxic, clean = harder(clean, tops)
-        toxic |= kept
-        model = learn_spans(toxic, clean) or model
-    seen = with_margins(rows, model).join(labelled, "doc_id").select("margin", "label").collect()  # about SAMPLE at most
+        tops = with_margins(rows, model, True).join(labelled, "doc_id").groupBy("top").agg(F.sum("label"), F.sum(1 - F.col("label"))).collect()  # SAMPLE rows at most
+        toxic, clean = harder(first, clean, tops)
+        model = learn_strings(toxic, clean, alphabet) or model
+    seen = with_margins(rows, model).join(labelled, "doc_id").select("margin", "label").collect()  # SAMPLE rows at most
     margin, label = (np.array(x, float) for x in zip(*seen))
     slope, shift = curve(margin, label)
-    return Model(model.keys, model.values, model.bias, max(slope, 1e-3), shift)
+    drop(rows)
+    release(sample.sparkSession)
+    return Model(model.alphabet, model.keys, model.values, model.bias, max(slope, 1e-3), shift)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per row of docs (doc_id, text): held_out, score, predicted (1 if score >= threshold).
 
     Learns from labels (doc_id, toxic) of rows that are not held out; null labels and texts are
-    left out, of several labels of a doc_id the largest counts, of several texts one. Whole
-    texts are scored; null and empty ones get the least score. Repeated rows are scored each;
-    with no labels, or labels of one kind, all rows get the (smoothed) share of label 1. An
-    empty table gives no rows.
+    left out, of several labels of a doc_id the largest counts, of several texts the least. Whole
+    texts of any length are scored; null and empty ones get the least score. Repeated rows are
+    scored each; with no labels, or labels of one kind, all rows get the (smoothed) share of
+    label 1. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     known = sampled_labels(labels, F.max("toxic"), SAMPLE)
-    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     model = learn(rows)
     if isinstance(model, float):
         scored = docs.select("doc_id", F.lit(model).alias("score"))

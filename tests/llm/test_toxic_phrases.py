@@ -38,15 +38,49 @@ def test_insults_with_gaps(spark):
     assert [out[k].predicted for k in (900, 901, 902, 903)] == [1, 1, 1, 0], [out[k].score for k in (900, 901, 902, 903)]
 
 
-def test_every_window_counts():
-    model = toxicity.learn_spans({"blockhead": 3.0, "you are a fool": 2.0}, {"restaurant": 1.0, "mister": 2.0, "a plain word": 1.0})
+def test_every_stretch_counts():
+    """The margin of a text against kernels of each of its words and up to four in a row, one by one."""
+    model = toxicity.learn_strings({"blockhead": 3.0, "you are a fool": 2.0}, {"restaurant": 1.0, "mister": 2.0, "a plain word": 1.0}, toxicity.LATIN)
     table = model.table()
-    text = "So  this is Blo ckhead\nand you are\ta fööl, " + "very long words here " * 3
-    flat = " ".join(text.lower().split())
-    c = toxicity.codes(flat) + [0] * toxicity.LONGEST
-    key, w = toxicity.weights(np.array([c[k : k + toxicity.LONGEST] for k in range(len(flat))]))
-    want = ((table[key] * w).sum(axis=1) + model.bias).max()
-    best = [(toxicity.NOTHING, "")]
-    toxicity.stretches([text], best, table, model.bias)
-    assert abs(best[0][0] - want) < 1e-9
-    assert len(toxicity.vectors("a" * 10 + "bcdefghijklmnop")) > 1
+
+    def value(string):
+        c = toxicity.codes(string, toxicity.LATIN)
+        v = toxicity.vector(np.concatenate([[toxicity.START], c[c > 0], [toxicity.END]]))
+        return float((table[v[0]] * v[1]).sum()) if v else 0.0
+
+    texts = []
+    for _ in range(200):
+        words = [RNG.choice(["blockhead", "b.l.o,ckhead", "mister", "you", "are", "a", "fool", "x", "blo", "ckhead", "i", "é!", "...", "mi5ster"]) for _ in range(RNG.randint(1, 9))]
+        texts.append(" ".join(words))
+    got = toxicity.margins(model, texts)[0]
+    for text, margin in zip(texts, got):
+        rows = []
+        for w in (w for w in text.split() if toxicity.codes(w, toxicity.LATIN).any()):
+            alone = (toxicity.codes(w, toxicity.LATIN) > 0).sum() == 1
+            if alone and rows and rows[-1][1]:
+                rows[-1] = (rows[-1][0] + w, True)
+            else:
+                rows.append((w, alone))
+        values = [value(" ".join(w for w, _ in rows[i:j])) for i in range(len(rows)) for j in range(i + 1, min(len(rows), i + toxicity.PHRASE) + 1)]
+        want = max(values) + model.bias if values else toxicity.NOTHING
+        assert abs(margin - want) < 1e-4, text
+
+
+def test_long_texts_and_words_are_seen_to_their_end():
+    model = toxicity.learn_strings({"blockhead": 3.0}, {"restaurant": 1.0, "mister": 2.0}, toxicity.LATIN)
+    whole = toxicity.margins(model, ["blockhead"])[0][0]
+    words = "mister " * 30_000
+    glued = "zq" * 200_000
+    got = toxicity.margins(model, [words + "blockhead", "blockhead " + words, words, glued + "blockhead" + glued, glued, "", None, " . "])[0]
+    assert abs(got[0] - whole) < 1e-4 and abs(got[1] - whole) < 1e-4 and got[2] < whole - 0.5
+    assert got[3] > got[4] + 0.3 and got[5] == got[6] == got[7] == toxicity.NOTHING
+
+
+def test_svm_is_at_its_least():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 5))
+    y = np.sign(x[:, 0] + 0.3 * rng.normal(size=80))
+    c = rng.uniform(0.5, 2, 80)
+    w, b = toxicity.svm(x, y, c)
+    loss = lambda w, b: (w * w).sum() / 2 + (c * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+    assert all(loss(w + d[:5], b + d[5]) >= loss(w, b) - 1e-7 for d in rng.normal(size=(200, 6)) * 1e-3)
