@@ -21,7 +21,7 @@ U = np.uint64
 #: Bytes from which a piece is hashed by itself.
 LONG = 64
 #: A table that has more pieces or values than this is emptied before the next batch.
-MOST_PIECES, MOST_VALUES = 1_000_000, 8_000_000
+MOST_PIECES, MOST_VALUES = 700_000, 6_000_000
 LETTER = W._table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 PUNCTUATION = W._table(lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum())
 VISIBLE = W._table(lambda b: 0x21 <= b <= 0x7E)
