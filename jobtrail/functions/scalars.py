@@ -114,12 +114,28 @@ def xmx_mb(options: Column) -> Column:
     return F.when(options.isNull() | (found == ""), F.lit(DEFAULT_XMX_MB).cast("bigint")).otherwise(by_unit.cast("bigint"))
 
 
+def floor_div(a: Column, b: Column) -> Column:
+    """Integer quotient, as whole numbers; null for a divisor of 0."""
+    return F.call_function("div", a.cast("bigint"), F.nullif(b, F.lit(0)).cast("bigint"))
+
+
+def batch_count(n: Column, size: Column) -> Column:
+    """How many batches of a size n rows make; 0 where either is not positive."""
+    return F.when((n > 0) & (size > 0), floor_div(n + size - 1, size)).otherwise(0).cast("bigint")
+
+
+def end_of_day(ms: Column) -> Column:
+    """The last millisecond of the UTC day."""
+    return ms - ms % DAY_MS + (DAY_MS - 1)
+
+
 def xmx_total_mb(xmx: Column) -> Column:
-    return F.floor(xmx * 100 / 75).cast("bigint")
+    return floor_div(xmx * 100, F.lit(75))
 
 
 def corrected_slot_millis(value: Column, min_mb: Column, memory_mb: Column) -> Column:
-    return F.floor(value * F.coalesce(min_mb, F.lit(1024)) / F.coalesce(memory_mb, F.lit(1024))).cast("bigint")
+    """Integer division throughout: exact beyond 2^53."""
+    return floor_div(value * F.coalesce(min_mb, F.lit(1024)), F.coalesce(memory_mb, F.lit(1024)))
 
 
 def megabyte_millis(map_mb, map_slots, reduce_mb, reduce_slots, am_mb, launch, finish, uberized) -> Column:

@@ -59,6 +59,33 @@ def new_apps(jobs: DataFrame, start: int, end: int) -> DataFrame:
     return keys.join(runs, list(APP), "left").select(*APP, "first_seen", zero("number_runs"), zero("total_jobs"), zero("mb_millis"))
 
 
+def versions_newest_first(versions: DataFrame) -> DataFrame:
+    """Versions of every application, that seen first last at the top."""
+    return versions.orderBy(*APP, F.desc("first_seen"), F.desc("version"))
+
+
+def app_summary(flows: DataFrame) -> DataFrame:
+    """Per application over its flows: runs, sums, the set of queues, first and last run. Cost is not summed."""
+    return flows.groupBy(*APP).agg(
+        F.count("*").alias("number_runs"), F.sum("job_count").alias("total_jobs"), F.sum("total_maps").alias("total_maps"), F.sum("total_reduces").alias("total_reduces"),
+        F.sum("map_slot_millis").alias("map_slot_millis"), F.sum("reduce_slot_millis").alias("reduce_slot_millis"), F.sum("mb_millis").alias("mb_millis"), queues().alias("queues"),
+        F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"),
+    )
+
+
+def app_cost(jobs: DataFrame, bucket: Column) -> DataFrame:
+    """Cost summed per (bucket, application)."""
+    return jobs.groupBy(bucket.alias("bucket"), *APP).agg(F.sum("cost").alias("cost"))
+
+
+def job_statistics(jobs: DataFrame, measures: list[str], by_app: bool = False, order: str | None = None, limit: int = -1) -> DataFrame:
+    """Job count and sums of chosen measures per user, or per user and application; largest of one measure first; -1 is no limit."""
+    keys = ["user", "app"] if by_app else ["user"]
+    sums = jobs.groupBy(*keys).agg(F.count("*").alias("jobs"), *(F.sum(m).alias(m) for m in measures))
+    sums = sums.orderBy(F.desc(order), *keys) if order else sums
+    return sums if limit < 0 else sums.limit(limit)
+
+
 def job_level_statistics(jobs: DataFrame, limit: int = -1) -> DataFrame:
     """Sums per user and application, largest first; -1 is no limit."""
     g = jobs.groupBy("user", "app").agg(F.count("*").alias("jobs"), F.sum("mb_millis").alias("mb_millis"), F.sum("slot_millis").alias("slot_millis"))

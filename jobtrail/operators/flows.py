@@ -28,6 +28,19 @@ def flow_rollup(jobs: DataFrame, keys: tuple = FLOW) -> DataFrame:
     )
 
 
+#: Measures of a job that a flow sums.
+MEASURES = (
+    "total_maps", "total_reduces", "map_file_bytes_read", "map_file_bytes_written", "reduce_file_bytes_read", "hdfs_bytes_read", "hdfs_bytes_written",
+    "map_slot_millis", "reduce_slot_millis", "mb_millis", "cost", "reduce_shuffle_bytes",
+)
+
+
+def flow_sums(jobs: DataFrame, keys: tuple = FLOW) -> DataFrame:
+    """Job count and the sum of every measure per flow; queue and hadoop version of the job submitted first, version of the last by id."""
+    first = lambda c: F.min_by(c, F.struct("submit", "job_seq")).alias(c)
+    return jobs.groupBy(*keys).agg(F.count("*").alias("job_count"), *(F.sum(m).alias(m) for m in MEASURES), first("queue"), first("hadoop_version"), F.max_by("version", "job_seq").alias("version"))
+
+
 def flow_wallclock(jobs: DataFrame) -> DataFrame:
     """Least submit and launch (0 is unset), largest finish, duration and wall clock."""
     unset = lambda c: F.nullif(F.col(c), F.lit(0))
@@ -47,10 +60,25 @@ def flow_counters(jobs: DataFrame, counters: DataFrame) -> DataFrame:
     return per_job.join(jobs.select(*FLOW, "job_seq"), "job_seq").groupBy(*FLOW, "group", "name").agg(F.sum("value").alias("value"))
 
 
+def flow_counters_by_scope(jobs: DataFrame, counters: DataFrame) -> DataFrame:
+    """As flow_counters, apart for the scopes total, map and reduce."""
+    per_job = counters.groupBy("job_seq", "scope", "group", "name").agg(F.sum("value").alias("value"))
+    return per_job.join(jobs.select(*FLOW, "job_seq"), "job_seq").groupBy(*FLOW, "scope", "group", "name").agg(F.sum("value").alias("value"))
+
+
+def counter_maps(flow_counters: DataFrame) -> DataFrame:
+    """Long-form counters of flows as one map per scope: "group.name" -> value; an empty one for a scope without counters."""
+    entry = F.struct(F.concat_ws(".", "group", "name"), "value")
+    of = lambda scope: F.map_from_entries(F.collect_list(F.when(F.col("scope") == scope, entry))).alias(f"{scope}_counters")
+    return flow_counters.groupBy(*FLOW).agg(*map(of, SCOPES))
+
+
 def flow_series(jobs: DataFrame, n: int, start: int = 0, end: int = 0, version: str | None = None) -> DataFrame:
-    """The jobs of each application's last n flows; ranks flows, not jobs."""
-    rank = F.dense_rank().over(Window.partitionBy(*APP).orderBy(F.desc("run_id")))
-    return of_version(in_window(jobs, start, end), version).withColumn("flow_rank", rank).where(F.col("flow_rank") <= n)
+    """The jobs of each application's last n flows; ranks flows, not jobs, so that a hot application's jobs are never in one task."""
+    jobs = of_version(in_window(jobs, start, end), version)
+    rank = F.row_number().over(Window.partitionBy(*APP).orderBy(F.desc("run_id")))
+    last = jobs.select(*FLOW).distinct().withColumn("flow_rank", rank).where(F.col("flow_rank") <= n)
+    return jobs.join(last, list(FLOW)).select(*jobs.columns, "flow_rank")
 
 
 def latest_flow(jobs: DataFrame) -> DataFrame:
@@ -97,14 +125,51 @@ def remove_job(jobs: DataFrame, tasks: DataFrame, gone: DataFrame) -> tuple[Data
     return jobs.join(ids, "job_seq", "left_anti"), tasks.join(ids, "job_seq", "left_anti")
 
 
+#: Scopes of counters, and of each derived measure its scope, its group under either naming scheme, and its name.
+SCOPES = ("total", "map", "reduce")
+FILES = ("FileSystemCounters", "org.apache.hadoop.mapreduce.FileSystemCounter")
+SLOTS = ("org.apache.hadoop.mapred.JobInProgress$Counter", "org.apache.hadoop.mapreduce.JobCounter")
+TASKS = ("org.apache.hadoop.mapred.Task$Counter", "org.apache.hadoop.mapreduce.TaskCounter")
+DERIVED = (
+    ("map_file_bytes_read", "map", FILES, "FILE_BYTES_READ"),
+    ("map_file_bytes_written", "map", FILES, "FILE_BYTES_WRITTEN"),
+    ("reduce_file_bytes_read", "reduce", FILES, "FILE_BYTES_READ"),
+    ("hdfs_bytes_read", "total", FILES, "HDFS_BYTES_READ"),
+    ("hdfs_bytes_written", "total", FILES, "HDFS_BYTES_WRITTEN"),
+    ("map_slot_millis", "total", SLOTS, "SLOTS_MILLIS_MAPS"),
+    ("reduce_slot_millis", "total", SLOTS, "SLOTS_MILLIS_REDUCES"),
+    ("reduce_shuffle_bytes", "reduce", TASKS, "REDUCE_SHUFFLE_BYTES"),
+)
+
+
 def job_details(jobs: DataFrame, counters: DataFrame) -> DataFrame:
-    """Counters as columns under either naming scheme; a missing one is 0."""
-    old = F.col("job_seq") % 2 == 0
-    scheme = counters.join(jobs.select("job_seq", F.when(old, "ONE").otherwise("TWO").alias("hadoop_version")), "job_seq")
-    wanted = lambda one, two: (F.col("hadoop_version") == "ONE") & (F.col("group") == one) | (F.col("hadoop_version") == "TWO") & (F.col("group") == two)
-    g = scheme.groupBy("job_seq").agg(F.sum(F.when(wanted("A", "N"), F.col("value"))).alias("file_bytes_read"), F.sum(F.when(wanted("R", "A"), F.col("value"))).alias("file_bytes_written"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return jobs.select("job_seq", F.when(old, "ONE").otherwise("TWO").alias("hadoop_version")).join(g, "job_seq", "left").select("job_seq", "hadoop_version", zero("file_bytes_read"), zero("file_bytes_written"))
+    """Per job the measures derived from its counters (job_seq, scope, group, name, value).
+
+    Groups are named by the job's hadoop_version, ONE or TWO; a job without one is ONE. A missing counter is 0.
+    """
+    version = jobs.select("job_seq", F.coalesce("hadoop_version", F.lit("ONE")).alias("hadoop_version"))
+    two = F.col("hadoop_version") == "TWO"
+    known = counters.where(F.col("name").isin([n for *_, n in DERIVED])).join(version, "job_seq")
+    of = lambda scope, group, name: (F.col("scope") == scope) & (F.col("group") == F.when(two, group[1]).otherwise(group[0])) & (F.col("name") == name)
+    sums = known.groupBy("job_seq").agg(*(F.sum(F.when(of(*where), F.col("value"))).alias(m) for m, *where in DERIVED))
+    return version.join(sums, "job_seq", "left").select("job_seq", "hadoop_version", *(F.coalesce(m, F.lit(0)).cast("bigint").alias(m) for m, *_ in DERIVED))
+
+
+#: Columns of a task by type; splits are a list written with commas.
+TASK_TEXTS = ("task_id", "type", "status", "attempt_id", "tracker_name", "hostname", "state", "error")
+TASK_NUMBERS = ("start_time", "finish_time", "shuffle_finished", "sort_finished", "http_port")
+
+
+def task_details(tasks: DataFrame) -> DataFrame:
+    """Tasks as typed columns from text ones; a text that is no number is 0, one without splits has none."""
+    number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)).alias(c)
+    splits = F.when(F.coalesce("splits", F.lit("")) != "", F.split("splits", ",")).otherwise(F.array().cast("array<string>"))
+    return tasks.select("job_seq", *TASK_TEXTS, *map(number, TASK_NUMBERS), splits.alias("splits"))
+
+
+def in_key_order(df: DataFrame) -> DataFrame:
+    """By application, newest run first, then by job."""
+    return df.orderBy(*APP, F.desc("run_id"), *(["job_seq"] if "job_seq" in df.columns else []))
 
 
 def counter_include(counters: DataFrame, names: list[str]) -> DataFrame:

@@ -21,7 +21,8 @@ def queue_by_status(queue: DataFrame, cluster: str, status: str, user: str | Non
     """Flows of a status, newest first; with a user only those that name that user."""
     q = queue.where((F.col("cluster") == cluster) & (F.col("status") == status))
     q = q.where(F.col("username") == user) if user else q
-    return q.orderBy(F.desc("at"), "flow_id").limit(limit) if limit else q
+    q = q.orderBy(F.desc("at"), "flow_id")
+    return q.limit(limit) if limit else q
 
 
 def queue_page(queue: DataFrame, cluster: str, status: str, size: int, cursor: tuple[int, int] | None = None) -> DataFrame:
@@ -39,6 +40,11 @@ def flow_from_queue(queue: DataFrame) -> DataFrame:
     return queue.groupBy("cluster", "username", "flowname").agg(first).select("cluster", "username", "flowname", "x.*")
 
 
+def upserted(queue: DataFrame, changes: DataFrame) -> DataFrame:
+    """The queue with changed rows in place of those of the same flow_id, and new ones."""
+    return queue.join(changes.select("flow_id").distinct(), "flow_id", "left_anti").select(*queue.columns).unionByName(changes.select(*queue.columns))
+
+
 def moved(queue: DataFrame, flow_ids: list[int], status: str) -> DataFrame:
     """The queue with some flows in another status."""
     return queue.withColumn("status", F.when(F.col("flow_id").isin(flow_ids), status).otherwise(F.col("status")))

@@ -10,11 +10,16 @@ from jobtrail.functions.scalars import cleanse_token
 KEY = ("cluster", "path", "hour")
 
 
+#: Measures that are summed over namespaces.
+MEASURES = (
+    "file_count", "dir_count", "space_consumed", "access_count", "quota", "space_quota", "tmp_file_count", "tmp_space_consumed", "trash_file_count", "trash_space_consumed",
+    "access_cost", "storage_cost",
+)
+
+
 def rollup(usage: DataFrame) -> DataFrame:
-    """Sums over namespaces per (cluster, path, hour); owner of the last namespace."""
-    return usage.groupBy(*KEY).agg(
-        F.sum("space_consumed").alias("space_consumed"), F.sum("access_count").alias("access_count"), F.sum("file_count").alias("file_count"), F.max_by("owner", F.struct(F.coalesce("namespace", F.lit("")), "owner")).alias("owner"),
-    )
+    """Sums of the measures that usage has over namespaces per (cluster, path, hour); owner of the last namespace."""
+    return usage.groupBy(*KEY).agg(*(F.sum(m).alias(m) for m in MEASURES if m in usage.columns), F.max_by("owner", F.struct(F.coalesce("namespace", F.lit("")), "owner")).alias("owner"))
 
 
 def dirs(usage: DataFrame, cluster: str, prefix: str, limit: int = 0) -> DataFrame:

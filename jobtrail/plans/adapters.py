@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtrail.operators.flows import DERIVED
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -38,6 +40,44 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(spans, "job_seq", "left").select(*base.columns, "launch", "finish", F.coalesce("total_maps", F.lit(0)).cast("bigint").alias("total_maps"), F.coalesce("slot_millis", F.lit(0)).cast("bigint").alias("slot_millis"))
 
 
+def jobs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jobs() with the further measures and the hadoop version (a third has none)."""
+    j, c = jobs(spark, sf_dir), F.col
+    reduces = c("total_maps") % 3
+    more = {
+        "total_reduces": reduces, "map_file_bytes_read": c("total_maps") * 100, "map_file_bytes_written": c("total_maps") * 50, "reduce_file_bytes_read": reduces * 70,
+        "hdfs_bytes_read": c("slot_millis") * 1024, "hdfs_bytes_written": c("slot_millis") * 512 + c("job_seq") % 7, "map_slot_millis": c("slot_millis"), "reduce_slot_millis": c("slot_millis") * 3,
+        "cost": c("mb_millis") % 1000, "reduce_shuffle_bytes": reduces * 30, "hadoop_version": F.when(c("job_seq") % 3 == 0, "ONE").when(c("job_seq") % 3 == 1, "TWO"),
+    }
+    return j.select("*", *(v.alias(k) for k, v in more.items()))
+
+
+def scoped_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as counters in three scopes, by part key, under both naming schemes."""
+    t = table(spark, sf_dir, "lineitem")
+    known = F.array(*(F.struct(F.lit(scope).alias("scope"), F.lit(g).alias("group"), F.lit(name).alias("name")) for _, scope, group, name in DERIVED for g in group))
+    return t.select(F.col("l_orderkey").alias("job_seq"), known[(F.col("l_partkey") % (2 * len(DERIVED))).cast("int")].alias("k"), F.col("l_quantity").cast("bigint").alias("value")).select("job_seq", "k.*", "value")
+
+
+def raw_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as tasks whose columns are all text."""
+    t, text = table(spark, sf_dir, "lineitem"), lambda c: F.col(c).cast("string")
+    no = text("l_linenumber")
+    return t.select(
+        F.col("l_orderkey").alias("job_seq"), F.concat(F.lit("task_"), no).alias("task_id"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("status"), F.concat(F.lit("attempt_"), no).alias("attempt_id"),
+        F.concat(F.lit("tracker_"), F.col("l_linestatus")).alias("tracker_name"), F.concat(F.lit("host"), text("l_suppkey")).alias("hostname"), F.lit("").alias("state"), F.lit(None).cast("string").alias("error"),
+        ms("l_shipdate").cast("string").alias("start_time"), (ms("l_shipdate") + F.col("l_linenumber") * 1000).cast("string").alias("finish_time"), F.when(F.col("l_linenumber") % 2 == 0, no).otherwise("none").alias("shuffle_finished"), F.lit(None).cast("string").alias("sort_finished"), text("l_suppkey").alias("http_port"),
+        F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, F.concat(F.lit("a,b,"), no)).otherwise(no).alias("splits"),
+    )
+
+
+def storage_measures() -> list[Column]:
+    """The measures of storage that are made from k."""
+    k = prop_k()
+    made = {"dir_count": k % 5, "quota": k * 10, "space_quota": k * 1000, "tmp_file_count": k % 7, "tmp_space_consumed": k % 11, "trash_file_count": k % 3, "trash_space_consumed": k % 13, "access_cost": k * 2, "storage_cost": k * 3}
+    return [v.alias(n) for n, v in made.items()]
+
+
 def jobs_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event; several runs fall into a day."""
     e = table(spark, sf_dir, "events")
@@ -74,7 +114,7 @@ def hdfs_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(ms("ts") / 1000).cast("bigint")
     return e.select(
         F.col("event_type").alias("cluster"), F.concat(F.lit("/user/"), (F.col("user_id") % 10).cast("string")).alias("path"), (seconds - seconds % 3600).alias("hour"), (prop_k() % 3).cast("string").alias("namespace"),
-        cents("value").alias("space_consumed"), prop_k().alias("access_count"), F.lit(1).cast("bigint").alias("file_count"), F.col("user_id").cast("string").alias("owner"),
+        cents("value").alias("space_consumed"), prop_k().alias("access_count"), F.lit(1).cast("bigint").alias("file_count"), F.col("user_id").cast("string").alias("owner"), *storage_measures(),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobtrail.functions import scalars
 from jobtrail.operators import apps, files, flows, progress, storage
 from jobtrail.plans import adapters as A
+from jobtrail.sources import side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,11 +38,19 @@ ROLLUP = """count(*)::bigint job_count, sum(total_maps)::bigint total_maps, sum(
   arg_min(queue, {'a': submit, 'b': job_seq}) queue, arg_max("version", job_seq) "version" """
 AGG = """count(*)::bigint total_jobs, count(distinct run_id)::bigint number_runs, sum(total_maps)::bigint total_maps, sum(slot_millis)::bigint slot_millis, sum(mb_millis)::bigint mb_millis, string_agg(distinct queue, '!' order by queue) queues"""
 JOB_COLUMNS = 'cluster, "user", app, run_id, job_seq, status, queue, "version", submit, mb_millis, launch, finish, total_maps, slot_millis'
+WIDE = JOBS + """, wide as (select *, total_maps % 3 total_reduces, total_maps * 100 map_file_bytes_read, total_maps * 50 map_file_bytes_written, (total_maps % 3) * 70 reduce_file_bytes_read, slot_millis * 1024 hdfs_bytes_read,
+  slot_millis * 512 + job_seq % 7 hdfs_bytes_written, slot_millis map_slot_millis, slot_millis * 3 reduce_slot_millis, mb_millis % 1000 "cost", (total_maps % 3) * 30 reduce_shuffle_bytes, case job_seq % 3 when 0 then 'ONE' when 1 then 'TWO' end hadoop_version from jobs)
+"""
+SUMS = ", ".join(f'sum("{m}")::bigint "{m}"' for m in flows.MEASURES)
+DERIVED = "derived as (select * from (values " + ", ".join(f"({k}, '{m}', '{scope}', '{g}', '{name}')" for k, (m, scope, g, name) in enumerate((m, s, g, n) for m, s, gs, n in flows.DERIVED for g in gs)) + ") v(k, measure, scope, grp, nam))"
+SCOPED = DERIVED + f', scoped as (select l_orderkey job_seq, scope, grp, nam, cast(trunc(l_quantity) as bigint) "value" from lineitem join derived on l_partkey % {2 * len(flows.DERIVED)} = k)'
+STORAGE = ", ".join(f'sum("{m}")::bigint "{m}"' for m in storage.MEASURES)
 HDFS = """
 usage as (select event_type cluster, '/user/' || (user_id % 10) path, ((epoch_us(ts) // 1000) // 1000) - ((epoch_us(ts) // 1000) // 1000) % 3600 "hour", cast(cast(json_extract_string(props, '$.k') as bigint) % 3 as varchar) namespace,
-  cast(round(value * 100) as bigint) space_consumed, cast(json_extract_string(props, '$.k') as bigint) access_count, cast(user_id as varchar) "owner" from events),
-rolled as (select cluster, path, "hour", sum(space_consumed)::bigint space_consumed, sum(access_count)::bigint access_count, count(*)::bigint file_count, arg_max("owner", {'a': namespace, 'b': "owner"}) "owner" from usage group by 1, 2, 3)
-"""
+  cast(round(value * 100) as bigint) space_consumed, cast(json_extract_string(props, '$.k') as bigint) access_count, cast(user_id as varchar) "owner", 1 file_count,
+  cast(json_extract_string(props, '$.k') as bigint) k, k % 5 dir_count, k * 10 quota, k * 1000 space_quota, k % 7 tmp_file_count, k % 11 tmp_space_consumed, k % 3 trash_file_count, k % 13 trash_space_consumed, k * 2 access_cost, k * 3 storage_cost from events),
+rolled as (select cluster, path, "hour", STORAGE_SUMS, arg_max("owner", {'a': namespace, 'b': "owner"}) "owner" from usage group by 1, 2, 3)
+""".replace("STORAGE_SUMS", STORAGE)
 QUEUE = """
 , q as (select cluster, case status when 'O' then 'r' when 'F' then 's' else 'f' end status, submit "at", job_seq flow_id, "user" username, app flowname from jobs)
 """
@@ -136,11 +145,28 @@ def job_tasks(spark, d):
     return flows.job_tasks(A.tasks(spark, d), ONE_JOB)
 
 
-@query(f"""with {JOBS}, {COUNTERS}, v as (select job_seq, case when job_seq % 2 = 0 then 'ONE' else 'TWO' end hadoop_version from jobs),
- c as (select job_seq, sum(case when (hadoop_version = 'ONE' and "group" = 'A' or hadoop_version = 'TWO' and "group" = 'N') then "value" end) r, sum(case when (hadoop_version = 'ONE' and "group" = 'R' or hadoop_version = 'TWO' and "group" = 'A') then "value" end) w from counters join v using (job_seq) group by 1)
- select job_seq, hadoop_version, coalesce(r, 0)::bigint file_bytes_read, coalesce(w, 0)::bigint file_bytes_written from v left join c using (job_seq)""")
+@query(f"""with {WIDE}, {SCOPED}, v as (select job_seq, coalesce(hadoop_version, 'ONE') hadoop_version from wide)
+ select v.job_seq, hadoop_version, {", ".join(f"coalesce(sum(\"value\") filter (measure = '{m}'), 0)::bigint {m}" for m, *_ in flows.DERIVED)}
+ from v left join (select s.*, measure, case when k % 2 = 0 then 'ONE' else 'TWO' end scheme from scoped s join derived using (scope, grp, nam)) x on v.job_seq = x.job_seq and hadoop_version = scheme group by 1, 2""")
 def job_details_projection(spark, d):
-    return flows.job_details(A.jobs(spark, d), A.counters(spark, d))
+    return flows.job_details(A.jobs_wide(spark, d), A.scoped_counters(spark, d))
+
+
+@query(f"""with {WIDE} select {FLOW}, count(*)::bigint job_count, {SUMS}, arg_min(queue, {{'a': submit, 'b': job_seq}}) queue, arg_min_null(hadoop_version, {{'a': submit, 'b': job_seq}}) hadoop_version, arg_max("version", job_seq) "version" from wide group by {FLOW}""")
+def flow_sums(spark, d):
+    return flows.flow_sums(A.jobs_wide(spark, d))
+
+
+@query(f'with {JOBS}, {SCOPED} select {FLOW}, scope, grp "group", nam "name", sum("value")::bigint "value" from scoped join jobs using (job_seq) group by all')
+def flow_counters_by_scope(spark, d):
+    return flows.flow_counters_by_scope(A.jobs(spark, d), A.scoped_counters(spark, d))
+
+
+@query(f"""with t as (select l_orderkey job_seq, l_linenumber n, l_returnflag "type", l_linestatus status, l_suppkey s, epoch_ms(l_shipdate) ship from lineitem)
+ select job_seq, 'task_' || n task_id, "type", status, 'attempt_' || n attempt_id, 'tracker_' || status tracker_name, 'host' || s hostname, '' state, null::varchar "error", ship start_time, ship + n * 1000 finish_time,
+  case when n % 2 = 0 then n else 0 end::bigint shuffle_finished, 0::bigint sort_finished, s::bigint http_port, case n when 1 then [] when 2 then ['a', 'b', '2'] else [n::varchar] end splits from t where job_seq % 10 = {ONE_JOB}""")
+def task_details(spark, d):
+    return flows.task_details(A.raw_tasks(spark, d).where(F.col("job_seq") % 10 == ONE_JOB))
 
 
 @query(f'with {COUNTERS} select job_seq, "group", "name", sum("value")::bigint "value" from counters where "group" || \'.\' || "name" in (\'A.F\', \'N.O\') group by all')
@@ -188,6 +214,45 @@ def latest_version(spark, d):
     return apps.latest_version(apps.app_versions(A.jobs(spark, d)))
 
 
+@query(f"with {JOBS}, {VERSIONS} select * from versions order by {APP}, first_seen desc, \"version\" desc")
+def versions_newest_first(spark, d):
+    return apps.versions_newest_first(apps.app_versions(A.jobs(spark, d)))
+
+
+@query(f"""with {WIDE}, f as (select {FLOW}, count(*)::bigint job_count, {SUMS}, arg_min(queue, {{'a': submit, 'b': job_seq}}) queue from wide group by {FLOW})
+ select {APP}, count(*)::bigint number_runs, sum(job_count)::bigint total_jobs, sum(total_maps)::bigint total_maps, sum(total_reduces)::bigint total_reduces, sum(map_slot_millis)::bigint map_slot_millis, sum(reduce_slot_millis)::bigint reduce_slot_millis,
+  sum(mb_millis)::bigint mb_millis, string_agg(distinct queue, '!' order by queue) queues, min(run_id) first_run, max(run_id) last_run from f group by {APP}""")
+def app_summary(spark, d):
+    return apps.app_summary(flows.flow_sums(A.jobs_wide(spark, d)))
+
+
+@query(f'with {WIDE} select run_id - run_id % {DAY} bucket, {APP}, sum("cost")::bigint "cost" from wide group by all')
+def app_cost_daily(spark, d):
+    return apps.app_cost(A.jobs_wide(spark, d), scalars.day_bucket(F.col("run_id")))
+
+
+@query(f'with {WIDE} select "user", count(*)::bigint jobs, sum(hdfs_bytes_written)::bigint hdfs_bytes_written, sum(total_reduces)::bigint total_reduces from wide group by 1 order by hdfs_bytes_written desc, "user" limit 3')
+def job_statistics_by_user(spark, d):
+    return apps.job_statistics(A.jobs_wide(spark, d), ["hdfs_bytes_written", "total_reduces"], order="hdfs_bytes_written", limit=3)
+
+
+@query(f"with {RECORDS} select * from rec where state <> 2")
+def process_records_of_other_states(spark, d):
+    return files.records_by_state(A.process_records(spark, d), 2, other=True)
+
+
+@query(f'with {RECORDS} select *, sum(files) over (order by max_mtime, manifest)::bigint files_so_far from rec order by max_mtime, manifest')
+def process_records_listing(spark, d):
+    return files.records_listing(A.process_records(spark, d))
+
+
+@query(f"""with {CONF} select event_id, k, case k % 3 when 0 then 'PIG' when 1 then 'SCALDING' else 'NONE' end framework,
+  case k % 4 when 0 then 'u' || (user_id % 10) when 1 then 'q' || k when 2 then 'pool' || k else 'DEFAULT_QUEUE' end queue, 'u' || (user_id % 10) "user", '' "version" from k""")
+def job_rows(spark, d):
+    rows = side.job_row(A.conf(spark, d).select("event_id", "k", "conf", A.ms("ts").alias("submit")))
+    return rows.select("event_id", "k", "framework", "queue", "user", "version")
+
+
 BEGIN, SOON = 788918400000, 789350400000  # 1995-01-01 and five days later
 
 
@@ -382,7 +447,6 @@ def megabyte_millis(spark, d):
 
 @query(f"with {JOBS}, m(machine, tco, mem) as (values ('AFRICA', 20.0::double, 512), ('ASIA', 30.0::double, 1024)) select job_seq, round(coalesce(mb_millis * tco / (mem * 86400000.0::double), 0), 6) \"cost\" from jobs left join m on cluster = machine")
 def job_cost(spark, d):
-    machines = spark.createDataFrame([("AFRICA", 20.0, 512), ("ASIA", 30.0, 1024)], "cluster string, tco double, mem int")
-    j = A.jobs(spark, d).join(F.broadcast(machines), "cluster", "left")
-    cost = scalars.job_cost(F.col("mb_millis"), F.coalesce("tco", F.lit(0.0)), F.coalesce("mem", F.lit(0)))
-    return j.select("job_seq", F.round(cost, 6).alias("cost"))
+    props = [("AFRICA.computecost", "20.0"), ("AFRICA.machinememory", "512"), ("ASIA.computecost", "30"), ("ASIA.machinememory", "1024"), ("EUROPE.computecost", "none")]
+    costs = side.machine_costs(spark.createDataFrame(props, "key string, value string"))
+    return side.with_cost(A.jobs(spark, d), costs, "cluster").select("job_seq", F.round("cost", 6).alias("cost"))

@@ -19,6 +19,34 @@ def projected(df: DataFrame, include: list[str] | None = None) -> DataFrame:
     return df.select(*(c for c in df.columns if include is None or c in include))
 
 
+#: Fixed: the detail levels and what each leaves out of a flow.
+LEVELS = {
+    "EVERYTHING": (),
+    "FLOW_SUMMARY_STATS_ONLY": STATS_OMIT,
+    "FLOW_SUMMARY_STATS_WITH_JOB_STATS": ("submit", "launch", "finish"),
+}
+#: And what the levels for applications show of one.
+APP_LEVELS = {
+    "APP_SUMMARY_STATS_NEW_JOBS_ONLY": ("cluster", "user", "app", "queues", "first_run", "last_run", "number_runs"),
+    "APP_SUMMARY_STATS_ALL_APPS": ("cluster", "user", "app", "queues", "first_run", "last_run", "number_runs", "total_jobs", "total_maps", "total_reduces", "mb_millis"),
+}
+#: Fixed: rows that a request without a limit gets; 0 is all of them.
+DEFAULT_LIMITS = {"flow": 1, "flow_stats": 100, "new_jobs": 0, "all_apps": 0, "hdfs": 0}
+
+
+def at_level(df: DataFrame, level: str) -> DataFrame:
+    """The columns that a detail level shows."""
+    if level in APP_LEVELS:
+        return df.select(*(c for c in df.columns if c in APP_LEVELS[level]))
+    return df.select(*(c for c in df.columns if c not in LEVELS[level]))
+
+
+def limited(df: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """At most so many rows, by default as many as that kind of request gets."""
+    n = DEFAULT_LIMITS[kind] if limit is None else limit
+    return df.limit(n) if n else df
+
+
 def stats_only(df: DataFrame) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in STATS_OMIT))
 

@@ -29,9 +29,14 @@ def first_of_runs(jobs: DataFrame) -> DataFrame:
 
 
 def daily_counts(runs: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
-    """Write each batch of first runs by day; a batch that is run again overwrites its own files only."""
+    """Write each batch of first runs by day; a batch that is run again overwrites its own files only. merged() adds them up."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy("cluster", "user", "app", "day").agg(F.count("*").alias("runs")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def merged(spark: SparkSession, out: str) -> DataFrame:
+    """One row per application and day of what daily_counts() wrote in any number of batches."""
+    return spark.read.parquet(out).groupBy("cluster", "user", "app", "day").agg(F.sum("runs").alias("runs"))

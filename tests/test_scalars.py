@@ -62,3 +62,13 @@ def test_job_ids(spark):
     assert one(spark, S.format_job_id(F.lit(12), F.lit(123456))) == "job_12_123456"
     assert one(spark, S.job_seq(F.col("j")), j="job_12_0007") == 7
     assert edge.decode_cursor(edge.encode_cursor("c", "u", "a", 33)) == ("c", "u", "a", 33)
+
+
+def test_runs_hosts_tasks_and_manifests(spark):
+    conf = F.create_map(F.lit("yarn.resourcemanager.address"), F.lit(" "), F.lit("mapred.job.tracker"), F.lit("jt.example:8021"), F.lit("mapred.app.submitted.timestamp"), F.lit("x"))
+    r = spark.range(1).select(
+        S.cluster_host(conf).alias("a"), S.mr_run_id(conf, F.lit(9)).alias("b"), S.task_key(F.lit("attempt_201206201718_0003_m_000000_0")).alias("c"), S.hour_bucket(F.lit(7201)).alias("d"),
+        S.safe_long(F.lit("12x")).alias("e"), S.safe_long(F.lit("12")).alias("f"), S.manifest_name(F.lit("dc 1@x"), F.lit(0), F.lit(3)).alias("g"), S.approximate_submit_time(F.lit(3_600_001)).alias("h"),
+    ).first()
+    assert r.a == "jt.example" and r.b == 9 and r.d == 7200 and (r.e, r.f) == (0, 12) and r.g == "dc1x-19700101000000-3" and r.c.startswith(("m_", "0003_m_"))
+    assert r.h <= 3_600_001
