@@ -3,7 +3,7 @@
 A document contains a window of an item if it contains all of the window's shingles, so
 any one of them is a sufficient prefix. Shingles (runs of three words) are ordered by
 their frequency in all documents; a window is found under its rarest one. Documents emit
-the occurrences of such shingles (a bitmap of fixed size leaves out most others), a join
+the occurrences of such shingles (a bitmap leaves out most others), a join
 on the shingle brings the windows, bounds on position and length leave those that fit into
 the document, and the words themselves are compared.
 """
@@ -19,8 +19,8 @@ from jobtrail.llm import words as W
 from jobtrail.llm.common import bounded_batches, map_batches, store, texts_of
 
 WINDOW, SHINGLE = 10, 3
-#: Bits of the map that documents are filtered by; its size does not depend on the benchmark.
-MAP_BITS = 22
+#: The map that documents are filtered by has 16 bits for each shingle, 2^16 at least, and at most this power of two (16 MB).
+MOST_BITS = 27
 
 
 def cut_items():
@@ -43,19 +43,25 @@ def cut_items():
     return run
 
 
+def map_bits(n: int) -> int:
+    """The power of two of a map's bits for n shingles."""
+    return min(MOST_BITS, max(16, (16 * n).bit_length()))
+
+
 def bitmap(df: DataFrame, column: str) -> bytes:
-    """A map of 2^MAP_BITS bits of the hashes in a column, gathered by Spark word by word."""
-    at = F.shiftrightunsigned(F.col(column), 64 - MAP_BITS)
+    """A map of the hashes in a column, gathered by Spark word by word."""
+    power = map_bits(df.count())
+    at = F.shiftrightunsigned(F.col(column), 64 - power)
     marks = df.select(at.alias("at")).selectExpr("cast(at div 32 as int) as k", "shiftleft(1L, cast(at % 32 as int)) as bit")
-    rows = marks.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()  # at most 2^(MAP_BITS-5) small rows
-    out = np.zeros(1 << (MAP_BITS - 5), "<u4")
+    rows = marks.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()  # at most 2^(MOST_BITS-5) small rows
+    out = np.zeros(1 << (power - 5), "<u4")
     for k, bits in rows:
         out[k] = bits & 0xFFFFFFFF
     return out.tobytes()
 
 
 def marked(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = grams >> np.uint64(64 - MAP_BITS)
+    at = grams >> np.uint64(64 - (len(bits).bit_length() + 4))
     return np.flatnonzero(bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1))
 
 
@@ -104,7 +110,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     A word is hit if it lies inside an occurrence of a window of 10 item words (or of a
     whole shorter item). Null texts and texts without words have no words and no hits; items
     without words or id have no windows. Items with equal windows count each. Rows that share a
-    doc_id each come back with their own words; their hits and items are those of all of them.
+    doc_id each come back with their own words; their hits and items are those of all of them, so
+    n_hit is at most each row's own n_words. Of equally rare shingles the first in the window counts.
+    Texts of any length are searched whole. Empty tables of documents give no rows, of items no hits.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -8,18 +8,20 @@
    that is not a link, and less than a tenth of the score (length of text less that of links).
 3. In Spark, the pages of a host vote for all paths that hold their text; of the paths with
    nearly all votes the deepest one wins. A hot host is summed where its pages are first.
-4. Every page is scanned again with its host's winning path; a page whose text that path does
-   not hold falls back to the deepest path that does.
+4. Every page is scanned again with its host's winning path, which drops what a page has outside
+   it besides; a page of which that path holds no more than half falls back to its own deepest path.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,10 @@ REPLIES = re.compile(r"comments?|replies|respond|disqus|cookies?|consent|ads?|ad
 FILL = frozenset("box bar list slot wrap wrapper container block item items link links button buttons icon icons unit panel form posts articles stories section inner top bottom left right main primary secondary".split())
 LAYOUT = frozenset("has with no without not hide hidden layout show is one two both single open closed".split())
 ARTICLE = frozenset("article post entry story content".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quote counts after "=" only; what is not closed goes on to the end of the page. Nothing is tried twice, so time grows with length.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)", re.S)
+#: Longer paths are written by a hash of what they begin with.
+LONG_PATH = 1000
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 DIGITS = re.compile(r"\d+")
 WHITE = re.compile(r"\s+")
@@ -122,6 +127,9 @@ class Scan:
     def __init__(self, page: str):
         blocks: list[tuple[str, int, int, int, bool]] = []  # text, innermost container, zone, score, paragraph or heading
         self.paths: list[tuple[str, int]] = [("", -1)]  # path, parent
+        self.depth: dict[str, int] = {"": 0}
+        opened: Counter = Counter()  # elements of each name on the stack
+        block_at = [0]  # where the stack has blocks
         self.zones: list[tuple[int, int]] = [(-1, 0)]  # parent, kind
         stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, container, zone, kind if its text is dropped
         parts: list[str] = []
@@ -132,11 +140,23 @@ class Scan:
             text = WHITE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
             parts.clear()
             if text:
-                tag, inside, zone, _ = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
+                tag, inside, zone, _ = stack[block_at[-1]]
                 score = max(0, len(text) - 2 * linked)
                 blocks.append((text, inside, zone, score, score > 0 and tag in PARAGRAPHS))
             linked = 0
 
+        def push(*element) -> None:
+            if element[0] in BLOCKS:
+                block_at.append(len(stack))
+            stack.append(element)
+            opened[element[0]] += 1
+
+        def leave(k: int) -> None:
+            opened.subtract(x[0] for x in stack[k:])
+            del stack[k:]
+            while block_at[-1] >= k > 0:
+                block_at.pop()
+
         for kind, a, b in events(page):
             if kind == "text":
                 if not stack[-1][3]:
@@ -150,14 +170,14 @@ class Scan:
                     parts.append(" ")
                 if a in BLOCKS:
                     flush()
-                    near = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS or not k)
+                    near = block_at[-1]
                     if a in CLOSES_P and stack[near][0] == "p" or a == "li" and stack[near][0] == "li":
-                        del stack[near:]
+                        leave(near)
                     name, noise = step(a, b)
                     _, inside, zone, dropped = stack[-1]
                     if dropped == SOFT:  # an inline element around blocks is a zone
                         dropped, noise = 0, max(noise, SOFT)
-                    if noise == HEAD and any(x[0] == "article" for x in stack):
+                    if noise == HEAD and opened["article"] > 0:
                         noise = 0
                     elif noise == HEAD:
                         noise = HARD if a == "header" else SOFT
@@ -167,30 +187,29 @@ class Scan:
                         self.zones.append((zone, noise))
                         zone = len(self.zones) - 1
                     if a in CONTAINERS and not dropped:
-                        self.paths.append((f"{self.paths[inside][0]}/{name}", inside))
+                        above = self.paths[inside][0]
+                        start = above if len(above) < LONG_PATH else f"#{xxhash.xxh3_64_hexdigest(above)}"
+                        self.paths.append((f"{start}/{name}", inside))
+                        self.depth[f"{start}/{name}"] = self.depth[above] + 1
                         inside = len(self.paths) - 1
                     if a not in VOID:
-                        stack.append((a, inside, zone, dropped))
+                        push(a, inside, zone, dropped)
                 elif a not in VOID:
                     _, inside, zone, dropped = stack[-1]
                     noise = dropped or step(a, b)[1]
                     if noise:
-                        stack.append((a, inside, zone, HARD if noise == HARD else SOFT))
+                        push(a, inside, zone, HARD if noise == HARD else SOFT)
             else:
                 if a == "a":
                     links = 0
                 if a in BLOCKS:
                     flush()
-                    depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == a), 0)
-                    if depth:
-                        del stack[depth:]
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in BLOCKS:
-                            break
-                        if stack[k][0] == a:
-                            del stack[k:]
-                            break
+                    if opened[a] > 0:
+                        leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == a))
+                elif opened[a] > 0:
+                    k = next((k for k in range(len(stack) - 1, block_at[-1], -1) if stack[k][0] == a), 0)
+                    if k:
+                        leave(k)
         flush()
         seen = self.seen(blocks)
         self.blocks = [(t, c, s, p) for t, c, z, s, p in blocks if seen[z]]
@@ -205,10 +224,13 @@ class Scan:
             if k:
                 whole[self.zones[k][0]] += whole[k]
         out = [True] + [False] * (len(whole) - 1)
-        level = [0]
+        within: dict[int, list[int]] = {}
+        for k in range(1, len(out)):
+            within.setdefault(self.zones[k][0], []).append(k)
+        level, text = [0], 0
         while level:  # zones within those that count, level by level
-            text = sum(own[k] for k in range(len(own)) if out[k])
-            level = [k for k in range(1, len(out)) if self.zones[k][0] in level and whole[k] and (not text if self.zones[k][1] == REPLY else 10 * text < whole[k])]
+            text += sum(own[k] for k in level)
+            level = [k for above in level for k in within.get(above, ()) if whole[k] and (not text if self.zones[k][1] == REPLY else 10 * text < whole[k])]
             if text == 0 and any(self.zones[k][1] != REPLY for k in level):
                 level = [k for k in level if self.zones[k][1] != REPLY]
             for k in level:
@@ -238,10 +260,10 @@ class Scan:
         return [p for p, (s, n) in total.items() if n == many and s * 10 >= score * 9]
 
     def text(self, path: str) -> str:
-        """The blocks within containers of that path; of the deepest whole one if that path does not hold the page's text."""
-        whole = self.whole()
-        if path not in whole:
-            path = min(whole, key=lambda p: (-p.count("/"), p))
+        """The blocks within containers of that path; of the page's own deepest whole one if that path does not hold most of the page."""
+        total = self.totals()
+        if 2 * total.get(path, (0, 0))[0] <= total[""][0]:
+            path = min(self.whole(), key=lambda p: (-self.depth[p], p))
         inside = []
         for p, parent in self.paths:
             inside.append(p == path or parent >= 0 and inside[parent])
@@ -256,7 +278,7 @@ def vote():
         out = []
         for page in texts_of(batch.column(1)):
             scan = Scan(page.decode())
-            out.append([{"path": p, "depth": p.count("/")} for p in scan.whole()] if scan.blocks else [])
+            out.append([{"path": p, "depth": scan.depth[p]} for p in scan.whole()] if scan.blocks else [])
         return [batch.column(0), pa.array(out, kind)]
 
     return run
@@ -276,7 +298,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     The host is what the url names, in lower case; pages without one vote together. Null and
     empty html give an empty text. Repeated pages are extracted each, though their votes add up.
-    Ties of paths go to the deeper, then to the first by name. An empty table gives no rows.
+    Ties of paths go to the deeper, then to the first by name. Pages of any length are read whole, in
+    time that grows with their length. An empty table gives no rows.
     """
     bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
@@ -287,10 +310,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages_of = F.max("n").over(Window.partitionBy("host"))
     good = sums.withColumn("pages", pages_of).where(F.col("n") * 10 >= F.col("pages") * 9)
     winners = store(good.groupBy("host").agg(F.min_by("path", F.struct(-F.col("depth"), -F.col("n"), "path")).alias("path")), "host-paths")
-    small = winners.count() <= BROADCAST_HOSTS
-    chosen = rows.join(F.broadcast(winners) if small else winners, "host", "left")
+    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
+    chosen = rows.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left")
     return map_batches(chosen.select("page_id", "url", "html", "path"), "page_id long, url string, text string, n_chars long", extract)
 
 
-#: Up to so many hosts their paths are broadcast, else joined by shuffle.
-BROADCAST_HOSTS = 100_000
+#: Paths of hosts are broadcast up to so many bytes, else joined by shuffle.
+BROADCAST_BYTES = 16 << 20

@@ -9,19 +9,18 @@
 4. Pairs are confirmed on the full sets, computed from the texts.
 5. Confirmed links form components (min-label propagation on stars).
 6. A bucket whose members are still in several components may hide links between members
-   that its hub does not share: pairs across components that pass bounds on size, on a
-   parity map and on a one-bit sketch are confirmed as well, and components are joined. So no
-   pair that meets in a bucket is left out unless both are already in one component. The
-   parity map bounds exactly: sets differ in at least as many shingles as their maps in bits.
+   that its hub does not share: pairs across components that pass bounds on size and on a
+   parity map are confirmed as well, and components are joined. So no pair that meets in a
+   bucket is left out unless both are already in one component. The bounds are exact: sets
+   differ in at least as many shingles as their parity maps in bits.
 
-Bands, bits and bounds follow from the threshold. With 28 bands of 6 bins a pair of similarity
+Bands and bounds follow from the threshold. With 28 bands of 6 bins a pair of similarity
 0.85 meets in no bucket with probability 2e-6, with 33 bands of 5 bins one of 0.8.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,6 @@ from jobtrail.llm.common import bounded_batches, drop, map_batches, store, texts
 SHINGLE, PERCENT = 5, 85
 #: Bins of a sketch; a pair at the threshold meets in no band with at most this probability.
 BINS, MISSED = 168, 3e-6
-#: Sketches of smaller sets vary more; their pairs are not dropped by bits.
-SMALL = 400
 #: Longs of the parity map: bit k tells whether an odd number of shingles hash to k.
 PARITY = 16
 
@@ -46,12 +43,6 @@ def bands_of(percent: int) -> tuple[int, int]:
     return BINS // rows, rows
 
 
-def most_bits(percent: int) -> int:
-    """Pairs differing in more of the BINS one-bit values have, at 6 standard deviations, a similarity below the threshold."""
-    p = (1 - percent / 100) / 2
-    return int(BINS * p + 6 * sqrt(BINS * p * (1 - p))) + 2
-
-
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles; of the whole if there are fewer words."""
     h = W.hashes(*W.bounds(text, W.NOT_SPACE))
@@ -91,7 +82,6 @@ def densified(h: np.ndarray) -> np.ndarray:
 def sketcher(percent: int):
     n_bands, n_rows = bands_of(percent)
     salt = W.mixed(np.arange(n_bands, dtype=np.uint64) + np.uint64(77))
-    weights = (np.uint64(1) << np.arange(56, dtype=np.uint64))
 
     def sketch(batch: pa.RecordBatch) -> list:
         n, low, high, bands, bits = [], [], [], [], []
@@ -108,9 +98,8 @@ def sketcher(percent: int):
             for r in range(n_rows):
                 b = W.mixed(b * np.uint64(W.BASE) + v[r : n_bands * n_rows : n_rows])
             bands.append(b.view(np.int64))
-            one = (W.mixed(v + np.uint64(5)) & np.uint64(1)).reshape(3, 56)
             odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-            bits.append(np.append((one * weights).sum(axis=1).astype(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         return [batch.column(0), n, low, high, pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
 
     return sketch
@@ -171,8 +160,10 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Linked are documents whose shingle sets have a similarity of percent / 100 or more.
 
     Texts without words and null texts have 0 shingles and are linked with nothing. Rows of
-    one doc_id share a component; the larger n_shingles counts for all of them. Rows with a
-    null doc_id come back with a null component and are kept. An empty table gives no rows.
+    one doc_id share a component, whatever their texts, and each has its own n_shingles; of several
+    texts the first in order is compared, while equal sets are found for all. Rows with a
+    null doc_id come back with a null component and are kept. Texts of any length are compared on
+    their full sets. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -187,7 +178,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = store(buckets.join(hubs, "bucket").select("bucket", "hub", "doc_id"), "buckets")
     pairs = store(members.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "pairs")
     involved = members.select("doc_id").distinct()
-    texts = store(docs.where("text is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = store(docs.where("text is not null").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     links = store(confirmed(pairs, texts, percent), "links")
     repeats = sets.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     # a doc_id with several sets links them
@@ -197,15 +188,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     placed = members.select("bucket", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    bits = reps.select("doc_id", "n_shingles", F.col("bits")[0].alias("x"), F.col("bits")[1].alias("y"), F.col("bits")[2].alias("z"), *(F.col("bits")[3 + k].alias(f"m{k}") for k in range(PARITY)))
+    bits = reps.select("doc_id", "n_shingles", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
     left = store(placed.join(split, "bucket", "left_semi").join(bits, "doc_id"), "left")
     one, two = left.alias("p"), left.alias("q")
     apart = "p.bucket = q.bucket and p.doc_id < q.doc_id and p.component <> q.component"
     sizes = f"100 * least(p.n_shingles, q.n_shingles) >= {percent} * greatest(p.n_shingles, q.n_shingles)"
-    near = f"(least(p.n_shingles, q.n_shingles) < {SMALL} or bit_count(p.x ^ q.x) + bit_count(p.y ^ q.y) + bit_count(p.z ^ q.z) <= {most_bits(percent)})"
     differ = " + ".join(f"bit_count(p.m{k} ^ q.m{k})" for k in range(PARITY))
     parity = f"{100 + percent} * ({differ}) <= {100 - percent} * (p.n_shingles + q.n_shingles)"
-    rest = one.join(two, F.expr(f"{apart} and {sizes} and {near} and {parity}")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
+    rest = one.join(two, F.expr(f"{apart} and {sizes} and {parity}")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = store(confirmed(rest, texts, percent), "links")
     if not more.isEmpty():
@@ -214,5 +204,5 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reached = same.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     moved = reached.where("component_id <> rep or rep <> last").select("low", "high", "n_shingles", "component_id")
     out = sketch.join(moved, ["low", "high", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

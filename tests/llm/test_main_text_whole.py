@@ -57,3 +57,24 @@ def test_inline_noise_is_dropped_within_its_paragraph():
     page = "<p>One <button>Buy</button><select><option>x<option>y</select><span class='ad'>now <span>and</span> then</span>two.</p><p>Three</p>"
     assert alone(page) == "One two.\n\nThree"
     assert alone(f"<span class=widget>{LONG}</span>") == TEXT
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for bad in ('<a "', "<a ='x ", '<p class="', "<!", "<b>", "<div>", "<div class=nav>", "</i><b>", "<b></p>", "<p>x</section>", '<a b=">'):
+        began = time.process_time()
+        for page in (bad * (400_000 // len(bad)), "<article><p>kept</p></article>" + bad * (200_000 // len(bad))):
+            scan = html_extract.Scan(page)
+            text = scan.text("")
+        assert "kept" in text and time.process_time() - began < 20, bad
+
+
+def test_host_consensus_drops_a_stray_container(spark):
+    body = "<p>" + "real words of the article " * 12 + "</p>"
+    pages = [(k, f"http://one.example/{k}", f"<body><div class='story'>{body * 3}</div>" + ("<div class='deals'><p>" + "cheap things here " * 20 + "</p></div>" if k == 7 else "") + "</body>") for k in range(20)]
+    pages += [(100 + k, f"http://two.example/{k}", f"<body><div class='t{'a' if k % 2 else 'b'}'>{body * 3}</div></body>") for k in range(10)]
+    out = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = "\n\n".join([("real words of the article " * 12).strip()] * 3)
+    assert set(out.values()) == {want}
+    assert "cheap" in html_extract.Scan(pages[7][2]).text("")  # the page by itself
