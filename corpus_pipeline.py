@@ -18,29 +18,52 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = 80
 
 
-def kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in judged; rows without a doc_id cannot be named and go."""
-    ids = judged.select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").select(*COLUMNS)
+def kept(docs: DataFrame, judged: DataFrame, accepted: str) -> DataFrame:
+    """The rows of docs whose doc_id was accepted in all its rows; rows without a doc_id are one document without a name."""
+    verdicts = judged.groupBy("doc_id").agg(F.bool_and(F.expr(accepted)).alias("accepted")).where("accepted").select(F.col("doc_id").alias("named"))
+    return docs.select(*COLUMNS).join(verdicts, F.col("doc_id").eqNullSafe(F.col("named")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    """Documents that the toxicity model of the labels accepts.
+
+    Null and empty texts are not toxic. Of rows with one doc_id all stay or none; an empty table
+    stays empty; columns beside those of documents are left out.
+    """
+    return kept(docs, toxicity(docs, table(spark, sf_dir, "labels")), "predicted = 0")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents that the quality rules of the labels accept.
+
+    Null and empty texts have a score like any other. Rows with one doc_id, empty tables and further
+    columns are treated as in the stage before.
+    """
+    return kept(docs, quality(docs, table(spark, sf_dir, "labels")), "predicted = 1")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, near_dedup(docs, NEAR).where("kept"))
+    """One document of each group of near copies, and one row of each doc_id (the first text in order).
+
+    Texts without words, null and empty ones among them, are copies of nothing and stay; so do rows
+    without a doc_id, which no group can name. Of equal groups the least doc_id stays.
+    """
+    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("first"), *(c for c in COLUMNS if c != "doc_id"))).alias("row"))
+    rows = one.select("doc_id", *(F.col(f"row.{c}").alias(c) for c in COLUMNS if c != "doc_id")).select(*COLUMNS)
+    return kept(rows, near_dedup(docs, NEAR).where("doc_id is not null"), "kept").unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Documents without a passage of the benchmark.
+
+    Texts without words have none. Rows with one doc_id, empty tables and further columns are treated
+    as in the first stage; with an empty benchmark all documents stay.
+    """
+    return kept(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "not contaminated")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of every document that is left, row by row; a null text has none."""
     return bpe_codec(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
