@@ -19,7 +19,7 @@ from jobtrail.llm import words as W
 from jobtrail.llm.common import bounded_batches, map_batches, store, texts_of
 
 WINDOW, SHINGLE = 10, 3
-#: The map that documents are filtered by has 16 bits for each shingle, 2^16 at least, and at most this power of two (16 MB).
+#: The map that documents are filtered by has 256 bits for each shingle, 2^20 at least, and at most this power of two (16 MB).
 MOST_BITS = 27
 
 
@@ -45,7 +45,7 @@ def cut_items():
 
 def map_bits(n: int) -> int:
     """The power of two of a map's bits for n shingles."""
-    return min(MOST_BITS, max(16, (16 * n).bit_length()))
+    return min(MOST_BITS, max(20, (256 * n).bit_length()))
 
 
 def bitmap(df: DataFrame, column: str) -> bytes:
