@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.llm.common import bounded_batches, map_batches, partitions, store
+from jobtrail.llm.common import bounded_batches, map_batches, partitions
 from jobtrail.llm.pieces import Known, bytes_of, cuts, library_ids, ragged, special_strings
 
 #: A chunk ends where the hash of 8 bytes is 0 in so many leading bits: 512 bytes on average.
@@ -215,7 +215,8 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """bpe_codec() with the number of chunks met and encoded, on one row of each batch."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    keyed = store(map_batches(docs.select("doc_id", "text"), "doc_id long, text string, chunk long", least_chunk), "chunked")
+    # not stored: finding the ranges hashes the chunks once more, which costs less than a second copy of the texts on disk
+    keyed = map_batches(docs.select("doc_id", "text"), "doc_id long, text string, chunk long", least_chunk)
     order = ("chunk", "row")
     dealt = keyed.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     return map_batches(dealt.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, chunks_met long, chunks_encoded long", lambda: codec(tokenizer))
