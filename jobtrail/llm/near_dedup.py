@@ -9,10 +9,13 @@
 4. Pairs are confirmed on the full sets, computed from the texts.
 5. Confirmed links form components (min-label propagation on stars).
 6. A bucket whose members are still in several components may hide links between members
-   that its hub does not share: pairs across components that pass bounds on size and on a
-   parity map are confirmed as well, and components are joined. So no pair that meets in a
-   bucket is left out unless both are already in one component. The bounds are exact: sets
-   differ in at least as many shingles as their parity maps in bits.
+   that its hub does not share. Members outside a bucket's largest component meet all its
+   members; where these are many, members are searched by a prefix-filtered join on their
+   rarest shingles instead, which finds every pair above the threshold. Pairs across
+   components that pass bounds on size, position and a parity map are confirmed as well, and
+   components are joined. So no pair that meets in a bucket is left out unless both are
+   already in one component. The bounds are exact: sets differ in at least as many shingles
+   as their parity maps in bits.
 
 Bands and bounds follow from the threshold. With 28 bands of 6 bins a pair of similarity
 0.85 meets in no bucket with probability 2e-6, with 33 bands of 5 bins one of 0.8.
@@ -24,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.llm import words as W
@@ -35,6 +38,8 @@ SHINGLE, PERCENT = 5, 85
 BINS, MISSED = 168, 3e-6
 #: Longs of the parity map: bit k tells whether an odd number of shingles hash to k.
 PARITY = 16
+#: A bucket with more members than this outside its largest component is searched by rare shingles.
+CROWD = 100
 
 
 def bands_of(percent: int) -> tuple[int, int]:
@@ -154,6 +159,56 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
 
 
+def largest(placed: DataFrame, key: str) -> DataFrame:
+    """(key, largest, others) of rows (key, doc_id, component): the component with most members, and how many are in others."""
+    sizes = placed.groupBy(key, "component").agg(F.count("*").alias("k"))
+    most = F.max_by("component", F.struct("k", "component")).alias("largest")
+    return sizes.groupBy(key).agg(most, (F.sum("k") - F.max("k")).alias("others"))
+
+
+def across(rows: DataFrame, fit: str) -> DataFrame:
+    """Pairs (a, b) of rows (key, doc_id, component, largest, ...) of one key and two components that fit.
+
+    One of the two is outside the key's largest component, so only such rows meet all rows of their key.
+    """
+    apart = "p.key = q.key and p.component <> q.component and (q.component = q.largest or p.doc_id < q.doc_id)"
+    found = rows.where("component <> largest").alias("p").join(rows.alias("q"), F.expr(f"{apart} and {fit}"))
+    return found.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
+
+
+def fits(percent: int) -> str:
+    """Whether sizes of p and q allow the similarity."""
+    return f"100 * least(p.n_shingles, q.n_shingles) >= {percent} * greatest(p.n_shingles, q.n_shingles)"
+
+
+def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of crowd (doc_id, component) that may be similar enough, across components.
+
+    A prefix-filtered join: the shingles of each document are ordered from the rarest in crowd to the most
+    frequent. Similar sets have their first common shingle within a prefix of both, and what follows it in
+    both is long enough. A passage that very many documents share is so no key of them unless their other
+    shingles are too few to tell them apart.
+    """
+    def spell():
+        def run(batch: pa.RecordBatch) -> list:
+            return [batch.column(0), batch.column(1), pa.array([shingles(t).view(np.int64) for t in texts_of(batch.column(2))], pa.list_(pa.int64()))]
+
+        return run
+
+    whole = crowd.join(texts, "doc_id").select("doc_id", "component", "text")
+    spelled = map_batches(whole, "doc_id long, component long, keys array<long>", spell)
+    rows = store(spelled.select("doc_id", "component", F.size("keys").cast("long").alias("n_shingles"), F.explode("keys").alias("key")), "shingles")
+    shared = rows.groupBy("key").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key"))
+    ranked = rows.join(shared, "key").withColumn("at", rank).where(f"at <= n_shingles - ceil({percent} * n_shingles / 100) + 1 and df > 1")
+    prefix = store(ranked.select("key", "doc_id", "component", "n_shingles", "at"), "prefixes")
+    keyed = prefix.join(largest(prefix, "key").where("others > 0"), "key")
+    # of the smaller set a shorter prefix is enough: as long as among sets of its own size
+    need = f"ceil({percent} * (p.n_shingles + q.n_shingles) / {100 + percent})"
+    bound = f"{need} <= 1 + least(p.n_shingles - p.at, q.n_shingles - q.at)"
+    return across(keyed, f"{fits(percent)} and {bound}").distinct()
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): n_shingles, component_id, kept.
 
@@ -187,16 +242,18 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(links)
 
     placed = members.select("bucket", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    split = largest(placed, "bucket").where("others > 0")
+    sizes = reps.select("doc_id", "n_shingles")
     bits = reps.select("doc_id", "n_shingles", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
-    left = store(placed.join(split, "bucket", "left_semi").join(bits, "doc_id"), "left")
-    one, two = left.alias("p"), left.alias("q")
-    apart = "p.bucket = q.bucket and p.doc_id < q.doc_id and p.component <> q.component"
-    sizes = f"100 * least(p.n_shingles, q.n_shingles) >= {percent} * greatest(p.n_shingles, q.n_shingles)"
+    left = store(placed.join(split, "bucket").join(sizes, "doc_id"), "left")
+    # a bucket with few members outside its largest component is searched by itself, all others by rare shingles
+    quiet = across(left.where(F.col("others") <= CROWD).select(F.col("bucket").alias("key"), "doc_id", "component", "n_shingles", "largest"), fits(percent))
+    crowd = left.where(F.col("others") > CROWD).select("doc_id", "component").distinct()
+    rest = quiet.unionByName(rare_pairs(crowd, texts, percent)).distinct().join(pairs, ["a", "b"], "left_anti")
+    one, two = bits.alias("p"), bits.alias("q")
     differ = " + ".join(f"bit_count(p.m{k} ^ q.m{k})" for k in range(PARITY))
     parity = f"{100 + percent} * ({differ}) <= {100 - percent} * (p.n_shingles + q.n_shingles)"
-    rest = one.join(two, F.expr(f"{apart} and {sizes} and {parity}")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
+    rest = rest.join(one, F.expr("a = p.doc_id")).join(two, F.expr("b = q.doc_id")).where(parity).select("a", "b")
     more = store(confirmed(rest, texts, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))

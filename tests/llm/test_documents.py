@@ -152,7 +152,9 @@ def test_near_dedup(docs, empty, odd):
     assert len(rows) == 6 and all(r.kept for r in rows)
 
 
-def test_near_dedup_of_a_hot_group_of_edits(spark):
+@pytest.mark.parametrize("crowd", [0, 100])  # 0: all split buckets are searched by rare shingles
+def test_near_dedup_of_a_hot_group_of_edits(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     base = words(90).split()
     rows = []
     for k in range(150):  # edits at one to four places: some pairs are linked, others are not
@@ -164,6 +166,15 @@ def test_near_dedup_of_a_hot_group_of_edits(spark):
     assert got == brute.near_dedup(rows)
 
 
+def test_rare_pairs_of_a_template(spark):
+    template = [f"t{k}" for k in range(104)]  # 100 shingles, of which all share 88: a similarity of 0.79
+    rows = [(k, " ".join(template[:92] + [f"d{k // 2 if k < 10 else k}x{j}" for j in range(12)])) for k in range(300)]
+    rows = [(k, t + " end" * (k % 2)) for k, t in rows]  # of the first ten, one and the next are near copies
+    texts = spark.createDataFrame(rows, SCHEMA)
+    pairs = near_dedup.rare_pairs(texts.selectExpr("doc_id", "doc_id as component"), texts, 85).collect()
+    assert sorted(map(tuple, pairs)) == [(k, k + 1) for k in range(0, 10, 2)]
+
+
 def test_decontaminate(spark, docs, empty, odd):
     items = [(1, PASSAGE), (2, BASE[:200]), (3, "one TWO"), (4, None), (5, "?!"), (30, PASSAGE), (6, "never there at all")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
