@@ -84,6 +84,12 @@ def densified(h: np.ndarray) -> np.ndarray:
     return value
 
 
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """PARITY longs of a set of hashes."""
+    odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketcher(percent: int):
     n_bands, n_rows = bands_of(percent)
     salt = W.mixed(np.arange(n_bands, dtype=np.uint64) + np.uint64(77))
@@ -103,8 +109,7 @@ def sketcher(percent: int):
             for r in range(n_rows):
                 b = W.mixed(b * np.uint64(W.BASE) + v[r : n_bands * n_rows : n_rows])
             bands.append(b.view(np.int64))
-            odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            bits.append(parity_map(h))
         return [batch.column(0), n, low, high, pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
 
     return sketch
@@ -177,8 +182,10 @@ def across(rows: DataFrame, fit: str) -> DataFrame:
 
 
 def fits(percent: int) -> str:
-    """Whether sizes of p and q allow the similarity."""
-    return f"100 * least(p.n_shingles, q.n_shingles) >= {percent} * greatest(p.n_shingles, q.n_shingles)"
+    """Whether sizes and parity maps of p and q allow the similarity."""
+    differ = " + ".join(f"bit_count(p.m{k} ^ q.m{k})" for k in range(PARITY))
+    sizes = f"100 * least(p.n_shingles, q.n_shingles) >= {percent} * greatest(p.n_shingles, q.n_shingles)"
+    return f"{sizes} and {100 + percent} * ({differ}) <= {100 - percent} * (p.n_shingles + q.n_shingles)"
 
 
 def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -191,18 +198,21 @@ def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
     def spell():
         def run(batch: pa.RecordBatch) -> list:
-            return [batch.column(0), batch.column(1), pa.array([shingles(t).view(np.int64) for t in texts_of(batch.column(2))], pa.list_(pa.int64()))]
+            sets = [shingles(t) for t in texts_of(batch.column(2))]
+            keys, maps = [h.view(np.int64) for h in sets], [parity_map(h) for h in sets]
+            return [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))]
 
         return run
 
     whole = crowd.join(texts, "doc_id").select("doc_id", "component", "text")
-    spelled = map_batches(whole, "doc_id long, component long, keys array<long>", spell)
-    rows = store(spelled.select("doc_id", "component", F.size("keys").cast("long").alias("n_shingles"), F.explode("keys").alias("key")), "shingles")
+    spelled = store(map_batches(whole, "doc_id long, component long, keys array<long>, bits array<long>", spell), "spelled")
+    rows = spelled.select("doc_id", "component", F.size("keys").cast("long").alias("n_shingles"), F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key"))
     ranked = rows.join(shared, "key").withColumn("at", rank).where(f"at <= n_shingles - ceil({percent} * n_shingles / 100) + 1 and df > 1")
     prefix = store(ranked.select("key", "doc_id", "component", "n_shingles", "at"), "prefixes")
-    keyed = prefix.join(largest(prefix, "key").where("others > 0"), "key")
+    maps = spelled.select("doc_id", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
+    keyed = prefix.join(largest(prefix, "key").where("others > 0"), "key").join(maps, "doc_id")
     # of the smaller set a shorter prefix is enough: as long as among sets of its own size
     need = f"ceil({percent} * (p.n_shingles + q.n_shingles) / {100 + percent})"
     bound = f"{need} <= 1 + least(p.n_shingles - p.at, q.n_shingles - q.at)"
@@ -243,17 +253,12 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     placed = members.select("bucket", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = largest(placed, "bucket").where("others > 0")
-    sizes = reps.select("doc_id", "n_shingles")
     bits = reps.select("doc_id", "n_shingles", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
-    left = store(placed.join(split, "bucket").join(sizes, "doc_id"), "left")
+    left = store(placed.join(split, "bucket").join(bits, "doc_id"), "left")
     # a bucket with few members outside its largest component is searched by itself, all others by rare shingles
-    quiet = across(left.where(F.col("others") <= CROWD).select(F.col("bucket").alias("key"), "doc_id", "component", "n_shingles", "largest"), fits(percent))
+    quiet = across(left.where(F.col("others") <= CROWD).withColumnRenamed("bucket", "key"), fits(percent))
     crowd = left.where(F.col("others") > CROWD).select("doc_id", "component").distinct()
     rest = quiet.unionByName(rare_pairs(crowd, texts, percent)).distinct().join(pairs, ["a", "b"], "left_anti")
-    one, two = bits.alias("p"), bits.alias("q")
-    differ = " + ".join(f"bit_count(p.m{k} ^ q.m{k})" for k in range(PARITY))
-    parity = f"{100 + percent} * ({differ}) <= {100 - percent} * (p.n_shingles + q.n_shingles)"
-    rest = rest.join(one, F.expr("a = p.doc_id")).join(two, F.expr("b = q.doc_id")).where(parity).select("a", "b")
     more = store(confirmed(rest, texts, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
