@@ -69,8 +69,10 @@ def app_id(conf: Column, stripped=mr_app_name) -> Column:
     return cleanse_token(F.coalesce(blank_to_null(conf["batch.desc"]), *map(blank_to_null, named), F.lit("")))
 
 
-def user_name(conf: Column) -> Column:
-    return F.coalesce(blank_to_null(conf["mapreduce.job.user.name"]), blank_to_null(conf["user.name"]))
+def user_name(conf: Column, required: bool = False) -> Column:
+    """The user of a configuration; without one null, or an error if it is required."""
+    name = F.coalesce(blank_to_null(conf["mapreduce.job.user.name"]), blank_to_null(conf["user.name"]))
+    return F.when(name.isNull(), F.raise_error(F.lit("no user in the configuration"))).otherwise(name) if required else name
 
 
 def queue_name(conf: Column, user: Column) -> Column:
@@ -138,10 +140,14 @@ def corrected_slot_millis(value: Column, min_mb: Column, memory_mb: Column) -> C
     return floor_div(value * F.coalesce(min_mb, F.lit(1024)), F.coalesce(memory_mb, F.lit(1024)))
 
 
-def megabyte_millis(map_mb, map_slots, reduce_mb, reduce_slots, am_mb, launch, finish, uberized) -> Column:
-    """Memory times time of maps, reduces and the application master; of an uber job the latter only."""
+def megabyte_millis(map_mb, map_slots, reduce_mb, reduce_slots, am_mb, launch, finish, uberized, map_reported=None, reduce_reported=None) -> Column:
+    """Memory times time of maps, reduces and the application master; of an uber job the latter only.
+
+    What the job's counters report for maps or reduces is taken in place of the product, where it is not null.
+    """
     master = am_mb * (finish - launch)
-    return F.when(uberized, master).otherwise(map_mb * map_slots + reduce_mb * reduce_slots + master)
+    part = lambda reported, product: product if reported is None else F.coalesce(reported, product)
+    return F.when(uberized, master).otherwise(part(map_reported, map_mb * map_slots) + part(reduce_reported, reduce_mb * reduce_slots) + master)
 
 
 def job_cost(mb_millis: Column, compute_tco: Column, machine_mb: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.functions.scalars import day_bucket, week_bucket
-from jobtrail.operators.flows import APP, in_window
+from jobtrail.operators.flows import APP, MEASURES, in_window
 
 
 def queues(c: str = "queue") -> Column:
@@ -14,10 +14,9 @@ def queues(c: str = "queue") -> Column:
 
 
 def app_agg(jobs: DataFrame, bucket: Column) -> DataFrame:
-    """Sums per (bucket, application), distinct runs, and the set of queues as text."""
-    return jobs.groupBy(bucket.alias("bucket"), *APP).agg(
-        F.count("*").alias("total_jobs"), F.count_distinct("run_id").alias("number_runs"), F.sum("total_maps").alias("total_maps"), F.sum("slot_millis").alias("slot_millis"), F.sum("mb_millis").alias("mb_millis"), queues().alias("queues"),
-    )
+    """Sums of the measures that jobs have per (bucket, application), distinct runs, and the set of queues as text."""
+    sums = [F.sum(m).alias(m) for m in (*MEASURES, "slot_millis") if m in jobs.columns]
+    return jobs.groupBy(bucket.alias("bucket"), *APP).agg(F.count("*").alias("total_jobs"), F.count_distinct("run_id").alias("number_runs"), *sums, queues().alias("queues"))
 
 
 def app_agg_daily(jobs: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def new_apps(jobs: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def versions_newest_first(versions: DataFrame) -> DataFrame:
-    """Versions of every application, that seen first last at the top."""
+    """Versions of every application, the one that appeared last at the top."""
     return versions.orderBy(*APP, F.desc("first_seen"), F.desc("version"))
 
 

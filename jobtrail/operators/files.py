@@ -81,6 +81,18 @@ def partial(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("conf_mtime").isNull() | F.col("history_mtime").isNull())
 
 
+def partial_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs without an id of their own."""
+    return jobs.where(F.coalesce("job_id", F.lit("")) == "")
+
+
+def to_reprocess(raw: DataFrame, job_seqs: DataFrame, again: bool = True) -> DataFrame:
+    """Raw files with the jobs of job_seqs marked to be processed again, or that mark taken off."""
+    marked = job_seqs.select("job_seq", F.lit(True).alias("marked")).distinct()
+    flag = F.when(F.col("marked"), F.lit("true" if again else None).cast("string")).otherwise(F.col("reprocess"))
+    return raw.join(marked, "job_seq", "left").withColumn("reprocess", flag).select(*raw.columns)
+
+
 def paired(confs: DataFrame, histories: DataFrame) -> DataFrame:
     return confs.join(histories, "job_seq")
 

@@ -115,6 +115,16 @@ def flow_with_tasks(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     return jobs.select(*FLOW, "job_seq").join(per_job, "job_seq", "left").select(*FLOW, "job_seq", zero("task_count"), zero("task_slot_millis"))
 
 
+def flow_task_rows(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Each job of a flow beside each of its tasks; a job without tasks stays, a task of no job goes."""
+    return jobs.select(*FLOW, "job_seq").join(tasks, "job_seq", "left")
+
+
+def submitted_between(jobs: DataFrame, start: int, end: int) -> DataFrame:
+    """Jobs with start <= submit < end."""
+    return jobs.where((F.col("submit") >= start) & (F.col("submit") < end))
+
+
 def job_tasks(tasks: DataFrame, job_seq: int) -> DataFrame:
     return tasks.where(F.col("job_seq") == job_seq)
 

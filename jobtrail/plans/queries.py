@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobtrail.functions import scalars
 from jobtrail.operators import apps, files, flows, progress, storage
 from jobtrail.plans import adapters as A
-from jobtrail.sources import side
+from jobtrail.sources import edge, side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,6 +135,16 @@ def flow_with_tasks(spark, d):
     return flows.flow_with_tasks(A.jobs(spark, d), A.tasks(spark, d))
 
 
+@query(f"with {JOBS}, {TASKS} select j.*, slot_millis, finish, task_status from (select {FLOW}, job_seq from jobs) j left join tasks using (job_seq)")
+def flow_task_rows(spark, d):
+    return flows.flow_task_rows(A.jobs(spark, d), A.tasks(spark, d))
+
+
+@query(f"with {JOBS} select {JOB_COLUMNS} from jobs where \"version\" = '1995' or \"version\" is null")
+def jobs_of_version(spark, d):
+    return flows.of_version(A.jobs(spark, d), "1995")
+
+
 @query(f"with {JOBS} select {JOB_COLUMNS} from jobs where job_seq = {ONE_JOB}")
 def job_by_id(spark, d):
     return flows.job_by_id(A.jobs(spark, d), ONE_JOB)
@@ -226,6 +236,11 @@ def app_summary(spark, d):
     return apps.app_summary(flows.flow_sums(A.jobs_wide(spark, d)))
 
 
+@query(f"with {WIDE} select run_id - run_id % {DAY} bucket, {APP}, count(*)::bigint total_jobs, count(distinct run_id)::bigint number_runs, {SUMS}, sum(slot_millis)::bigint slot_millis, string_agg(distinct queue, '!' order by queue) queues from wide group by all")
+def app_agg_daily_sums(spark, d):
+    return apps.app_agg_daily(A.jobs_wide(spark, d))
+
+
 @query(f'with {WIDE} select run_id - run_id % {DAY} bucket, {APP}, sum("cost")::bigint "cost" from wide group by all')
 def app_cost_daily(spark, d):
     return apps.app_cost(A.jobs_wide(spark, d), scalars.day_bucket(F.col("run_id")))
@@ -275,14 +290,14 @@ def job_level_statistics(spark, d):
 @query(f"with {CONF} select event_id, (epoch_us(ts) // 1000) submit from k where k % 3 = 0 and (epoch_us(ts) // 1000) >= {EARLY} and (epoch_us(ts) // 1000) < {LATE}")
 def find_framework(spark, d):
     c = A.conf(spark, d).select("event_id", A.ms("ts").alias("submit"), scalars.framework(F.col("conf")).alias("framework"))
-    return c.where((F.col("framework") == "PIG") & (F.col("submit") >= EARLY) & (F.col("submit") < LATE)).select("event_id", "submit")
+    return flows.submitted_between(c.where(F.col("framework") == "PIG"), EARLY, LATE).select("event_id", "submit")
 
 
 @query(f"with {JOBS}, p as (select job_seq, case when job_seq % 10 = 0 then null when job_seq % 10 = 1 then '' else cast(job_seq as varchar) end job_id from jobs) select job_seq from p where job_id is null or job_id = ''")
 def partial_jobs(spark, d):
     k = F.col("job_seq") % 10
     j = A.jobs(spark, d).select("job_seq", F.when(k == 1, "").when(k != 0, F.col("job_seq").cast("string")).alias("job_id"))
-    return j.where(F.col("job_id").isNull() | (F.col("job_id") == "")).select("job_seq")
+    return files.partial_jobs(j).select("job_seq")
 
 
 @query(f"with {RAW} select job_seq, conf_mtime, history_mtime, success, reprocess from raw where conf_mtime is null or history_mtime is null")
@@ -427,8 +442,7 @@ def queue_resolution(spark, d):
 
 @query(f"with {CONF}, e as (select event_id, unnest([{{'a': 'mapred.job.name', 'b': case when k % 2 = 0 then 'job ' || k || ' [step]' end}}, {{'a': 'mapreduce.job.name', 'b': 'name ' || k}}]) x from k) select event_id, x.a \"key\", x.b \"value\" from e where x.b is not null")
 def conf_regex_projection(spark, d):
-    kept = F.map_filter("conf", lambda k, v: k.rlike(r"^(?:mapre.*\.job\.name)$"))
-    return A.conf(spark, d).select("event_id", F.explode(kept).alias("key", "value"))
+    return A.conf(spark, d).select("event_id", F.explode(edge.conf_matching(F.col("conf"), [r"mapre.*\.job\.name"])).alias("key", "value"))
 
 
 @query(f"with {JOBS} select job_seq, case job_seq % 4 when 0 then 1024 when 1 then total_maps // 1 when 2 then total_maps * 1024 else (total_maps * 4096) // 1024 end::bigint xmx from jobs")

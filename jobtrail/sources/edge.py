@@ -64,6 +64,11 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_json(df: DataFrame, path: str, level: str = "EVERYTHING", include: list[str] | None = None) -> None:
+    """Write rows as JSON lines, with the columns that a detail level shows, of these only the named ones if there is a list."""
+    as_json(projected(at_level(df, level), include)).write.mode("overwrite").text(path)
+
+
 def encode_cursor(cluster: str, user: str, app: str, run_id: int) -> str:
     """A page cursor: the flow's key, its run id inverted, as base64."""
     return base64.b64encode("!".join((cluster, user, app)).encode() + b"!" + struct.pack(">q", LONG_MAX - run_id)).decode()

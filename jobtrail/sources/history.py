@@ -36,8 +36,9 @@ def classified(files: DataFrame) -> DataFrame:
 
 
 def configurations(files: DataFrame) -> DataFrame:
-    """job_id and configuration map of rows (job_id, content) of XML; later entries of a key win."""
-    parsed = F.from_xml(F.col("content").cast("string"), "property array<struct<name:string,value:string>>")
+    """job_id and configuration map of rows (job_id, content) of XML; later entries of a key win. A row without content fails."""
+    body = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no configuration of "), F.coalesce("job_id", F.lit("a job without id"))))).otherwise(F.col("content").cast("string"))
+    parsed = F.from_xml(body, "property array<struct<name:string,value:string>>")
     entry = F.transform(F.filter(parsed["property"], lambda p: p["name"].isNotNull()), lambda p: F.struct(F.trim(p["name"]).alias("key"), F.coalesce(p["value"], F.lit("")).alias("value")))
     last = F.aggregate(F.coalesce(entry, F.array().cast("array<struct<key:string,value:string>>")), F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_entries(F.array(e))))
     return files.select("job_id", last.alias("conf"))
@@ -57,9 +58,13 @@ def events(texts: DataFrame) -> DataFrame:
 
 
 def fields(parsed: DataFrame) -> DataFrame:
-    """Long rows (job_file, ordinal, type, row_key, name, value) of the scalar fields of events."""
+    """Long rows (job_file, ordinal, type, row_key, name, value) of the scalar fields of events.
+
+    The end of a job that finished carries no status, unlike that of one which failed or was killed: it succeeded.
+    """
     values = F.from_json("body", "map<string,string>")
-    rows = parsed.withColumn("values", values)
+    ended = F.map_concat(F.map_filter(values, lambda k, _: k != "jobStatus"), F.create_map(F.lit("jobStatus"), F.lit("SUCCEEDED")))
+    rows = parsed.withColumn("values", F.when(F.col("type") == "JOB_FINISHED", ended).otherwise(values))
     key = F.coalesce(task_key(F.col("values")["attemptId"]), task_key(F.col("values")["taskid"]), F.when(F.col("type") == "AM_STARTED", F.concat(F.lit("AM_"), F.col("values")["applicationAttemptId"])), F.lit(""))
     named = F.create_map(*(F.lit(x) for kv in FIELD_NAMES.items() for x in kv))
     long = rows.select("job_file", "ordinal", "type", key.alias("row_key"), F.explode("values").alias("field", "value")).where(~F.col("field").isin(list(COUNTER_BLOCKS)))

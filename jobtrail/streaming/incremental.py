@@ -11,9 +11,12 @@ from pyspark.sql.types import StructType
 RUN_TTL = "30 days"
 
 
-def new_files(spark: SparkSession, path: str, schema: StructType, checkpoint: str, out: str) -> StreamingQuery:
-    """Append what was added below path since the last call; the checkpoint is the high-water mark."""
-    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+def new_files(spark: SparkSession, path: str, schema: StructType | str, checkpoint: str, out: str, form: str = "parquet", **options: str) -> StreamingQuery:
+    """Append what was added below path since the last call; the checkpoint is the high-water mark.
+
+    Any file source of Spark is a form: parquet, text (with wholetext a history file is a row), binaryFile, json.
+    """
+    source = spark.readStream.schema(schema).format(form).options(recursiveFileLookup="true", **options).load(path)
     return source.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
