@@ -11,6 +11,7 @@ def event(kind, **body):
     return json.dumps({"type": kind, "event": {"org.apache.hadoop.mapreduce.jobhistory.X": body}})
 
 
+# Names of events and counters of the file format.
 COUNTS = {"name": "TOTAL", "groups": [{"name": "G", "displayName": "g", "counts": [{"name": "MB_MILLIS_MAPS", "displayName": "m", "value": 178169856}]}]}
 LINES = [
     "Avro-Json",
