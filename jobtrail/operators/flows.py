@@ -120,6 +120,12 @@ def flow_task_rows(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     return jobs.select(*FLOW, "job_seq").join(tasks, "job_seq", "left")
 
 
+def of_status(jobs: DataFrame, status: str | None, framework: str | None = None) -> DataFrame:
+    """Jobs of a status, of which those without one pass; of a framework those without one do not."""
+    jobs = jobs.where((F.col("status") == status) | F.col("status").isNull()) if status else jobs
+    return jobs.where(F.col("framework") == framework) if framework else jobs
+
+
 def submitted_between(jobs: DataFrame, start: int, end: int) -> DataFrame:
     """Jobs with start <= submit < end."""
     return jobs.where((F.col("submit") >= start) & (F.col("submit") < end))
@@ -186,3 +192,31 @@ def counter_include(counters: DataFrame, names: list[str]) -> DataFrame:
     """Counters whose group.name is one of the names, summed per job."""
     kept = counters.where(F.concat_ws(".", "group", "name").isin(names))
     return kept.groupBy("job_seq", "group", "name").agg(F.sum("value").alias("value"))
+
+
+def from_row(flows: DataFrame, row: tuple) -> DataFrame:
+    """Flows at or behind a row key (cluster, user, app, run_id) in key order: newest run first within an application.
+
+    The first column is bounded by itself too, so that readers can skip what lies before it.
+    """
+    cluster, user, app, run_id = row
+    c = F.col
+    behind = (c("cluster") > cluster) | (c("cluster") == cluster) & ((c("user") > user) | (c("user") == user) & ((c("app") > app) | (c("app") == app) & (c("run_id") <= run_id)))
+    return flows.where((c("cluster") >= cluster) & behind)
+
+
+def flow_page(flows: DataFrame, size: int, row: tuple | None = None, app: tuple = ()) -> DataFrame:
+    """A page of flows in key order from a row key on, and the row behind it, which begins the next page.
+
+    app narrows the pages to a cluster, to one of its users, or to one of its applications.
+    """
+    for name, value in zip(APP, app):
+        flows = flows.where(F.col(name) == value)
+    flows = from_row(flows, row) if row else flows
+    return flows.orderBy(*APP, F.desc("run_id")).limit(size + 1)
+
+
+def next_row(page: DataFrame, size: int) -> tuple | None:
+    """Where the page behind this one begins; none behind the last."""
+    rows = page.orderBy(*APP, F.desc("run_id")).select(*FLOW).offset(size).take(1)
+    return tuple(rows[0]) if rows else None

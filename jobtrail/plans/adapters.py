@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtrail.functions.scalars import format_job_id
 from jobtrail.operators.flows import DERIVED
 
 
@@ -118,8 +119,8 @@ def hdfs_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as jobs with a configuration map made from k."""
+def conf(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
+    """Events as jobs with a configuration map made from k; full ones have versions and run times of frameworks too."""
     e = table(spark, sf_dir, "events")
     k = prop_k()
     text = k.cast("string")
@@ -128,6 +129,11 @@ def conf(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("mapred.job.name", F.when(k % 2 == 0, F.concat(F.lit("job "), text, F.lit(" [step]")))), ("mapreduce.job.name", F.concat(F.lit("name "), text)),
         ("mapreduce.job.queuename", F.when(k % 4 == 0, "default").when(k % 4 == 1, F.concat(F.lit("q"), text))), ("mapred.fairscheduler.pool", F.when(k % 4 == 2, F.concat(F.lit("pool"), text))), ("user.name", F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))),
     ]
+    stamp = lambda when, base: F.when(when, (k + base).cast("string"))
+    pairs += [
+        ("pig.script.version", F.when(k % 6 == 0, F.concat(F.lit("v"), text))), ("pig.logfile", F.concat(F.lit("/tmp/pig_"), stamp(k % 9 == 0, 1_700_000_000_000), F.lit(".log"))), ("scalding.flow.class.signature", F.when(k % 6 == 4, F.concat(F.lit("sig"), text))),
+        ("scalding.flow.submitted.timestamp", stamp(k % 7 == 1, 1_600_000_000_000)), ("mapred.app.submitted.timestamp", stamp(k % 7 == 2, 1_500_000_000_000)),
+    ] if full else []
     entries = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in pairs)), lambda x: x["value"].isNotNull())
     return e.select("event_id", "user_id", "ts", F.map_from_entries(entries).alias("conf"), k.alias("k"))
 
@@ -146,3 +152,21 @@ def process_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = (F.col("at") - F.col("at") % 86_400_000).alias("day")
     g = o.groupBy(day).agg(F.max("at").alias("max_mtime"), F.min("at").alias("min_mtime"), F.count("*").alias("files"), F.min("job_seq").alias("min_job"), F.max("job_seq").alias("max_job"))
     return g.withColumn("state", (F.floor(F.col("day") / 86_400_000) % 4).cast("int")).withColumn("manifest", F.concat(F.lit("/process/"), F.col("day").cast("string")))
+
+
+def process_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries of a record for each order day: as many steps as the day says, and a failure at the end of every fifth."""
+    o = table(spark, sf_dir, "orders").select(ms("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
+    day = F.floor(F.col("at") / 86_400_000).cast("bigint")
+    g = o.groupBy(day.alias("batch")).agg(F.min("at").alias("min_mtime"), F.max("at").alias("max_mtime"), F.count("*").alias("files"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+    b = F.col("batch")
+    last = (b % 4).cast("int")
+    steps = F.concat(F.transform(F.sequence(F.lit(0), last), lambda s: F.struct(s.alias("step"), s.alias("state"))), F.when(b % 5 == 0, F.array(F.struct((last + 1).alias("step"), F.lit(0).alias("state")))).otherwise(F.array().cast("array<struct<step:int,state:int>>")))
+    return g.select("*", F.concat(F.lit("c"), (b % 3).cast("string")).alias("cluster"), F.concat(F.lit("run"), F.floor(b / 30).cast("string")).alias("run"), F.explode(steps).alias("e")).select("*", "e.step", "e.state", F.concat(F.lit("/m/"), b.cast("string")).alias("manifest")).drop("e")
+
+
+def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_status() as rows of a raw store: ids of three epochs and two clusters, with contents."""
+    r, seq = raw_status(spark, sf_dir), F.col("job_seq")
+    job = format_job_id(seq % 3 + 1000, seq)
+    return r.select(F.concat(F.lit("c"), (seq % 2).cast("string")).alias("cluster"), job.alias("job_id"), "conf_mtime", "history_mtime", "success", "reprocess", F.concat(F.lit("<conf>"), job, F.lit("</conf>")).alias("conf"), F.concat(F.lit("history of "), job).cast("binary").alias("history"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.functions import scalars
-from jobtrail.operators import apps, files, flows, progress, storage
+from jobtrail.operators import apps, files, flows, partials, progress, storage
 from jobtrail.plans import adapters as A
-from jobtrail.sources import edge, side
+from jobtrail.sources import edge, process_log, raw_store, side, sinks
+from jobtrail.sources.folders import shared
+from jobtrail.streaming.follow import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,9 +177,9 @@ def flow_counters_by_scope(spark, d):
 
 @query(f"""with t as (select l_orderkey job_seq, l_linenumber n, l_returnflag "type", l_linestatus status, l_suppkey s, epoch_ms(l_shipdate) ship from lineitem)
  select job_seq, 'task_' || n task_id, "type", status, 'attempt_' || n attempt_id, 'tracker_' || status tracker_name, 'host' || s hostname, '' state, null::varchar "error", ship start_time, ship + n * 1000 finish_time,
-  case when n % 2 = 0 then n else 0 end::bigint shuffle_finished, 0::bigint sort_finished, s::bigint http_port, case n when 1 then [] when 2 then ['a', 'b', '2'] else [n::varchar] end splits from t where job_seq % 10 = {ONE_JOB}""")
+  case when n % 2 = 0 then n else 0 end::bigint shuffle_finished, 0::bigint sort_finished, s::bigint http_port, case n when 1 then [] when 2 then ['a', 'b', '2'] else [n::varchar] end splits from t""")
 def task_details(spark, d):
-    return flows.task_details(A.raw_tasks(spark, d).where(F.col("job_seq") % 10 == ONE_JOB))
+    return flows.task_details(A.raw_tasks(spark, d))
 
 
 @query(f'with {COUNTERS} select job_seq, "group", "name", sum("value")::bigint "value" from counters where "group" || \'.\' || "name" in (\'A.F\', \'N.O\') group by all')
@@ -261,11 +264,15 @@ def process_records_listing(spark, d):
     return files.records_listing(A.process_records(spark, d))
 
 
-@query(f"""with {CONF} select event_id, k, case k % 3 when 0 then 'PIG' when 1 then 'SCALDING' else 'NONE' end framework,
-  case k % 4 when 0 then 'u' || (user_id % 10) when 1 then 'q' || k when 2 then 'pool' || k else 'DEFAULT_QUEUE' end queue, 'u' || (user_id % 10) "user", '' "version" from k""")
+@query(f"""with {CONF}, f as (select event_id, k, epoch_us(ts) // 1000 submit, case k % 3 when 0 then 'PIG' when 1 then 'SCALDING' else 'NONE' end framework, user_id, ts from k)
+ select event_id, k, framework, translate(case when k % 5 = 0 then 'batch! ' || k when k % 2 = 0 and framework = 'PIG' then 'job ' || k || ' [step]' when k % 2 = 0 then 'job ' || k || ' ' else 'name ' || k end, ' !', '__') app,
+  case framework when 'PIG' then case when k % 9 = 0 then 1700000000000 + k else submit end when 'SCALDING' then case when k % 7 = 1 then 1600000000000 + k else epoch_ms(date_trunc('month', ts)::timestamp) + ('0xAB' || k)::bigint % (30 * {DAY}::bigint) end
+   else case when k % 7 = 2 then 1500000000000 + k else submit end end::bigint run_id,
+  case when framework = 'PIG' and k % 6 = 0 then 'v' || k when framework = 'SCALDING' and k % 6 = 4 then 'sig' || k else '' end "version",
+  case k % 4 when 0 then 'u' || (user_id % 10) when 1 then 'q' || k when 2 then 'pool' || k else 'DEFAULT_QUEUE' end queue, 'u' || (user_id % 10) "user", submit from f""")
 def job_rows(spark, d):
-    rows = side.job_row(A.conf(spark, d).select("event_id", "k", "conf", A.ms("ts").alias("submit")))
-    return rows.select("event_id", "k", "framework", "queue", "user", "version")
+    rows = side.job_row(A.conf(spark, d, full=True).select("event_id", "k", "conf", A.ms("ts").alias("submit")))
+    return rows.select("event_id", "k", "framework", "app", "run_id", "version", "queue", "user", "submit")
 
 
 BEGIN, SOON = 788918400000, 789350400000  # 1995-01-01 and five days later
@@ -464,3 +471,140 @@ def job_cost(spark, d):
     props = [("AFRICA.computecost", "20.0"), ("AFRICA.machinememory", "512"), ("ASIA.computecost", "30"), ("ASIA.machinememory", "1024"), ("EUROPE.computecost", "none")]
     costs = side.machine_costs(spark.createDataFrame(props, "key string, value string"))
     return side.with_cost(A.jobs(spark, d), costs, "cluster").select("job_seq", F.round("cost", 6).alias("cost"))
+
+
+PROCESS_LOG = """
+day as (select epoch_ms(o_orderdate) // 86400000 batch, min(epoch_ms(o_orderdate)) min_mtime, max(epoch_ms(o_orderdate)) max_mtime, count(*)::bigint files, min(o_orderkey) min_id, max(o_orderkey) max_id from orders group by 1),
+log as (select *, 'c' || (batch % 3) cluster, 'run' || (batch // 30) run, '/m/' || batch manifest, unnest(range(0, batch % 4 + 1 + (batch % 5 = 0)::int))::int step from day),
+entry as (select *, case when step > batch % 4 then 0 else step end state from log),
+now as (select * from entry qualify row_number() over (partition by cluster, run, batch order by step desc) = 1)
+"""
+
+
+@query(f"with {PROCESS_LOG} select * from now")
+def process_log_current(spark, d):
+    return process_log.current(A.process_log(spark, d))
+
+
+@query(f"""with {PROCESS_LOG}, m as (select cluster, coalesce(max(max_mtime) filter (state <> 0), 0) newest, min(min_mtime - 1) filter (state = 0) failed from now group by 1) select cluster, newest, least(newest, coalesce(failed, newest)) low from m""")
+def process_low_water(spark, d):
+    return process_log.low_water(process_log.current(A.process_log(spark, d)))
+
+
+@query(f"with {PROCESS_LOG} select * from now where state = 1")
+def process_todo(spark, d):
+    return process_log.todo(process_log.current(A.process_log(spark, d)), process_log.LOADED)
+
+
+#: When the three runs of the listing begin: 2024-01-10, 2024-01-25, and long after; a fifth of the files is seen a week late.
+RUNS = (1704844800000, 1706140800000, 1893456000000)
+
+
+@query(f"""with {EVENT_FILES}, seen as (select id, mtime, mtime + case when id % 5 = 0 then 7 * {DAY} else 0 end arrives from f), r as (select *, case when arrives <= {RUNS[0]} then {RUNS[0]} when arrives <= {RUNS[1]} then {RUNS[1]} else {RUNS[2]} end::bigint run_at from seen)
+ select id, mtime, run_at, cast((row_number() over (partition by run_at order by mtime, id) - 1) // 700 as bigint) batch from r""")
+def incremental_listing(spark, d):
+    """Three runs into one folder: what their manifests have together."""
+    found, folder = event_files(spark, d).select("id", "mtime"), shared(spark, "process")
+    arrives = F.col("mtime") + F.when(F.col("id") % 5 == 0, 7 * DAY).otherwise(0)
+    for now in RUNS:
+        process_log.preprocess(found.where(arrives <= now), folder, "c", now, 700)
+    return process_log.manifests(spark, folder, found).select("id", "mtime", F.substring_index("run", "-", 1).cast("bigint").alias("run_at"), "batch")
+
+
+@query(ORACLE_SQL["app_agg_daily_sums"])
+def app_agg_incremental(spark, d):
+    """The daily sums from four batches: one of them comes twice, one after the others were put together."""
+    folder = shared(spark, "aggregates")
+    A.jobs_wide(spark, d).write.parquet(f"{folder}/all")
+    jobs = spark.read.parquet(f"{folder}/all")
+    batch = lambda k: jobs.where(F.col("job_seq") % 4 == k)
+    for k in (0, 2, 1, 2):
+        partials.fold(batch(k), folder, k)
+    partials.compact(spark, folder)
+    for k in (3, 1):
+        partials.fold(batch(k), folder, k)
+    return partials.merged(spark, folder, scalars.day_bucket(F.col("run_id")))
+
+
+AGES = ", ".join(f"({a})" for a in storage.AGES)
+
+
+@query(f"""with {HDFS}, p as (select cluster, path, "hour", space_consumed, age_days, "hour" - age_days * 86400 t from rolled, (values {AGES}) v(age_days))
+ select p.cluster, p.path, p."hour", p.space_consumed, age_days, o."hour" older_hour, o.space_consumed older_space_consumed, p.space_consumed - o.space_consumed growth from p asof join rolled o on p.cluster = o.cluster and p.path = o.path and p.t >= o."hour" """)
+def hdfs_older(spark, d):
+    return storage.older(A.hdfs_usage(spark, d))
+
+
+#: 2024-02-09, when no directory was measured any more.
+AFTER = 1707436800
+
+
+@query(f"""with {HDFS}, r as (select *, case when "hour" = {AFTER} then 0 else (select min(age_days) from (values {AGES}) v(age_days) where "hour" between {AFTER} - age_days * 86400 - 79200 and {AFTER} - age_days * 86400) end age from rolled where cluster = 'click' and starts_with(path, '/user/')),
+ best as (select arg_min("hour", {{'a': age, 'b': -"hour"}}) "at" from r where age is not null) select r.* exclude (age) from r, best where "hour" = "at" """)
+def hdfs_dirs_at(spark, d):
+    return storage.dirs_at(A.hdfs_usage(spark, d), "click", "/user/", AFTER)
+
+
+@query(f"""with {JOBS}, g as (select {FLOW}, {ROLLUP} from jobs group by {FLOW}) select * from g where (cluster, "user", app) > ('ASIA', 'BUILDING', '3-MEDIUM') or (cluster, "user", app) = ('ASIA', 'BUILDING', '3-MEDIUM') and run_id <= {FROM} order by {APP}, run_id desc limit 101""")
+def flow_page_from_row(spark, d):
+    """A page of 100 flows, and the next page's first, from the encoded key of a row on, out of flows stored in key order."""
+    folder = shared(spark, "flows")
+    sinks.write_flows(flows.flow_rollup(A.jobs(spark, d)), folder)
+    return flows.flow_page(spark.read.parquet(folder), 100, edge.decode_cursor(edge.encode_cursor("ASIA", "BUILDING", "3-MEDIUM", FROM)))
+
+
+RAW_JOBS = RAW + """, rj as (select 'c' || (job_seq % 2) cluster, job_seq % 3 + 1000 job_epoch, job_seq, 'job_' || (job_seq % 3 + 1000) || '_' || case when job_seq < 1000 then lpad(job_seq::varchar, 4, '0') else job_seq::varchar end job_id, conf_mtime, history_mtime, success, reprocess from raw)
+, ready as (select * from rj where coalesce(conf_mtime, 0) > 0 and coalesce(history_mtime, 0) > 0)"""
+#: Ids of a block of the test store.
+IDS = 50_000
+RANGED = "cluster = 'c1' and (job_epoch > 1000 or job_epoch = 1000 and job_seq >= 5001) and (job_epoch < 1002 or job_epoch = 1002 and job_seq <= 2000)"
+
+
+def stored_raw(spark, d):
+    folder = shared(spark, "raw")
+    raw_store.write_raw(A.raw_jobs(spark, d), folder, IDS)
+    return raw_store.raw_store(spark, folder)
+
+
+@query(f"with {RAW_JOBS} select job_id, conf_mtime, history_mtime, success, reprocess from ready where {RANGED} and (coalesce(reprocess, '') = 'true' or coalesce(success, '') <> 'true')")
+def raw_range_scan(spark, d):
+    return raw_store.scan(stored_raw(spark, d), "c1", "job_1000_5001", "job_1002_2000", ids=IDS).select("job_id", "conf_mtime", "history_mtime", "success", "reprocess")
+
+
+@query(f"""with {RAW_JOBS}, b as (select *, cast((row_number() over (order by job_epoch, job_seq) - 1) // 100 as bigint) batch from ready where {RANGED} and reprocess = 'true')
+ select batch, arg_min(job_id, {{'a': job_epoch, 'b': job_seq}}) min_id, arg_max(job_id, {{'a': job_epoch, 'b': job_seq}}) max_id, count(*)::bigint jobs from b group by batch""")
+def raw_ranges_to_reprocess(spark, d):
+    return raw_store.ranges(stored_raw(spark, d), "c1", "job_1000_5001", "job_1002_2000", 100, True, IDS)
+
+
+@query(f"with {RAW_JOBS} select cluster, job_id, '<conf>' || job_id || '</conf>' conf, 'history of ' || job_id history from rj where cluster = 'c1' and job_id = 'job_1001_0007'")
+def raw_job_content(spark, d):
+    return raw_store.of_job(stored_raw(spark, d), "c1", "job_1001_0007", IDS).select("cluster", "job_id", "conf", F.col("history").cast("string").alias("history"))
+
+
+@query(ORACLE_SQL["flow_task_rows"])
+def flow_task_rows_bucketed(spark, d):
+    """Jobs and tasks as tables of equal buckets, joined without a shuffle of either."""
+    tag, n = uuid.uuid4().hex, 16
+    jobs, tasks = sinks.bucketed(A.jobs(spark, d).select(*flows.FLOW, "job_seq"), f"jobs_{tag}", "job_seq", n), sinks.bucketed(A.tasks(spark, d), f"tasks_{tag}", "job_seq", n)
+    return flows.flow_task_rows(jobs, tasks)
+
+
+@query(f'with {EVENTS} select * from fe where "sequence" > 500')
+def flow_events_followed(spark, d):
+    """Events appended in three parts and polled after each, once more at the end."""
+    folder, events = shared(spark, "events"), A.flow_events(spark, d)
+    bounds = (F.col("sequence") < 3000, (F.col("sequence") >= 3000) & (F.col("sequence") < 6000), F.col("sequence") >= 6000)
+    for part in (*bounds, None):
+        if part is not None:
+            sinks.append_events(events.where(part), f"{folder}/in")
+        stream = follow(spark, f"{folder}/in", 500, events.schema).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/mark")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/out")
+
+
+@query(f"""with {JOBS}, s as (select "user", app, mb_millis, slot_millis from jobs where (nullif(status, 'P') = 'F' or nullif(status, 'P') is null) and submit >= {FROM} and submit < {TO})
+ select "user", app, count(*)::bigint jobs, sum(mb_millis)::bigint mb_millis, sum(slot_millis)::bigint slot_millis from s group by 1, 2 order by mb_millis desc, "user", app limit 20""")
+def job_level_statistics_of_status(spark, d):
+    jobs = A.jobs(spark, d).withColumn("status", F.nullif(F.col("status"), F.lit("P")))
+    return apps.job_level_statistics(flows.submitted_between(flows.of_status(jobs, "F"), FROM, TO), 20)

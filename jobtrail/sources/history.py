@@ -39,9 +39,12 @@ def configurations(files: DataFrame) -> DataFrame:
     """job_id and configuration map of rows (job_id, content) of XML; later entries of a key win. A row without content fails."""
     body = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no configuration of "), F.coalesce("job_id", F.lit("a job without id"))))).otherwise(F.col("content").cast("string"))
     parsed = F.from_xml(body, "property array<struct<name:string,value:string>>")
-    entry = F.transform(F.filter(parsed["property"], lambda p: p["name"].isNotNull()), lambda p: F.struct(F.trim(p["name"]).alias("key"), F.coalesce(p["value"], F.lit("")).alias("value")))
-    last = F.aggregate(F.coalesce(entry, F.array().cast("array<struct<key:string,value:string>>")), F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_entries(F.array(e))))
-    return files.select("job_id", last.alias("conf"))
+    named = F.filter(F.coalesce(parsed["property"], F.array().cast("array<struct<name:string,value:string>>")), lambda p: p["name"].isNotNull())
+    placed = F.array_sort(F.transform(named, lambda p, i: F.struct(F.trim(p["name"]).alias("key"), i.alias("place"), F.coalesce(p["value"], F.lit("")).alias("value"))))
+    # in order of key and place, so the last of a key is the one before another key
+    beside = files.select("job_id", placed.alias("own")).select("job_id", F.arrays_zip("own", F.slice("own", 2, F.greatest(F.size("own"), F.lit(1))).alias("next")).alias("both"))
+    last = F.filter("both", lambda b: ~b["own"]["key"].eqNullSafe(b["next"]["key"]))
+    return beside.select("job_id", F.map_from_entries(F.transform(last, lambda b: F.struct(b["own"]["key"].alias("key"), b["own"]["value"].alias("value")))).alias("conf"))
 
 
 def events(texts: DataFrame) -> DataFrame:

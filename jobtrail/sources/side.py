@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.functions import scalars
 
 
+#: Fixed: letters that stand for a character behind a backslash in properties.
+ESCAPED = {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}
+
+
+def pairs(text: str) -> list[tuple[str, str]]:
+    """Key and value of each entry of a properties file, in order.
+
+    A line that ends in an odd number of backslashes goes on, less its white space, in the next one; empty
+    lines and ones that begin with # or ! are none. A key ends at the first =, : or white space that no
+    backslash is before; it may have no value.
+    """
+    out, held = [], None
+    for line in re.split(r"\r\n|\n|\r", text):
+        line = line.lstrip(" \t\f")
+        if held is None and (not line or line[0] in "#!"):
+            continue
+        line = (held or "") + line
+        if (len(line) - len(line.rstrip("\\"))) % 2:
+            held = line[:-1]
+            continue
+        out.append(line)
+        held = None
+    out += [held] if held else []
+    plain = lambda s: re.sub(r"\\(?:u([0-9A-Fa-f]{4})|(.?))", lambda m: chr(int(m[1], 16)) if m[1] else ESCAPED.get(m[2], m[2]), s)
+    split = (re.match(r"((?:\\.|[^\\=: \t\f])*)[ \t\f]*[=:]?[ \t\f]*(.*)", line, re.S) for line in out)
+    return [(plain(m[1]), plain(m[2])) for m in split]
+
+
 def properties(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a properties file; empty lines and comments are none, of repeated keys the largest value counts."""
-    line = F.trim("value")
-    rows = spark.read.text(path).where((line != "") & ~line.rlike("^[#!]"))
-    part = lambda k: F.trim(F.regexp_extract(line, r"^([^=:\s]+)\s*[=:\s]\s*(.*)$", k))
-    return rows.select(part(1).alias("key"), part(2).alias("value")).where("key <> ''").groupBy("key").agg(F.max("value").alias("value"))
+    """(key, value) of the properties files at a path, by the rules of the format; of repeated keys the last one counts (files by name)."""
+    entries = F.udf(lambda text: pairs(text), "array<struct<key:string,value:string>>")  # a row for each file: few
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(entries("value")).alias("place", "e"))
+    return rows.groupBy(F.col("e.key").alias("key")).agg(F.max_by("e.value", F.struct("file", "place")).alias("value"))
 
 
 def machine_costs(props: DataFrame) -> DataFrame:

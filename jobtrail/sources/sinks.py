@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.operators.files import batches, by_day, record_of_batch
-
-
-def overwrite_partitions(df: DataFrame, path: str, *keys: str) -> None:
-    """Replace the partitions that df has rows of; others stay. A run that is repeated replaces its own."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+from jobtrail.operators.flows import APP
+from jobtrail.sources.folders import exists, overwrite_partitions
 
 
 def write_history(jobs: DataFrame, tasks: DataFrame, raw: DataFrame, folder: str, *keys: str) -> None:
@@ -19,29 +16,41 @@ def write_history(jobs: DataFrame, tasks: DataFrame, raw: DataFrame, folder: str
         overwrite_partitions(df, f"{folder}/{name}", *keys)
 
 
-def write_batches(files: DataFrame, size: int, folder: str) -> DataFrame:
-    """Write a manifest of the files of each batch; returns a process record for each."""
-    batched = batches(files, size)
-    overwrite_partitions(batched, f"{folder}/manifests", "batch")
-    return record_of_batch(files.sparkSession.read.parquet(f"{folder}/manifests"), f"{folder}/manifests")
+def write_batches(files: DataFrame, size: int, folder: str, run: str) -> DataFrame:
+    """Write a manifest of the files of each batch of a run; returns the run's process records.
+
+    Other runs into the same folder stay as they are; process_log.preprocess() does this with a log of states.
+    """
+    overwrite_partitions(batches(files, size).withColumn("run", F.lit(run)), f"{folder}/manifests", "run", "batch")
+    mine = files.sparkSession.read.parquet(f"{folder}/manifests").where(F.col("run") == run)
+    return record_of_batch(mine, f"{folder}/manifests/run={run}").withColumn("run", F.lit(run))
 
 
 def put_records(records: DataFrame, folder: str) -> None:
-    """Put process records, in place of those of the same state and batch."""
-    overwrite_partitions(records.withColumn("of", F.col("batch")), folder, "of")
-
-
-def partition_by_day(files: DataFrame, folder: str) -> None:
-    """Files by year, month and day of their modification in UTC; days that are there already are left as they are."""
-    days = files.select("*", *by_day(F.col("mtime")))
-    try:
-        there = files.sparkSession.read.parquet(folder).select("year", "month", "day").distinct()
-        same = [F.col(f"d.{c}").cast("int") == F.col(f"t.{c}").cast("int") for c in ("year", "month", "day")]
-        days = days.alias("d").join(F.broadcast(there.alias("t")), same, "left_anti")  # a row for each day
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    overwrite_partitions(days, folder, "year", "month", "day")
+    """Put process records, in place of those of the same run, state and batch."""
+    overwrite_partitions(records.select("*", F.col("run").alias("of_run"), F.col("state").alias("in_state"), F.col("batch").alias("of")), folder, "of_run", "in_state", "of")
+
+
+def partition_by_day(files: DataFrame, folder: str, key: str = "path") -> None:
+    """Add files by year, month and day of their modification in UTC; a file (by key) that its day has already is left as it is."""
+    at = [key, "year", "month", "day"]
+    days = files.select("*", *by_day(F.col("mtime"))).dropDuplicates(at)
+    if exists(files.sparkSession, folder):
+        days = days.join(files.sparkSession.read.schema(days.schema).parquet(folder).select(*at), at, "left_anti")
+    days.select(*files.columns, *at[1:]).write.mode("append").partitionBy(*at[1:]).parquet(folder)
+
+
+def write_flows(flows: DataFrame, folder: str, parts: int | None = None) -> None:
+    """Flows in key order, file by file and within each, so that a page reads the few row groups that its bounds meet."""
+    order = [F.asc(c) for c in APP] + [F.desc("run_id")]
+    ranged = flows.repartitionByRange(parts, *order) if parts else flows.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(folder)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table of buckets by a key, sorted by it within each; two such tables of as many buckets are joined on it without a shuffle."""
+    df.repartition(buckets, key).sortWithinPartitions(key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def append_events(events: DataFrame, folder: str) -> None:

@@ -20,6 +20,13 @@ def test_cost_and_cluster_properties(spark, tmp_path):
     assert {r.host: r.cluster for r in named.collect()} == {"jt1.example": "c1", "x": None}
 
 
+def test_properties_by_the_rules_of_the_format(spark, tmp_path):
+    text = "k = 9\nk = 10\nk=2\nlong=a\\\n   b\\\n  # no comment\nkey\\ with\\=odd\\:signs v w\n  ! none\ntab\\tin=x\\u00e9\\ny\nbare\nend=two\\\\\n: nameless\r\nlast:\\"
+    (tmp_path / "a.properties").write_text(text)
+    got = {r.key: r.value for r in side.properties(spark, str(tmp_path / "a.properties")).collect()}
+    assert got == {"k": "2", "long": "ab# no comment", "key with=odd:signs": "v w", "tab\tin": "x\u00e9\ny", "bare": "", "end": "two\\", "": "nameless", "last": ""}
+
+
 def test_raw_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "job_1_conf.xml").write_bytes(b"<x/>")
@@ -53,12 +60,18 @@ def test_batches_manifests_and_records(spark, tmp_path):
     hot = spark.range(1000).select("id", F.when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("mtime"))
     assert all(r.batch == r.id // 10 for r in files.batches(hot, 10, 20).collect())
     assert len(files.range_cuts(hot, 20)) > 15
-    records = sinks.write_batches(found, 2, str(tmp_path))
+    records = sinks.write_batches(found, 2, str(tmp_path), "r1")
     assert sorted((r.batch, r.files, r.state) for r in records.collect()) == [(0, 2, 1), (1, 2, 1), (2, 2, 1)]
+    more = sinks.write_batches(spark.createDataFrame([(7, 9), (8, 9)], "id long, mtime long"), 2, str(tmp_path), "r2")
+    assert [(r.batch, r.files, r.run) for r in more.collect()] == [(0, 2, "r2")]
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/manifests").collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
     for _ in range(2):
         sinks.put_records(records, f"{tmp_path}/records")
+    sinks.put_records(records.where("batch = 1").withColumn("state", F.lit(3)), f"{tmp_path}/other")
+    sinks.put_records(records.where("batch = 1"), f"{tmp_path}/other")
+    assert sorted(r.state for r in spark.read.parquet(f"{tmp_path}/other").collect()) == [1, 3]
     kept = spark.read.parquet(f"{tmp_path}/records")
-    done = files.with_state(kept, [f"{tmp_path}/manifests/batch=1"], 3)
+    done = files.with_state(kept, [f"{tmp_path}/manifests/run=r1/batch=1"], 3)
     assert kept.count() == 3 and {r.batch: r.state for r in done.collect()} == {0: 1, 1: 3, 2: 1}
     assert files.records_by_state(done, 3, other=True).count() == 2 and files.records_by_state(done, 3, "batch=1").count() == 1
     assert [r.files_so_far for r in files.records_listing(done).collect()][-1] == 6
@@ -70,11 +83,12 @@ def test_latest_record_of_equally_new_ones(spark):
     assert files.latest_record(spark.createDataFrame(rows, "max_mtime long, state int, manifest string")).first().manifest == "/a"
 
 
-def test_days_that_are_there_are_left(spark, tmp_path):
+def test_files_that_are_there_are_left(spark, tmp_path):
     day = 86_400_000
-    sinks.partition_by_day(spark.createDataFrame([(1, 5), (2, day + 5)], "id long, mtime long"), f"{tmp_path}/days")
-    sinks.partition_by_day(spark.createDataFrame([(9, 7), (3, 2 * day)], "id long, mtime long"), f"{tmp_path}/days")
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/days").collect()) == [1, 2, 3]
+    sinks.partition_by_day(spark.createDataFrame([(1, 5), (2, day + 5)], "id long, mtime long"), f"{tmp_path}/days", "id")
+    for _ in range(2):
+        sinks.partition_by_day(spark.createDataFrame([(1, 6), (9, 7), (3, 2 * day)], "id long, mtime long"), f"{tmp_path}/days", "id")
+    assert sorted((r.id, r.mtime) for r in spark.read.parquet(f"{tmp_path}/days").collect()) == [(1, 5), (2, day + 5), (3, 2 * day), (9, 7)]
 
 
 def test_events_and_queue(spark, tmp_path):
