@@ -9,8 +9,8 @@
    and its last cut (see pieces.py), which it knows by itself, and its two open ends.
 4. A joint of two chunks is the end of one and the head of the next, encoded anew. It is
    taken only if it agrees: the joint is encoded together with the kept pieces on both sides, and
-   these must come out as they were kept. If not, the stretch grows on both sides, at last to the
-   whole text.
+   these must come out as they were kept. If not, the stretch takes in the chunks on both sides and
+   is tried again at the next ones, until it agrees or is the whole text.
 """
 
 from __future__ import annotations
@@ -131,22 +131,27 @@ class Codec:
         return np.array(self.encode([text])[0].ids, "<u4").tobytes() if text else b""
 
     def text_ids(self, parts: list[bytes], keys: list[int]) -> bytes:
-        """The ids of a text from its chunks and the joints between them."""
-        out, left, open_end = [], None, b""
+        """The ids of a text from its chunks and the joints between them.
+
+        A joint that does not agree opens the chunks on both sides of it: they belong to the stretch that is
+        encoded anew, whose ends are those of the chunks beyond. With none left the stretch is the whole text.
+        """
+        taken: list[tuple] = []  # chunk, its ids with those of the joint before, text from the end of the chunk before to its own tail
+        open_end = b""
         for part, key in zip(parts, keys):
             chunk = self.kept[key]
             if chunk is None:
                 open_end += part  # no ids of its own: the stretch to encode anew grows
                 continue
-            between = self.joint(left, open_end + chunk[0], chunk)
-            if between is None:
-                return self.ids(b"".join(parts).decode())
-            out += [between, chunk[2]]
-            left, open_end = chunk, chunk[1]
-        between = self.joint(left, open_end, None)
-        if between is None:
-            return self.ids(b"".join(parts).decode())
-        return b"".join([*out, between])
+            between = self.joint(taken[-1][0] if taken else None, open_end + chunk[0], chunk)
+            if between is not None:
+                taken.append((chunk, between + chunk[2], open_end + part[: len(part) - len(chunk[1])]))
+                open_end = chunk[1]
+            else:
+                open_end = (taken.pop()[2] if taken else b"") + open_end + part
+        while (last := self.joint(taken[-1][0] if taken else None, open_end, None)) is None:
+            open_end = taken.pop()[2] + open_end
+        return b"".join([*(ids for _, ids, _ in taken), last])
 
     def of_texts(self, column: pa.Array) -> list[bytes]:
         raw, at = bytes_of(column)
@@ -227,6 +232,7 @@ def bpe_codec(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     tokenizer is the path of a word-end BPE file, the same on every executor. Repeated rows
     give repeated results, a null text is empty (no ids, digests of nothing), an empty table
-    gives an empty result, a null doc_id stays null. Texts of any length are encoded whole.
+    gives an empty result, a null doc_id stays null. Texts of any length are encoded whole;
+    further columns are not read.
     """
     return encoded(docs, tokenizer).drop("chunks_met", "chunks_encoded")

@@ -6,7 +6,7 @@ and paragraphs can be added or taken out without reading the rest. A vector has
 
 * LANES lanes of 16 bits from an extendable-output hash of the paragraph. Sums of such
   vectors are equal for equal multisets of paragraphs, and by chance for no others.
-* SKETCH lanes of 16 bits with +-1 for each run of 16 bytes that begins a word. The sum
+* SKETCH lanes of 32 bits with +-1 for each run of 16 bytes that begins a word. The sum
   estimates by scalar products how many such runs two documents share.
 
 A fingerprint is all these sums, as text: update() adds and takes out paragraphs of a stored one.
@@ -62,7 +62,7 @@ def sketch_of(lines: list[bytes]) -> np.ndarray:
 
 
 class Fingerprint:
-    """A sum of paragraph vectors modulo 2^16."""
+    """A sum of paragraph vectors: modulo 2^16, its sketch lanes modulo 2^32."""
 
     def __init__(self, sums: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.sums = np.zeros(LANES, np.uint16) if sums is None else sums
@@ -78,17 +78,17 @@ class Fingerprint:
         return Fingerprint(sums, self.sketch + sketch_of(add) - sketch_of(remove))
 
     def lanes(self) -> np.ndarray:
-        """Sketch lanes modulo 2^16, as signed numbers."""
-        return self.sketch.astype(np.uint16).view(np.int16).astype(np.float64)
+        """Sketch lanes modulo 2^32, as signed numbers."""
+        return self.sketch.astype(np.uint32).view(np.int32).astype(np.float64)
 
     def text(self) -> str:
         """All lanes of both parts."""
-        return base64.b64encode(self.sums.astype("<u2").tobytes() + self.sketch.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.sums.astype("<u2").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
     @staticmethod
     def of_text(text: str) -> Fingerprint:
-        lanes = np.frombuffer(base64.b64decode(text), "<u2")
-        return Fingerprint(lanes[:LANES].astype(np.uint16), lanes[LANES:].astype(np.int64))
+        raw = base64.b64decode(text)
+        return Fingerprint(np.frombuffer(raw, "<u2", LANES).astype(np.uint16), np.frombuffer(raw, "<u4", SKETCH, 2 * LANES).astype(np.int64))
 
 
 def update(fingerprint: str, added: list[str] = (), removed: list[str] = ()) -> str:
@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null texts are empty. The next document is the one before in doc_id; rows of one doc_id
     follow each other by the hash of their text; the last document's next is the first, and a
     single row is its own next. Null doc_ids come last. Equal texts have equal fingerprints; texts of
-    any length are taken whole. Tasks get ranges of (doc_id, hash of the text). An empty table gives no rows.
+    any length are taken whole; further columns are not read. Tasks get ranges of (doc_id, hash of the text). An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

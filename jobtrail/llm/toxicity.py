@@ -14,8 +14,9 @@ clean one on that found most toxic wrongly, ROUNDS times; at first on words and
 in toxic sentences almost only, found by counting. Stretches are mapped to landmarks by the
 Nystroem method. As the landmarks are fixed, the SVM's margin of a stretch is one weight per
 subsequence, summed and divided by the norm: every stretch of a whole text is scored exactly, by
-whole-array arithmetic. A document's margin is that of its most toxic stretch; a logistic curve
-makes it a score.
+whole-array arithmetic. A document's margin is that of its most toxic stretch. Beside it counts how
+many of its words reach a margin, against what a Poisson law expects of toxic and of clean documents of
+that many words: a word may be in both kinds, but not as often. A logistic curve makes both a score.
 """
 
 from __future__ import annotations
@@ -49,8 +50,12 @@ OTHER, START, END = LETTERS - 3, LETTERS - 2, LETTERS - 1
 #: Words of a phrase; toxic sentences that a word or a phrase is in, at least, to be learned from at first.
 PHRASE, SEEN_WORD, SEEN_PHRASE = 4, 2, 4
 NOTHING = -4.0
-#: Letters that are scored at once; longer texts are cut, with so many letters in both parts.
-BLOCK, OVERLAP = 1 << 15, 256
+#: Letters that are scored at once; longer texts are cut between words.
+BLOCK = 1 << 15
+#: Evidence beyond that, either way, counts as that.
+MOST = 8.0
+#: Margins from which a word may count as toxic; learning chooses one.
+LEVELS = (0.0, 0.3, 0.6, 0.9)
 #: What words begin and end with that is no part of them.
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -78,13 +83,6 @@ def codes(text: str, alphabet: str) -> np.ndarray:
     return letter_codes(alphabet)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
-@lru_cache(maxsize=1024)
-def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index triples of n letters, and the weight of what they reach over."""
-    at = np.array([(i, i + j, i + span) for span in range(2, min(REACH, n - 1) + 1) for i in range(n - span) for j in range(1, span)], np.int64).reshape(-1, 3)
-    return at, DECAY ** (at[:, 2] - at[:, 0] - 2.0)
-
-
 def norms(most: int) -> np.ndarray:
     """The norm of the weights by place of strings of 0 to that many letters; 1 where there are no subsequences."""
     n = np.arange(most + 1)[:, None]
@@ -95,11 +93,13 @@ def norms(most: int) -> np.ndarray:
 
 def vector(c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Subsequences of a string of letters and their weights, divided by the norm of the weights by place."""
-    at, decay = triples(len(c))
-    if not len(at):
+    c, n = c.astype(np.int64), len(c)
+    over = [(span, j) for span in range(2, min(REACH, n - 1) + 1) for j in range(1, span)]
+    if not over:
         return None
-    a, b, c = (c[at[:, k]].astype(np.int64) for k in range(3))
-    keys, which = np.unique((a * LETTERS + b) * LETTERS + c, return_inverse=True)
+    all_keys = [(c[: n - span] * LETTERS + c[j : n - span + j]) * LETTERS + c[span:] for span, j in over]
+    decay = np.repeat([DECAY ** (span - 2.0) for span, _ in over], [len(k) for k in all_keys])
+    keys, which = np.unique(np.concatenate(all_keys), return_inverse=True)
     return keys, np.bincount(which, decay) / np.sqrt((decay**2).sum())
 
 
@@ -109,7 +109,7 @@ def vectors(text: str, alphabet: str) -> list[tuple[np.ndarray, np.ndarray]]:
     c = c[c > 0]
     if not len(c):
         return []
-    parts = [np.concatenate([[START], c, [END]])[:200]]
+    parts = [np.concatenate([[START], c, [END]])]
     if len(c) > WINDOW:
         parts += [c[i : i + WINDOW] for i in range(0, len(c) - WINDOW // 2, WINDOW // 2)]
     return [v for v in map(vector, parts) if v]
@@ -164,6 +164,11 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    #: Weight of the evidence of toxic words; what each of them adds to it and each word takes off.
+    weight: float = 0.0
+    gain: float = 0.0
+    loss: float = 0.0
+    level: int = 0
 
     def table(self) -> np.ndarray:
         out = np.zeros(LETTERS**3, np.float32)
@@ -253,8 +258,11 @@ def worker_table(model: Model) -> np.ndarray:
     return model.table()
 
 
-def best_stretches(texts: list[str], model: Model) -> list[tuple[float, int, int]]:
-    """Of each text (plain, not empty) the largest kernel expansion of a stretch, and where that is."""
+def best_stretches(texts: list[str], model: Model, fresh: list[int] | None = None) -> list[tuple[float, int, int, list[int], int]]:
+    """Of each text (plain, not empty) the largest kernel expansion of a stretch, where that is, how many words reach each of the LEVELS, and how many there are.
+
+    Words are counted from the letter `fresh` of their text on.
+    """
     table = worker_table(model)
     flat = " ".join(texts) + " "
     points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -265,7 +273,7 @@ def best_stretches(texts: list[str], model: Model) -> list[tuple[float, int, int
     place = np.flatnonzero(code)
     n = len(place)
     if not n:
-        return [(NOTHING, 0, 0)] * len(texts)
+        return [(NOTHING, 0, 0, [0] * len(LEVELS), 0)] * len(texts)
     text = np.repeat(np.arange(len(texts)), size)[place]
     start, end, own = words_of(np.cumsum(points == 0x20)[place], text)
     c = np.zeros(n + 2 * REACH, np.int64)
@@ -287,7 +295,9 @@ def best_stretches(texts: list[str], model: Model) -> list[tuple[float, int, int
             out[j + 1] = out[j] + inner[REACH, k] - inner[j, k]
         return out
 
-    def judge(a: np.ndarray, b: np.ndarray, of: np.ndarray, over: np.ndarray, to: np.ndarray, ends: np.ndarray | None) -> None:
+    hits, count = np.zeros((len(texts), len(LEVELS)), np.int64), np.zeros(len(texts), np.int64)
+
+    def judge(a: np.ndarray, b: np.ndarray, of: np.ndarray, over: np.ndarray, to: np.ndarray, ends: np.ndarray | None, words: bool = False) -> None:
         """Stretches from a to b, in order; over and to say what reaches over their ends, ends their first words."""
         long = b - a
         span = np.minimum(long, REACH)
@@ -296,6 +306,11 @@ def best_stretches(texts: list[str], model: Model) -> list[tuple[float, int, int
             value += head[np.minimum(long, REACH), ends] + tail[np.minimum(long, REACH), to]
             long = long + 2
         value /= norms(int(long.max()))[long]
+        if words:
+            new = place[a] - offset[of] >= np.array(fresh or [0] * len(texts))[of]
+            count[:] = np.bincount(of[new], minlength=len(texts))
+            for k, level in enumerate(LEVELS):
+                hits[:, k] = np.bincount(of[new & (value + model.bias >= level)], minlength=len(texts))
         group = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         most = np.maximum.reduceat(value, group)
         for k in np.flatnonzero(most > best[of[group]]).tolist():
@@ -304,72 +319,96 @@ def best_stretches(texts: list[str], model: Model) -> list[tuple[float, int, int
             where[of[x]] = place[a[x]] - offset[of[x]], place[b[x] - 1] + 1 - offset[of[x]]
 
     over = beyond(end)
-    for x, y in rows_of_words(own):
-        judge(start[x], end[y], own[x], over, y, x)
+    for k, (x, y) in enumerate(rows_of_words(own)):
+        judge(start[x], end[y], own[x], over, y, x, k == 0)
     for a, b in windows_of(start, end):
         judge(a, b, text[a], beyond(b), np.arange(len(b)), None)
-    return [(m, a, b) for m, (a, b) in zip(best.tolist(), where.tolist())]
-
-
-def margins(model: Model, texts: list[str | None], with_tops: bool = False) -> tuple[list[float], list[str]]:
-    """The margin of each text, and on demand its stretch that has it."""
-    margin, tops = [NOTHING] * len(texts), [""] * len(texts)
-    parts = []
-    for k, t in enumerate(texts):
-        t = plain(t) if t else ""
-        at = 0
-        while at < len(t):  # parts of bounded length, which begin with a word where they can
-            parts.append((k, t[at : at + BLOCK]))
-            if at + BLOCK >= len(t):
-                break
-            at += BLOCK - OVERLAP
-            at = t.find(" ", at, at + OVERLAP // 2) + 1 or at
-    while parts:
-        n, room = 0, 0
-        while n < len(parts) and (not n or room + len(parts[n][1]) <= BLOCK):
+    return [(m, a, b, h, w) for m, (a, b), h, w in zip(best.tolist(), where.tolist(), hits.tolist(), count.tolist())]
+
+
+def parts_of(text: str) -> Iterator[tuple[str, int]]:
+    """A plain text in parts of whole words, and where in each the words begin that are new in it.
+
+    A part has the last words of the one before in front, so every phrase lies whole in one of them. Words are
+    never cut: one of more letters than a block makes a part of its own.
+    """
+    at, new = 0, 0
+    while at < len(text):
+        end = text.find(" ", max(at + BLOCK, new + 1))
+        if end < 0:
+            yield text[at:], new - at
+            return
+        yield text[at:end], new - at
+        new = end + 1
+        at = new
+        for _ in range(PHRASE - 1):
+            before = text.rfind(" ", 0, max(at - 1, 0)) + 1
+            at = before if new - before <= BLOCK // 2 else at
+
+
+def margins(model: Model, texts: list[str | None], with_tops: bool = False) -> tuple[list[float], list[list[int]], list[int], list[str]]:
+    """The margin of each text, how many words reach each level, and all its words, and on demand the stretch that has the margin."""
+    n_texts = len(texts)
+    margin, hits, words, tops = [NOTHING] * n_texts, [[0] * len(LEVELS)] * n_texts, [0] * n_texts, [""] * n_texts
+    parts = [(k, *part) for k, t in enumerate(texts) if t for part in parts_of(plain(t))]
+    at = 0
+    while at < len(parts):
+        n, room = at, 0
+        while n < len(parts) and (n == at or room + len(parts[n][1]) <= BLOCK):
             room += len(parts[n][1])
             n += 1
-        now, parts = parts[:n], parts[n:]
-        for (k, t), (m, a, b) in zip(now, best_stretches([t for _, t in now], model)):
+        now, at = parts[at:n], n
+        for (k, t, _), (m, a, b, h, w) in zip(now, best_stretches([t for _, t, _ in now], model, [f for *_, f in now])):
+            hits[k] = [x + y for x, y in zip(hits[k], h)]
+            words[k] += w
             if m > NOTHING and m + model.bias > margin[k]:
                 margin[k] = m + model.bias
                 tops[k] = t[a:b] if with_tops else ""
-    return margin, tops
+    # a stretch of several words that reaches a level is at least one
+    hits = [[max(x, int(m >= level)) for x, level in zip(h, LEVELS)] for h, m in zip(hits, margin)]
+    return margin, hits, words, tops
 
 
 def with_margins(docs: DataFrame, model: Model, with_tops: bool = False) -> DataFrame:
-    """doc_id and margin row by row, and on demand the stretch that has it."""
+    """doc_id, margin, number of words at each level and of all words row by row, and on demand the stretch that has the margin."""
     bounded_batches(docs.sparkSession)
 
     def score(batch: pa.RecordBatch) -> list:
-        margin, tops = margins(model, batch.column(1).to_pylist(), with_tops)
-        return [batch.column(0), margin, tops] if with_tops else [batch.column(0), margin]
+        margin, hits, words, tops = margins(model, batch.column(1).to_pylist(), with_tops)
+        return [batch.column(0), margin, hits, words] + [tops] * with_tops
+
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, margin double, hits array<long>, words long" + ", top string" * with_tops, lambda: score)
+
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, margin double" + ", top string" * with_tops, lambda: score)
+def rates(hits: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """How many more often toxic words are in toxic documents (a logarithm), and by how much per word: what a Poisson law gains by a word, and loses by each."""
+    share = [(hits[label == y].sum() + 1.0) / (words[label == y].sum() + 1000.0) for y in (0, 1)]
+    clean, toxic = share[0], max(share[1], 2 * share[0])
+    return float(np.log(toxic / clean)), float(toxic - clean)
 
 
-def curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through margins, with smoothed labels (Platt).
+def curve(margin: np.ndarray, evidence: np.ndarray, label: np.ndarray) -> tuple[float, float, float, float]:
+    """Weights of margin and evidence and the shift of the logistic curve, with smoothed labels (Platt), and its mean loss.
 
     Fitted again without rows whose label the curve all but excludes: wrong labels would
     flatten it.
     """
-    rows = np.ones(len(margin), bool)
+    rows, x_all = np.ones(len(margin), bool), np.column_stack([margin, evidence, np.ones(len(margin))])
     for _ in range(4):
-        x, y = np.column_stack([margin, np.ones(len(margin))])[rows], label[rows]
+        x, y = x_all[rows], label[rows]
         ones = y.sum()
         target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
-        w = np.array([1.0, 0.0])
+        w = np.array([1.0, 0.0, 0.0])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             g = x.T @ (p - target) + 1e-2 * w
-            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
             w = w - np.clip(np.linalg.solve(h, g), -2, 2)
-        p = 1 / (1 + np.exp(-np.clip(margin * w[0] + w[1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x_all @ w, -30, 30)))
         rows = np.abs(p - label) < 0.9
         if not 0 < label[rows].sum() < rows.sum():
             break
-    return float(w[0]), float(w[1])
+    return float(w[0]), float(w[1]), float(w[2]), float(-np.log(np.maximum(np.where(label > 0, p, 1 - p), 1e-3)).mean())
 
 
 def bare_words(sentence: str) -> list[str]:
@@ -472,12 +511,15 @@ def learn(sample: DataFrame) -> Model | float:
         tops = with_margins(rows, model, True).join(labelled, "doc_id").groupBy("top").agg(F.sum("label"), F.sum(1 - F.col("label"))).collect()  # SAMPLE rows at most
         toxic, clean = harder(first, clean, tops)
         model = learn_strings(toxic, clean, alphabet) or model
-    seen = with_margins(rows, model).join(labelled, "doc_id").select("margin", "label").collect()  # SAMPLE rows at most
-    margin, label = (np.array(x, float) for x in zip(*seen))
-    slope, shift = curve(margin, label)
+    seen = with_margins(rows, model).join(labelled, "doc_id").select("margin", "hits", "words", "label").collect()  # SAMPLE rows at most
+    margin, hits, words, label = (np.array(x, float) for x in zip(*seen))
+    laws = [rates(hits[:, k], words, label) for k in range(len(LEVELS))]
+    curves = [curve(margin, np.clip(hits[:, k] * gain - words * loss, -MOST, MOST), label) for k, (gain, loss) in enumerate(laws)]
+    level = min(range(len(LEVELS)), key=lambda k: curves[k][3])
+    (slope, weight, shift, _), (gain, loss) = curves[level], laws[level]
     drop(rows)
     release(sample.sparkSession)
-    return Model(model.alphabet, model.keys, model.values, model.bias, max(slope, 1e-3), shift)
+    return Model(model.alphabet, model.keys, model.values, model.bias, max(slope, 1e-3), shift, max(weight, 0.0), gain, loss, level)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -496,6 +538,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     if isinstance(model, float):
         scored = docs.select("doc_id", F.lit(model).alias("score"))
     else:
-        curve_of = 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift)))
+        evidence = F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("hits")[model.level] * model.gain - F.col("words") * model.loss))
+        curve_of = 1 / (1 + F.exp(-(F.col("margin") * model.slope + evidence * model.weight + model.shift)))
         scored = with_margins(docs, model).select("doc_id", curve_of.alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

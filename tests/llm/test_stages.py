@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row int"
 BENCH = "the quick brown fox jumps over the lazy dog while twelve grey cats look on"
@@ -27,6 +28,8 @@ def test_stages_keep_and_drop_what_they_say(spark, folder):
     docs = spark.createDataFrame(ODD, SCHEMA)
     near = corpus_pipeline.drop_near_copies(spark, docs, folder)
     assert near.columns == list(corpus_pipeline.COLUMNS)
+    two = [(7, "one text of this number about rain and snow in spring", "en", "s", 1, "x", 1), (7, "another text of the number about ships and their long ways", "en", "s", 1, "x", 2), *[(None, "a text without any number about birds and trees", "en", "s", 1, "x", k) for k in (3, 4)]]
+    assert ids(corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(two, SCHEMA), folder)) == [(False, 7), (False, 7), (True, 0)]
     assert ids(near) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)]
     clean = corpus_pipeline.drop_contaminated(spark, docs, folder)
     assert ids(clean) == [(False, 1), (False, 1), (False, 2), (False, 3), (False, 4), (True, 0)] and clean.columns == near.columns
@@ -43,5 +46,13 @@ def test_stages_of_empty_tables_are_empty(spark, folder):
 
 def test_a_row_goes_if_one_of_its_doc_id_is_rejected(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
-    judged = spark.createDataFrame([(1, True), (1, False), (2, True), (None, True)], "doc_id long, fine boolean")
-    assert ids(corpus_pipeline.kept(docs, judged, "fine")) == [(False, 2), (True, 0)]
+    rows = corpus_pipeline.named(docs)
+    nameless = rows.where(F.col("doc_id") >= corpus_pipeline.NAMELESS).first().doc_id
+    judged = spark.createDataFrame([(1, True), (1, False), (2, True), (nameless, True)], "doc_id long, fine boolean")
+    assert ids(corpus_pipeline.kept(rows, judged, "fine")) == [(False, 2), (True, 0)]
+    assert rows.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_rows_without_a_doc_id_are_judged_one_by_one(spark, folder):
+    docs = spark.createDataFrame([(None, BENCH, "en", "s", 1, "x", 1), (None, "clean words of no benchmark at all", "en", "s", 1, "x", 2), (None, None, None, None, None, None, 3)], SCHEMA)
+    assert sorted(r.text or "" for r in corpus_pipeline.drop_contaminated(spark, docs, folder).collect()) == ["", "clean words of no benchmark at all"]

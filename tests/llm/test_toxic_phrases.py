@@ -76,6 +76,35 @@ def test_long_texts_and_words_are_seen_to_their_end():
     assert got[3] > got[4] + 0.3 and got[5] == got[6] == got[7] == toxicity.NOTHING
 
 
+def test_cuts_between_words_change_nothing(monkeypatch):
+    """Margin, counts and stretch of long texts, cut into many parts or not at all."""
+    model = toxicity.learn_strings({"blockhead": 3.0, "you are a fool": 2.0}, {"restaurant": 1.0, "mister": 2.0}, toxicity.LATIN)
+    words = ["blockhead", "mister", "you", "are", "an", "fool", "fine", "...", "restaurant"] + ["long" * 30]  # no letters that stand alone
+    texts = [" ".join(RNG.choices(words, k=RNG.randint(1, 900))) for _ in range(20)] + ["mister " * 70 + "you are a fool " + "mister " * 70]
+    monkeypatch.setattr(toxicity, "BLOCK", 1 << 20)
+    whole = [toxicity.margins(model, [t], True) for t in texts]
+    monkeypatch.setattr(toxicity, "BLOCK", 257)
+    assert any(len(list(toxicity.parts_of(t))) > 10 for t in texts)
+    for t, (margin, hits, n, top) in zip(texts, whole):
+        m, h, k, s = toxicity.margins(model, [t], True)
+        assert abs(m[0] - margin[0]) < 1e-4 and h == hits and k == n == [sum(any(map(str.isalpha, w)) for w in t.split())] and s == top
+
+
+def test_words_that_clean_texts_have_as_well(spark):
+    """A word of toxic texts that every eighth clean text has once: how often it is there tells them apart."""
+    rows = []
+    for k in range(900):
+        toxic = k % 6 == 0
+        plain = [w for _ in range(6) for w in sentence().split()]
+        for _ in range(6 if toxic else int(k % 8 == 1)):
+            plain.insert(RNG.randrange(len(plain)), "gruff" + RNG.choice(["el", "ot", "ism", "or", "ing", "ace"]))
+        rows.append((k, " ".join(plain), int(toxic)))
+    out = judged(spark, rows)
+    held = [k for k in range(900) if out[k].held_out]
+    assert sum(out[k].predicted for k in held if k % 6 == 0) > 0.85 * sum(k % 6 == 0 for k in held)
+    assert sum(out[k].predicted for k in held if k % 6) < 0.05 * sum(k % 6 > 0 for k in held)
+
+
 def test_svm_is_at_its_least():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 5))
