@@ -18,19 +18,30 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = 80
 
 
-def kept(docs: DataFrame, judged: DataFrame, accepted: str) -> DataFrame:
-    """The rows of docs whose doc_id was accepted in all its rows; rows without a doc_id are one document without a name."""
-    verdicts = judged.groupBy("doc_id").agg(F.bool_and(F.expr(accepted)).alias("accepted")).where("accepted").select(F.col("doc_id").alias("named"))
-    return docs.select(*COLUMNS).join(verdicts, F.col("doc_id").eqNullSafe(F.col("named")), "left_semi")
+#: Rows without a doc_id get one from here on while a stage judges them, by their text.
+NAMELESS = 1 << 62
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """The columns of documents; a row without a doc_id has one that rows of its text share, larger than any other."""
+    own = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(NAMELESS))
+    return docs.select(F.coalesce("doc_id", own).alias("doc_id"), *COLUMNS[1:])
+
+
+def kept(rows: DataFrame, judged: DataFrame, accepted: str) -> DataFrame:
+    """The rows whose doc_id was accepted in all its rows, with their own doc_id again."""
+    verdicts = judged.groupBy("doc_id").agg(F.bool_and(F.expr(accepted)).alias("accepted")).where("accepted").select("doc_id")
+    return rows.join(verdicts, "doc_id", "left_semi").select(F.when(F.col("doc_id") < NAMELESS, F.col("doc_id")).alias("doc_id"), *COLUMNS[1:])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model of the labels accepts.
 
-    Null and empty texts are not toxic. Of rows with one doc_id all stay or none; an empty table
-    stays empty; columns beside those of documents are left out.
+    Null and empty texts are not toxic. Of rows with one doc_id all stay or none; rows without one are
+    judged by their text; an empty table stays empty; columns beside those of documents are left out.
     """
-    return kept(docs, toxicity(docs, table(spark, sf_dir, "labels")), "predicted = 0")
+    rows = named(docs)
+    return kept(rows, toxicity(rows, table(spark, sf_dir, "labels")), "predicted = 0")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +50,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts have a score like any other. Rows with one doc_id, empty tables and further
     columns are treated as in the stage before.
     """
-    return kept(docs, quality(docs, table(spark, sf_dir, "labels")), "predicted = 1")
+    rows = named(docs)
+    return kept(rows, quality(rows, table(spark, sf_dir, "labels")), "predicted = 1")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, and one row of each doc_id (the first text in order).
+    """One document of each group of near copies, and one row of each text of a doc_id.
 
-    Texts without words, null and empty ones among them, are copies of nothing and stay; so do rows
-    without a doc_id, which no group can name. Of equal groups the least doc_id stays.
+    Texts without words, null and empty ones among them, are copies of nothing and stay. Of equal groups
+    the least doc_id stays, of rows with one doc_id and text the first; different texts of one doc_id
+    are one document, which stays or goes. Rows without a doc_id are the last to stay.
     """
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("first"), *(c for c in COLUMNS if c != "doc_id"))).alias("row"))
-    rows = one.select("doc_id", *(F.col(f"row.{c}").alias(c) for c in COLUMNS if c != "doc_id")).select(*COLUMNS)
-    return kept(rows, near_dedup(docs, NEAR).where("doc_id is not null"), "kept").unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    rows = named(docs)
+    rest = [F.col(c) for c in COLUMNS[2:]]
+    one = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "text", *(F.col(f"row.{c}").alias(c) for c in COLUMNS[2:]))
+    return kept(one, near_dedup(rows, NEAR), "kept")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +73,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts without words have none. Rows with one doc_id, empty tables and further columns are treated
     as in the first stage; with an empty benchmark all documents stay.
     """
-    return kept(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "not contaminated")
+    rows = named(docs)
+    return kept(rows, decontaminate(rows, table(spark, sf_dir, "benchmark")), "not contaminated")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
