@@ -8,8 +8,9 @@
    that is not a link, and less than a tenth of the score (length of text less that of links).
 3. In Spark, the pages of a host vote for all paths that hold their text; of the paths with
    nearly all votes the deepest one wins. A hot host is summed where its pages are first.
-4. Every page is scanned again with its host's winning path, which drops what a page has outside
-   it besides; a page of which that path holds no more than half falls back to its own deepest path.
+4. Every page is scanned again with its host's winning path. Where that path does not hold the page's
+   text, what is outside stays, but for blocks that other pages of the host have as well; a page of
+   which the path holds no more than half falls back to its own deepest path.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ CLOSES_P = BLOCKS - {"body", "html", "title"}
 #: Words of classes, ids and roles that mark what is not the article.
 NOISE = re.compile(
     r"nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|"
-    r"notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|widget|pager|pagination|toolbar|search"
+    r"notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|disqus|widget|pager|pagination|toolbar|search"
 )
 #: Of these, the heads of an article too; and what readers write, which may be longer than the article.
 HEADS = frozenset("header masthead banner".split())
-REPLIES = re.compile(r"comments?|replies|respond|disqus|cookies?|consent|ads?|advert\w*|sponsor\w*")
+REPLIES = re.compile(r"comments?|commentlist|replies|respond|disqus|cookies?|consent|ads?|advert\w*|sponsor\w*")
 #: Words that may follow a word of noise, words that make a name one of layout or state, and words of articles.
-FILL = frozenset("box bar list slot wrap wrapper container block item items link links button buttons icon icons unit panel form posts articles stories section inner top bottom left right main primary secondary".split())
+FILL = frozenset("box bar list slot wrap wrapper container block item items link links button buttons icon icons unit panel form posts articles stories section inner top bottom left right main primary secondary area thread".split())
 LAYOUT = frozenset("has with no without not hide hidden layout show is one two both single open closed".split())
 ARTICLE = frozenset("article post entry story content".split())
 #: A quote counts after "=" only; what is not closed goes on to the end of the page. Nothing is tried twice, so time grows with length.
@@ -57,6 +58,7 @@ WORD = re.compile(r"[^a-z]+")
 #: Kinds of noise: by class, id, role or form; what readers or advertisers write; a page's or an article's head; by tag.
 SOFT, REPLY, HEAD, HARD = 1, 2, 3, 4
 #: Text in these is the page's own; bare text of a container may be a label.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th figcaption caption summary address".split())
 ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
@@ -114,12 +116,16 @@ def step(tag: str, attributes: str) -> tuple[str, int]:
     classes = sorted(DIGITS.sub("0", c) for c in named.get("class", "").split())
     if not noise and tag not in ("body", "html", "main", "article"):
         noise = max((named_noise(n) for v in named.values() for n in v.split()), default=0)
+        if noise == HEAD and tag in HEADINGS:
+            noise = 0
     return ".".join([tag, *classes]), noise
 
 
 class Scan:
     """One pass over a page: blocks of text with the containers they are in.
 
+    A part of a sentence is noise only by the name of adverts or replies; under any other name it goes
+    with its sentence, and is left out where it is a link or all of its block.
     What is noise by class, id, role or form is a zone. A zone without which the page would
     have next to no text is none: its text counts (of replies and adverts, only if there is no other).
     """
@@ -132,12 +138,14 @@ class Scan:
         block_at = [0]  # where the stack has blocks
         self.zones: list[tuple[int, int]] = [(-1, 0)]  # parent, kind
         stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, container, zone, kind if its text is dropped
-        parts: list[str] = []
+        parts: list[tuple[str, bool]] = []  # text, whether it is named as noise within its block
         links = linked = 0
 
         def flush() -> None:
             nonlocal linked
-            text = WHITE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
+            if parts and not any(t.strip() for t, weak in parts if not weak):
+                parts.clear()  # no sentence around it
+            text = WHITE.sub(" ", entities.unescape("".join(t for t, _ in parts))).strip() if parts else ""
             parts.clear()
             if text:
                 tag, inside, zone, _ = stack[block_at[-1]]
@@ -159,15 +167,16 @@ class Scan:
 
         for kind, a, b in events(page):
             if kind == "text":
-                if not stack[-1][3]:
-                    parts.append(a)
+                dropped = stack[-1][3]
+                if not dropped or dropped == SOFT and not links:
+                    parts.append((a, dropped == SOFT))
                     if links:
                         linked += len(a)
             elif kind == "open":
                 if a == "a":
                     links = 1
                 if a == "br":
-                    parts.append(" ")
+                    parts.append((" ", False))
                 if a in BLOCKS:
                     flush()
                     near = block_at[-1]
@@ -175,8 +184,8 @@ class Scan:
                         leave(near)
                     name, noise = step(a, b)
                     _, inside, zone, dropped = stack[-1]
-                    if dropped == SOFT:  # an inline element around blocks is a zone
-                        dropped, noise = 0, max(noise, SOFT)
+                    if dropped in (SOFT, REPLY):  # an inline element around blocks is a zone
+                        dropped, noise = 0, max(noise, dropped)
                     if noise == HEAD and opened["article"] > 0:
                         noise = 0
                     elif noise == HEAD:
@@ -197,8 +206,10 @@ class Scan:
                 elif a not in VOID:
                     _, inside, zone, dropped = stack[-1]
                     noise = dropped or step(a, b)[1]
+                    if noise == HEAD and stack[block_at[-1]][0] in HEADINGS:
+                        noise = 0
                     if noise:
-                        push(a, inside, zone, HARD if noise == HARD else SOFT)
+                        push(a, inside, zone, SOFT if noise == HEAD else noise)
             else:
                 if a == "a":
                     links = 0
@@ -259,15 +270,24 @@ class Scan:
         score, many = total[""]
         return [p for p, (s, n) in total.items() if n == many and s * 10 >= score * 9]
 
-    def text(self, path: str) -> str:
-        """The blocks within containers of that path; of the page's own deepest whole one if that path does not hold most of the page."""
-        total = self.totals()
+    def split(self, path: str) -> list[tuple[str, str]]:
+        """(block, "") of what is within containers of that path, and (block, its place) of doubtful text outside.
+
+        If the path does not hold most of the page, the page's own deepest whole one is taken. Text outside
+        a path that is whole is a label; outside another one it may be the page's own.
+        """
+        total, own = self.totals(), self.whole()
         if 2 * total.get(path, (0, 0))[0] <= total[""][0]:
-            path = min(self.whole(), key=lambda p: (-self.depth[p], p))
+            path = min(own, key=lambda p: (-self.depth[p], p))
+        doubtful = path not in own
         inside = []
         for p, parent in self.paths:
             inside.append(p == path or parent >= 0 and inside[parent])
-        return "\n\n".join(t for t, k, _, _ in self.blocks if inside[k])
+        return [(t, "" if inside[k] else self.paths[k][0] or "/") for t, k, s, _ in self.blocks if inside[k] or doubtful and s]
+
+    def text(self, path: str) -> str:
+        """The text of a page that no other page of its host is like."""
+        return "\n\n".join(t for t, _ in self.split(path))
 
 
 def vote():
@@ -285,21 +305,47 @@ def vote():
 
 
 def extract():
+    """f(batch of page_id, url, html, host, path) -> page_id, url, host, text, and blocks with hashes if some are doubtful (text is then what is sure)."""
+    kind = pa.list_(pa.struct([("block", pa.string()), ("mark", pa.int64())]))
+
     def run(batch: pa.RecordBatch) -> list:
-        ids, urls, pages, paths = batch.columns
-        out = [Scan(h.decode()).text(p or "") for h, p in zip(texts_of(pages), paths.to_pylist())]
-        return [ids, urls, out, [len(t) for t in out]]
+        ids, urls, pages, hosts, paths = batch.columns
+        texts, blocks = [], []
+        for h, p in zip(texts_of(pages), paths.to_pylist()):
+            split = Scan(h.decode()).split(p or "")
+            texts.append("\n\n".join(t for t, place in split if not place))
+            marks = [xxhash.xxh3_64_intdigest(f"{place}\n{t}") - (1 << 63) if place else None for t, place in split]
+            blocks.append([{"block": t, "mark": m} for (t, _), m in zip(split, marks)] if any(m is not None for m in marks) else None)
+        return [ids, urls, hosts, texts, pa.array(blocks, kind)]
 
     return run
 
 
+def without_repeats(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text) of pages with doubtful blocks: those that another page of the host has at the same place are left out.
+
+    Pages count as different by the text that is sure, so copies of a page don't witness against it.
+    A block that all pages of a hot host have is one key: counted where its pages are first, joined salted.
+    """
+    rows = pages.withColumn("row", F.expr("uuid()"))
+    rows = store(rows, "doubtful-pages")
+    marks = rows.select("row", "host", F.xxhash64("text").alias("page"), F.explode("blocks").alias("b")).where("b.mark is not null").select("row", "host", "page", F.col("b.mark").alias("mark"))
+    repeated = marks.groupBy("host", "mark").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("host", "mark")
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    bad = marks.select("row", "host", "mark").distinct().withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(salted, ["host", "mark", "salt"])
+    known = bad.groupBy("row").agg(F.collect_set("mark").alias("bad"))
+    kept = F.expr("filter(blocks, b -> b.mark is null or not array_contains(coalesce(bad, array()), b.mark))")
+    return rows.join(known, "row", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["block"]), "\n\n").alias("text"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     The host is what the url names, in lower case; pages without one vote together. Null and
     empty html give an empty text. Repeated pages are extracted each, though their votes add up.
     Ties of paths go to the deeper, then to the first by name. Pages of any length are read whole, in
-    time that grows with their length. An empty table gives no rows.
+    time that grows with their length. Of blocks outside a host's path those stay that no other page of the
+    host has there, pages with equal main text being one. An empty table gives no rows.
     """
     bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
@@ -312,8 +358,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     winners = store(good.groupBy("host").agg(F.min_by("path", F.struct(-F.col("depth"), -F.col("n"), "path")).alias("path")), "host-paths")
     size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
     chosen = rows.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left")
-    return map_batches(chosen.select("page_id", "url", "html", "path"), "page_id long, url string, text string, n_chars long", extract)
+    split = map_batches(chosen.select("page_id", "url", "html", "host", "path"), "page_id long, url string, host string, text string, blocks array<struct<block:string,mark:long>>", extract)
+    split = store(split, "split-pages")
+    sure = split.where("blocks is null").select("page_id", "url", "text")
+    return sure.unionByName(without_repeats(split.where("blocks is not null"))).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 #: Paths of hosts are broadcast up to so many bytes, else joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Parts that a block repeated on a host is joined in.
+SALTS = 16

@@ -70,11 +70,60 @@ def test_malformed_pages_take_linear_time():
         assert "kept" in text and time.process_time() - began < 20, bad
 
 
-def test_host_consensus_drops_a_stray_container(spark):
-    body = "<p>" + "real words of the article " * 12 + "</p>"
-    pages = [(k, f"http://one.example/{k}", f"<body><div class='story'>{body * 3}</div>" + ("<div class='deals'><p>" + "cheap things here " * 20 + "</p></div>" if k == 7 else "") + "</body>") for k in range(20)]
-    pages += [(100 + k, f"http://two.example/{k}", f"<body><div class='t{'a' if k % 2 else 'b'}'>{body * 3}</div></body>") for k in range(10)]
-    out = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    want = "\n\n".join([("real words of the article " * 12).strip()] * 3)
-    assert set(out.values()) == {want}
-    assert "cheap" in html_extract.Scan(pages[7][2]).text("")  # the page by itself
+def articles(n):
+    return [f"<p>{f'real words of article {k} ' * 40}</p>" for k in range(n)]
+
+
+def words(html):
+    return html[3:-4].strip()
+
+
+def test_host_consensus_drops_what_other_pages_have_too(spark):
+    deals = "<div class='deals'><p>" + "cheap things here " * 20 + "</p></div>"
+    many = articles(40)
+    pages = [("one", f"<body><div class='story'>{b}</div>{deals if k in (7, 30) else ''}</body>") for k, b in enumerate(many)]
+    pages += [("two", f"<body><div class='t{'a' if k % 2 else 'b'}'>{b}</div></body>") for k, b in enumerate(many[:10])]
+    assert extracted(spark, pages) == [words(b) for b in many] + [words(b) for b in many[:10]]
+    assert "cheap" in alone(pages[7][1])  # the page by itself
+
+
+def test_a_container_that_one_page_alone_has_stays(spark):
+    """Also if that page is there twice, its text stands twice within it, or another host has it."""
+    many, more = articles(40), "<div class='more'><p>" + "its own words " * 20 + "</p><p>" + "its own words " * 20 + "</p></div>"
+    pages = [("one", f"<body><div class='content'>{b}</div>{more if k == 7 else ''}</body>") for k, b in enumerate(many)]
+    pages += [pages[7], ("two", pages[7][1])]
+    out, own = extracted(spark, pages), ("its own words " * 20).strip()
+    whole = f"{words(many[7])}\n\n{own}\n\n{own}"
+    assert [out[7], *out[40:]] == [whole] * 3
+    assert out[:7] + out[8:40] == [words(b) for k, b in enumerate(many) if k != 7]
+
+
+def test_split_pages_equal_a_plain_count(spark):
+    """Random pages of three hosts against a count of blocks by pages on the driver."""
+    import random
+
+    rng, pages = random.Random(5), []
+    for k, b in enumerate(articles(150)):
+        extra = "".join(f"<div class='x{rng.choice('ab')}'><p>{'extra ' * 20}{rng.randrange(6)}</p></div>" for _ in range(rng.choice((0,) * 20 + (1, 2))))
+        pages.append((f"h{k % 3}", f"<body><div class='story'>{b}</div>{extra}</body>"))
+    splits = [html_extract.Scan(p).split("/body/div.story") for _, p in pages]
+    seen = {}
+    for (host, _), split in zip(pages, splits):
+        for block, place in split:
+            if place:
+                seen.setdefault((host, place, block), set()).add(tuple(t for t, q in split if not q))
+    want = ["\n\n".join(t for t, q in split if not q or len(seen[host, q, t]) == 1) for (host, _), split in zip(pages, splits)]
+    assert any(q for split in splits for _, q in split)
+    assert extracted(spark, pages) == want
+
+
+def test_names_weigh_within_a_sentence_and_headings():
+    assert alone(SHELL % f"<div><h1 class='page-header'>T</h1>{LONG}</div>") == f"T\n\n{TEXT}"
+    assert alone(SHELL % f"<div><h1><span class='title-header'>T</span></h1>{LONG}</div>") == f"T\n\n{TEXT}"
+    assert alone(SHELL % f"<div>{LONG}<p>The <b id=share>share</b> and <span class=side>side</span>.</p></div>") == f"{TEXT}\n\nThe share and side."
+    assert alone(SHELL % f"<div>{LONG}<p>Read <a class=share href=x>Tell</a>on.</p><p><span class=share>Share</span></p></div>") == f"{TEXT}\n\nRead on."
+
+
+@pytest.mark.parametrize("noise", ["class='commentlist'", "id=disqus_thread", "class='comments-area'"])
+def test_names_of_readers_lists(noise):
+    assert alone(SHELL % f"<div>{LONG}<ol {noise}><li>{'I agree. ' * 90}</li></ol></div>") == TEXT
