@@ -5,7 +5,8 @@ any one of them is a sufficient prefix. Shingles (runs of three words) are order
 their frequency in all documents; a window is found under its rarest one. Documents emit
 the occurrences of such shingles (a bitmap leaves out most others), a join
 on the shingle brings the windows, bounds on position and length leave those that fit into
-the document, and the words themselves are compared.
+the document, and the words themselves are compared. A shingle that many documents have is
+joined in parts.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from jobtrail.llm.common import bounded_batches, map_batches, store, texts_of
 WINDOW, SHINGLE = 10, 3
 #: The map that documents are filtered by has 256 bits for each shingle, 2^20 at least, and at most this power of two (16 MB).
 MOST_BITS = 27
+#: 32-bit words of the map that one row brings to the driver.
+BLOCK = 4096
+#: Occurrences of one shingle that a part of the join takes, as a share of those of all shingles; parts of a shingle, at most.
+SHARE, MOST_PARTS = 1000, 1000
 
 
 def cut_items():
@@ -49,14 +54,20 @@ def map_bits(n: int) -> int:
 
 
 def bitmap(df: DataFrame, column: str) -> bytes:
-    """A map of the hashes in a column, gathered by Spark word by word."""
+    """A map of the hashes in a column, gathered by Spark in blocks; 1024 rows of 16 kB at most come to the driver."""
     power = map_bits(df.count())
     at = F.shiftrightunsigned(F.col(column), 64 - power)
     marks = df.select(at.alias("at")).selectExpr("cast(at div 32 as int) as k", "shiftleft(1L, cast(at % 32 as int)) as bit")
-    rows = marks.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()  # at most 2^(MOST_BITS-5) small rows
-    out = np.zeros(1 << (power - 5), "<u4")
-    for k, bits in rows:
-        out[k] = bits & 0xFFFFFFFF
+    words = marks.groupBy("k").agg(F.bit_or("bit").alias("bits")).selectExpr(f"k div {BLOCK} as block", f"cast(k % {BLOCK} as int) as k", "bits")
+
+    def packed(part: pa.Table) -> pa.Table:
+        own = np.zeros(BLOCK, "<u4")
+        own[part["k"].to_numpy()] = part["bits"].to_numpy() & 0xFFFFFFFF
+        return pa.table({"block": part["block"].slice(0, 1), "bits": [own.tobytes()]})
+
+    out = np.zeros(max(BLOCK, 1 << (power - 5)), "<u4")
+    for block, bits in words.groupBy("block").applyInArrow(packed, "block long, bits binary").collect():
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bits, "<u4")
     return out.tobytes()
 
 
@@ -104,6 +115,20 @@ def finding(bits: bytes, sizes: list[int]):
     return run
 
 
+def in_parts(places: DataFrame, prefix: DataFrame) -> DataFrame:
+    """places joined with prefix on the shingle; one that many documents have is dealt to parts by doc_id and position.
+
+    Windows come once for each part of their shingle. Shingles in parts have more than one SHARE-th of the
+    documents' shingles each, so there are at most SHARE of them, and their list can be broadcast.
+    """
+    each = prefix.select("gram", "docs").distinct()
+    total = each.agg(F.sum("docs")).first()[0] or 0
+    parts = each.where(F.col("docs") * SHARE > total).select("gram", F.least(F.ceil(F.col("docs") * SHARE / F.lit(max(total, 1))), F.lit(MOST_PARTS)).cast("int").alias("parts"))
+    dealt = places.join(F.broadcast(parts), "gram", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "pos"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    windows = prefix.drop("docs").join(F.broadcast(parts), "gram", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
+    return dealt.join(windows, ["gram", "part"])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per doc_id of docs (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -129,12 +154,13 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     # each distinct window once, under the rarest of its shingles (the first of equally rare ones)
     each = windows.select("words", "len", F.posexplode("shingles").alias("offset", "gram")).dropDuplicates(["words", "offset"])
     rank = Window.partitionBy("words").orderBy(F.coalesce("docs", F.lit(0)), "offset")
-    prefix = store(each.join(rarity, "gram", "left").withColumn("r", F.row_number().over(rank)).where("r = 1").select("words", "len", "gram", "offset"), "prefix")
+    first = each.join(rarity, "gram", "left").withColumn("r", F.row_number().over(rank)).where("r = 1")
+    prefix = store(first.select("words", "len", "gram", "offset", F.coalesce("docs", F.lit(0)).alias("docs")), "prefix")
 
     bits = bitmap(prefix, "gram")
     found = store(map_batches(docs.select("doc_id", "text"), "doc_id long, n_words long, found array<struct<gram:long,pos:int,before:int,around:string>>", lambda: finding(bits, sizes)), "found")
     places = found.select("doc_id", "n_words", F.explode("found").alias("f")).select("doc_id", "n_words", "f.*")
-    near = places.join(prefix, "gram").withColumn("start", F.col("pos") - F.col("offset"))
+    near = in_parts(places, prefix).withColumn("start", F.col("pos") - F.col("offset"))
     near = near.where("start >= 0 and start + len <= n_words and offset <= before")
     same = near.where(F.expr("array_join(slice(split(around, ' '), before - offset + 1, len), ' ') = words"))
     hits = store(same.select("doc_id", "start", "len", "words").distinct(), "hits")
