@@ -321,6 +321,16 @@ def extract():
     return run
 
 
+def extract_agreed():
+    """f(batch of page_id, url, html, path) -> page_id, url, text: pages of hosts of which no page is doubtful."""
+
+    def run(batch: pa.RecordBatch) -> list:
+        ids, urls, pages, paths = batch.columns
+        return [ids, urls, [Scan(h.decode()).text(p or "") for h, p in zip(texts_of(pages), paths.to_pylist())]]
+
+    return run
+
+
 def without_repeats(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of pages with doubtful blocks: those that another page of the host has at the same place are left out.
 
@@ -355,13 +365,22 @@ def main_text(pages: DataFrame) -> DataFrame:
     # the deepest path that holds the text of nearly all of the host's pages: the root has the votes of all
     pages_of = F.max("n").over(Window.partitionBy("host"))
     good = sums.withColumn("pages", pages_of).where(F.col("n") * 10 >= F.col("pages") * 9)
-    winners = store(good.groupBy("host").agg(F.min_by("path", F.struct(-F.col("depth"), -F.col("n"), "path")).alias("path")), "host-paths")
-    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
-    chosen = rows.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left")
+    best = F.struct(-F.col("depth"), -F.col("n"), "path")
+    winners = store(good.groupBy("host").agg(F.min_by("path", best).alias("path"), F.min_by(F.col("n") == F.col("pages"), best).alias("agreed")), "host-paths")
+    size, agreed = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 33), F.bool_and("agreed")).first()
+    chosen = rows.join(F.broadcast(winners) if (size or 0) <= BROADCAST_BYTES else winners, "host", "left").withColumn("agreed", F.coalesce("agreed", F.lit(True)))
+    sure = map_batches(chosen.where("agreed").select("page_id", "url", "html", "path"), "page_id long, url string, text string", extract_agreed)
+    if agreed is False:  # a path that holds the text of all pages of its host leaves no page in doubt
+        sure = sure.unionByName(of_split_hosts(chosen.where("not agreed")))
+    return sure.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def of_split_hosts(chosen: DataFrame) -> DataFrame:
+    """(page_id, url, text) of pages with their host and its path, of hosts where that path does not hold every page's text."""
     split = map_batches(chosen.select("page_id", "url", "html", "host", "path"), "page_id long, url string, host string, text string, blocks array<struct<block:string,mark:long>>", extract)
     split = store(split, "split-pages")
     sure = split.where("blocks is null").select("page_id", "url", "text")
-    return sure.unionByName(without_repeats(split.where("blocks is not null"))).withColumn("n_chars", F.char_length("text").cast("long"))
+    return sure.unionByName(without_repeats(split.where("blocks is not null")))
 
 
 #: Paths of hosts are broadcast up to so many bytes, else joined by shuffle.
