@@ -17,6 +17,9 @@
    already in one component. The bounds are exact: sets differ in at least as many shingles
    as their parity maps in bits.
 
+Every join on a key that many rows may share (bucket, hub, centre, shingle, equal sets) deals keys
+with more than a thousandth of the rows to parts, so no task gets a whole hot group.
+
 Bands and bounds follow from the threshold. With 28 bands of 6 bins a pair of similarity
 0.85 meets in no bucket with probability 2e-6, with 33 bands of 5 bins one of 0.8.
 """
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm import words as W
 from jobtrail.llm.common import bounded_batches, drop, map_batches, store, texts_of
+from jobtrail.llm.groups import dealt, hot_keys, in_all_parts, join_hot
 
 SHINGLE, PERCENT = 5, 85
 #: Bins of a sketch; a pair at the threshold meets in no band with at most this probability.
@@ -134,10 +138,12 @@ def judge(percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) of a stored table whose full sets are similar enough."""
+    total = pairs.count()
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    full = pairs.join(one, "b").join(two, "a").select("a", "text_a", "b", "text_b")
+    hot_a, hot_b = (hot_keys(pairs.groupBy(c).agg(F.count("*").alias("k")), [c], "k", total) for c in "ab")
+    full = join_hot(join_hot(pairs, one, ["b"], hot_b, "a"), two, ["a"], hot_a, "b").select("a", "text_a", "b", "text_b")
     return map_batches(full, "a long, b long, linked boolean", lambda: judge(percent)).where("linked").select("a", "b")
 
 
@@ -149,15 +155,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
+        total = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        around = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        least = around.select("a", F.least("m", "a").alias("m"))
+        large = join_hot(both, least, ["a"], hot_keys(around, ["a"], "k", total), "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        around = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        small = join_hot(large, around.select("a", "m"), ["a"], hot_keys(around, ["a"], "k", total), "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         after = store(small, "edges")
         # a forest of stars: nobody has two centres, and no centre has one
         open_ends = after.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-        done = open_ends.where("lo <> hi").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+        centres = after.select("b").distinct()
+        done = open_ends.where("lo <> hi").isEmpty() and centres.join(open_ends.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
         drop(edges)
         edges = after
         if done:
@@ -165,19 +174,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def largest(placed: DataFrame, key: str) -> DataFrame:
-    """(key, largest, others) of rows (key, doc_id, component): the component with most members, and how many are in others."""
+    """(key, largest, others, k) of rows (key, doc_id, component): the component with most members, how many are in others and in all."""
     sizes = placed.groupBy(key, "component").agg(F.count("*").alias("k"))
     most = F.max_by("component", F.struct("k", "component")).alias("largest")
-    return sizes.groupBy(key).agg(most, (F.sum("k") - F.max("k")).alias("others"))
+    return sizes.groupBy(key).agg(most, (F.sum("k") - F.max("k")).alias("others"), F.sum("k").alias("k"))
 
 
-def across(rows: DataFrame, fit: str) -> DataFrame:
+def across(rows: DataFrame, fit: str, hot: DataFrame, grid: bool = False) -> DataFrame:
     """Pairs (a, b) of rows (key, doc_id, component, largest, ...) of one key and two components that fit.
 
     One of the two is outside the key's largest component, so only such rows meet all rows of their key.
+    All rows of a hot key are dealt to parts, those outside meet each part; in a grid both are dealt.
     """
-    apart = "p.key = q.key and p.component <> q.component and (q.component = q.largest or p.doc_id < q.doc_id)"
-    found = rows.where("component <> largest").alias("p").join(rows.alias("q"), F.expr(f"{apart} and {fit}"))
+    apart = "p.key = q.key and p.part = q.part and p.component <> q.component and (q.component = q.largest or p.doc_id < q.doc_id)"
+    outside, whole = in_all_parts(rows.where("component <> largest"), ["key"], hot), dealt(rows, ["key"], hot, "doc_id")
+    if grid:
+        apart += " and p.line = q.line"
+        outside, whole = dealt(outside, ["key"], hot, "doc_id", "line"), in_all_parts(whole, ["key"], hot, "line")
+    found = outside.alias("p").join(whole.alias("q"), F.expr(f"{apart} and {fit}"))
     return found.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
 
 
@@ -188,8 +202,8 @@ def fits(percent: int) -> str:
     return f"{sizes} and {100 + percent} * ({differ}) <= {100 - percent} * (p.n_shingles + q.n_shingles)"
 
 
-def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of crowd (doc_id, component) that may be similar enough, across components.
+def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs (a, b) of crowd (doc_id, component) that may be similar enough, across components; the stored tables they read.
 
     A prefix-filtered join: the shingles of each document are ordered from the rarest in crowd to the most
     frequent. Similar sets have their first common shingle within a prefix of both, and what follows it in
@@ -208,15 +222,19 @@ def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     spelled = store(map_batches(whole, "doc_id long, component long, keys array<long>, bits array<long>", spell), "spelled")
     rows = spelled.select("doc_id", "component", F.size("keys").cast("long").alias("n_shingles"), F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("df"))
+    hot = hot_keys(shared, ["key"], "df", spelled.agg(F.sum(F.size("keys"))).first()[0] or 0)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key"))
-    ranked = rows.join(shared, "key").withColumn("at", rank).where(f"at <= n_shingles - ceil({percent} * n_shingles / 100) + 1 and df > 1")
+    ranked = join_hot(rows, shared, ["key"], hot, "doc_id").withColumn("at", rank).where(f"at <= n_shingles - ceil({percent} * n_shingles / 100) + 1 and df > 1")
     prefix = store(ranked.select("key", "doc_id", "component", "n_shingles", "at"), "prefixes")
     maps = spelled.select("doc_id", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
-    keyed = prefix.join(largest(prefix, "key").where("others > 0"), "key").join(maps, "doc_id")
+    split = store(largest(prefix, "key").where("others > 0"), "split")
+    total = prefix.count()
+    keyed = join_hot(prefix, split, ["key"], hot_keys(split, ["key"], "k", total), "doc_id").join(maps, "doc_id")
     # of the smaller set a shorter prefix is enough: as long as among sets of its own size
     need = f"ceil({percent} * (p.n_shingles + q.n_shingles) / {100 + percent})"
     bound = f"{need} <= 1 + least(p.n_shingles - p.at, q.n_shingles - q.at)"
-    return across(keyed, f"{fits(percent)} and {bound}").distinct()
+    found = across(keyed, f"{fits(percent)} and {bound}", hot_keys(split, ["key"], "k", total, root=True), grid=True)
+    return found.distinct(), [spelled, prefix, split]
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,36 +253,44 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketch = store(map_batches(docs, "doc_id long, n_shingles long, low long, high long, bands array<long>, bits array<long>", lambda: sketcher(percent)), "sketch")
     sets = sketch.where("n_shingles > 0 and doc_id is not null")
-    same = store(sets.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "sets")
+    alike = ["low", "high", "n_shingles"]
+    same = store(sets.groupBy(alike).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("k")), "sets")
+    hot_sets = hot_keys(same, alike, "k", same.agg(F.sum("k")).first()[0] or 0)
     reps = sets.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
     # members of buckets with company; the hub is the least by a hash of both, so hubs differ between bands
     hubs = buckets.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("hub"), F.count("*").alias("k")).where("k > 1")
-    members = store(buckets.join(hubs, "bucket").select("bucket", "hub", "doc_id"), "buckets")
+    hubs = store(hubs, "hubs")
+    hot_buckets = hot_keys(hubs, ["bucket"], "k", hubs.agg(F.sum("k")).first()[0] or 0)
+    members = store(join_hot(buckets, hubs.drop("k"), ["bucket"], hot_buckets, "doc_id").select("bucket", "hub", "doc_id"), "buckets")
     pairs = store(members.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "pairs")
     involved = members.select("doc_id").distinct()
     texts = store(docs.where("text is not null").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = store(confirmed(pairs, texts, percent), "links")
+    sure = store(confirmed(pairs, texts, percent), "links")
     repeats = sets.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     # a doc_id with several sets links them
-    twice = sets.join(repeats, "doc_id", "left_semi").join(same, ["low", "high", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(twice)
+    twice = sets.join(repeats, "doc_id", "left_semi").join(same, alike).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = sure.unionByName(twice)
     labels = components(links)
 
     placed = members.select("bucket", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = largest(placed, "bucket").where("others > 0")
+    placed = placed.withColumnRenamed("bucket", "key")
+    split = store(largest(placed, "key").where("others > 0"), "split")
+    hot = hot_keys(split, ["key"], "k", members.count())
     bits = reps.select("doc_id", "n_shingles", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
-    left = store(placed.join(split, "bucket").join(bits, "doc_id"), "left")
+    left = store(join_hot(placed, split.drop("k"), ["key"], hot, "doc_id").join(bits, "doc_id"), "left")
     # a bucket with few members outside its largest component is searched by itself, all others by rare shingles
-    quiet = across(left.where(F.col("others") <= CROWD).withColumnRenamed("bucket", "key"), fits(percent))
+    quiet = across(left.where(F.col("others") <= CROWD), fits(percent), hot)
     crowd = left.where(F.col("others") > CROWD).select("doc_id", "component").distinct()
-    rest = quiet.unionByName(rare_pairs(crowd, texts, percent)).distinct().join(pairs, ["a", "b"], "left_anti")
+    rare, spelled = rare_pairs(crowd, texts, percent)
+    rest = store(quiet.unionByName(rare).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     more = store(confirmed(rest, texts, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    drop(hubs, members, pairs, texts, sure, split, left, *spelled, rest, more)
 
     reached = same.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    moved = reached.where("component_id <> rep or rep <> last").select("low", "high", "n_shingles", "component_id")
-    out = sketch.join(moved, ["low", "high", "n_shingles"], "left")
+    moved = reached.where("component_id <> rep or rep <> last").select(*alike, "component_id")
+    out = join_hot(sketch.select("doc_id", *alike), moved, alike, hot_sets, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
