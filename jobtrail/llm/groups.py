@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A group is dealt out under so many salts, so no task gets more than about that share of a hot one.
@@ -29,29 +29,27 @@ def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataF
     return r.join(b, same).select(*(F.col(f"r.{c}") for c in rows.columns), F.col("b.least").alias(name))
 
 
-def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int, root: bool = False) -> DataFrame:
-    """(keys, parts) of the hot keys of counts (keys, count), whose counts sum up to total at most.
+def parts_of(count: str, total: int, root: bool = False) -> Column:
+    """Parts of a key with `count` of `total` rows: one for each SHARE-th that it has, or the root of their number; one if it is not hot.
 
-    A key gets a part for each SHARE-th of the rows that it has, or the root of their number. The
-    parts of all hot keys are fewer than 2 * SHARE, so the list can be broadcast.
+    The parts of all hot keys are fewer than 2 * SHARE, and a key has no more parts than rows.
     """
     parts = F.least(F.ceil(F.col(count) * SHARE / F.lit(max(total, 1))), F.col(count))
-    parts = F.ceil(F.sqrt(parts)) if root else parts
-    return F.broadcast(counts.where(F.col(count) * SHARE > total).select(*keys, parts.cast("long").alias("parts")))
+    return F.when(F.col(count) * SHARE > total, F.ceil(F.sqrt(parts)) if root else parts).otherwise(1).cast("long")
 
 
-def dealt(rows: DataFrame, keys: list[str], hot: DataFrame, by: str, part: str = "part") -> DataFrame:
-    """rows with the part of their key that each falls into by a hash of column `by`; rows with a null key are spread as well."""
-    n = F.when(F.col(keys[0]).isNull(), F.lit(SHARE)).otherwise(F.coalesce("parts", F.lit(1)))
-    return rows.join(hot, keys, "left").withColumn(part, F.pmod(F.xxhash64(by), n)).drop("parts")
-
-
-def in_all_parts(rows: DataFrame, keys: list[str], hot: DataFrame, part: str = "part") -> DataFrame:
-    """rows once for each part of their key."""
-    n = F.coalesce("parts", F.lit(1).cast("long"))
-    return rows.join(hot, keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("parts")
+def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """(keys, parts) of the hot keys of counts (keys, count), whose counts sum up to total at most; short enough to be broadcast."""
+    return F.broadcast(counts.where(F.col(count) * SHARE > total).select(*keys, parts_of(count, total).alias("parts")))
 
 
 def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """rows joined with one, which has few rows of a key: hot keys of rows are dealt to parts by column `by`."""
-    return dealt(rows, keys, hot, by).join(in_all_parts(one, keys, hot), [*keys, "part"], how).drop("part")
+    """rows joined with one, which has few rows of a key: hot keys of rows are dealt to parts by a hash of column `by`.
+
+    Rows with a null key, which join with nothing, are spread as well.
+    """
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    own = F.when(F.col(keys[0]).isNull(), F.lit(SHARE)).otherwise(parts)
+    dealt = rows.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), own)).drop("parts")
+    each = one.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return dealt.join(each, [*keys, "part"], how).drop("part")

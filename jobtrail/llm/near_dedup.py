@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm import words as W
 from jobtrail.llm.common import bounded_batches, drop, map_batches, store, texts_of
-from jobtrail.llm.groups import dealt, hot_keys, in_all_parts, join_hot
+from jobtrail.llm.groups import SALTS, hot_keys, join_hot, parts_of
 
 SHINGLE, PERCENT = 5, 85
 #: Bins of a sketch; a pair at the threshold meets in no band with at most this probability.
@@ -180,17 +180,18 @@ def largest(placed: DataFrame, key: str) -> DataFrame:
     return sizes.groupBy(key).agg(most, (F.sum("k") - F.max("k")).alias("others"), F.sum("k").alias("k"))
 
 
-def across(rows: DataFrame, fit: str, hot: DataFrame, grid: bool = False) -> DataFrame:
-    """Pairs (a, b) of rows (key, doc_id, component, largest, ...) of one key and two components that fit.
+def across(rows: DataFrame, fit: str, grid: bool = False) -> DataFrame:
+    """Pairs (a, b) of rows (key, doc_id, component, largest, parts, ...) of one key and two components that fit.
 
     One of the two is outside the key's largest component, so only such rows meet all rows of their key.
-    All rows of a hot key are dealt to parts, those outside meet each part; in a grid both are dealt.
+    All rows of a key are dealt to its parts, those outside meet each part; in a grid both are dealt.
     """
     apart = "p.key = q.key and p.part = q.part and p.component <> q.component and (q.component = q.largest or p.doc_id < q.doc_id)"
-    outside, whole = in_all_parts(rows.where("component <> largest"), ["key"], hot), dealt(rows, ["key"], hot, "doc_id")
+    own, each = F.expr("pmod(xxhash64(doc_id), parts)"), F.expr("explode(sequence(0L, parts - 1))")
+    outside, whole = rows.where("component <> largest").withColumn("part", each), rows.withColumn("part", own)
     if grid:
         apart += " and p.line = q.line"
-        outside, whole = dealt(outside, ["key"], hot, "doc_id", "line"), in_all_parts(whole, ["key"], hot, "line")
+        outside, whole = outside.withColumn("line", own), whole.withColumn("line", each)
     found = outside.alias("p").join(whole.alias("q"), F.expr(f"{apart} and {fit}"))
     return found.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
 
@@ -222,18 +223,23 @@ def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFr
     spelled = store(map_batches(whole, "doc_id long, component long, keys array<long>, bits array<long>", spell), "spelled")
     rows = spelled.select("doc_id", "component", F.size("keys").cast("long").alias("n_shingles"), F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("df"))
-    hot = hot_keys(shared, ["key"], "df", spelled.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    often = hot_keys(shared, ["key"], "df", spelled.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    hot = F.col("key").isin([r.key for r in often.collect()])  # fewer than SHARE
+    salts = F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))
+    salted = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    known = salted.join(shared.withColumn("salt", F.explode(salts)), ["key", "salt"])
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key"))
-    ranked = join_hot(rows, shared, ["key"], hot, "doc_id").withColumn("at", rank).where(f"at <= n_shingles - ceil({percent} * n_shingles / 100) + 1 and df > 1")
+    ranked = known.withColumn("at", rank).where(f"at <= n_shingles - ceil({percent} * n_shingles / 100) + 1 and df > 1")
     prefix = store(ranked.select("key", "doc_id", "component", "n_shingles", "at"), "prefixes")
     maps = spelled.select("doc_id", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
-    split = store(largest(prefix, "key").where("others > 0"), "split")
     total = prefix.count()
-    keyed = join_hot(prefix, split, ["key"], hot_keys(split, ["key"], "k", total), "doc_id").join(maps, "doc_id")
+    split = store(largest(prefix, "key").where("others > 0").withColumn("p", parts_of("k", total, root=True)), "split")
+    hot = hot_keys(split, ["key"], "k", total)
+    keyed = join_hot(prefix, split.drop("k"), ["key"], hot, "doc_id").withColumnRenamed("p", "parts").join(maps, "doc_id")
     # of the smaller set a shorter prefix is enough: as long as among sets of its own size
     need = f"ceil({percent} * (p.n_shingles + q.n_shingles) / {100 + percent})"
     bound = f"{need} <= 1 + least(p.n_shingles - p.at, q.n_shingles - q.at)"
-    found = across(keyed, f"{fits(percent)} and {bound}", hot_keys(split, ["key"], "k", total, root=True), grid=True)
+    found = across(keyed, f"{fits(percent)} and {bound}", grid=True)
     return found.distinct(), [spelled, prefix, split]
 
 
@@ -275,12 +281,13 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     placed = members.select("bucket", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = placed.withColumnRenamed("bucket", "key")
-    split = store(largest(placed, "key").where("others > 0"), "split")
-    hot = hot_keys(split, ["key"], "k", members.count())
+    total = members.count()
+    split = store(largest(placed, "key").where("others > 0").withColumn("p", parts_of("k", total)), "split")
+    hot = hot_keys(split, ["key"], "k", total)
     bits = reps.select("doc_id", "n_shingles", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
-    left = store(join_hot(placed, split.drop("k"), ["key"], hot, "doc_id").join(bits, "doc_id"), "left")
+    left = store(join_hot(placed, split.drop("k"), ["key"], hot, "doc_id").withColumnRenamed("p", "parts").join(bits, "doc_id"), "left")
     # a bucket with few members outside its largest component is searched by itself, all others by rare shingles
-    quiet = across(left.where(F.col("others") <= CROWD), fits(percent), hot)
+    quiet = across(left.where(F.col("others") <= CROWD), fits(percent))
     crowd = left.where(F.col("others") > CROWD).select("doc_id", "component").distinct()
     rare, spelled = rare_pairs(crowd, texts, percent)
     rest = store(quiet.unionByName(rare).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")

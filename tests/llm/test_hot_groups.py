@@ -22,8 +22,8 @@ def test_join_of_hot_keys_is_a_plain_join(spark):
         dealt = groups.join_hot(rows, one, ["key"], hot, "doc_id", how).select("doc_id", "key", "name")
         plain = rows.join(one, "key", how).select("doc_id", "key", "name")
         assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
-    sizes = groups.dealt(rows, ["key"], hot, "doc_id").groupBy("key", "part").count()
-    assert sizes.agg(F.max("count")).first()[0] < 25  # of 2,000 rows of each of the two groups
+    plan = groups.join_hot(rows, one.hint("merge"), ["key"], hot, "doc_id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and ", part" in plan  # the shuffle is by key and part
 
 
 def test_parts_of_all_hot_keys_are_few(spark):
@@ -37,9 +37,10 @@ def test_pairs_across_components_of_hot_keys(spark):
     rows = [(7 if k % 3 else k, k, k % 5 and k // 40, 0) for k in range(400)]
     df = spark.createDataFrame(rows, "key long, doc_id long, component long, largest long")
     want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and (a[1] + b[1]) % 7 == 0)
+    sizes = df.groupBy("key").agg(F.count("*").alias("k"))
     for grid in (False, True):
-        hot = groups.hot_keys(df.groupBy("key").agg(F.count("*").alias("k")), ["key"], "k", len(rows), root=grid)
-        got = near_dedup.across(df, "(p.doc_id + q.doc_id) % 7 = 0", hot, grid).collect()
+        dealt = df.join(sizes.withColumn("parts", groups.parts_of("k", len(rows), grid)), "key")
+        got = near_dedup.across(dealt, "(p.doc_id + q.doc_id) % 7 = 0", grid).collect()
         assert sorted(map(tuple, got)) == want
 
 
