@@ -18,7 +18,8 @@
    as their parity maps in bits.
 
 Every join on a key that many rows may share (bucket, hub, centre, shingle, equal sets) deals keys
-with more than a thousandth of the rows to parts, so no task gets a whole hot group.
+with more than a thousandth of the rows to parts, so no task gets a whole hot group; only the
+sets of doc_ids that repeat with different texts are joined plainly.
 
 Bands and bounds follow from the threshold. With 28 bands of 6 bins a pair of similarity
 0.85 meets in no bucket with probability 2e-6, with 33 bands of 5 bins one of 0.8.
