@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SALTS = 256
 #: A key with more than one SHARE-th of all rows is hot; fewer than SHARE keys can be.
 SHARE = 1000
+#: A group of fewer rows is small enough for any task, whatever its share.
+SMALL = 64
 
 
 def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -43,13 +45,28 @@ def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int) -> Data
     return F.broadcast(counts.where(F.col(count) * SHARE > total).select(*keys, parts_of(count, total).alias("parts")))
 
 
-def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def listed_hot_keys(counts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame | None:
+    """hot_keys() of SMALL rows or more, looked up now and fewer than SHARE; None if there are none.
+
+    A plan that reads the list has neither the counts nor their shuffle in it, and one without hot keys has
+    no broadcast: the driver holds each plan and every broadcast of it while it runs.
+    """
+    if total < SMALL:
+        return None
+    found = hot_keys(counts.where(F.col(count) >= SMALL), keys, count, total).toArrow()
+    return F.broadcast(counts.sparkSession.createDataFrame(found)) if found.num_rows else None
+
+
+def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
     """rows joined with one, which has few rows of a key: hot keys of rows are dealt to parts by a hash of column `by`.
 
-    Rows with a null key, which join with nothing, are spread as well.
+    Rows with a null key, which join with nothing, are spread as well. Without hot keys the others stay whole.
     """
+    if hot is None and how == "inner":
+        return rows.join(one, keys)
+    with_parts = (lambda df: df.withColumn("parts", F.lit(None).cast("long"))) if hot is None else (lambda df: df.join(hot, keys, "left"))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     own = F.when(F.col(keys[0]).isNull(), F.lit(SHARE)).otherwise(parts)
-    dealt = rows.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), own)).drop("parts")
-    each = one.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    dealt = with_parts(rows).withColumn("part", F.pmod(F.xxhash64(by), own)).drop("parts")
+    each = with_parts(one).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     return dealt.join(each, [*keys, "part"], how).drop("part")

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.llm import words as W
-from jobtrail.llm.common import bounded_batches, drop, map_batches, store, texts_of
-from jobtrail.llm.groups import SALTS, hot_keys, join_hot, parts_of
+from jobtrail.llm.common import bounded_batches, drop, map_batches, release, store, texts_of
+from jobtrail.llm.groups import SALTS, SMALL, hot_keys, join_hot, listed_hot_keys, parts_of
 
 SHINGLE, PERCENT = 5, 85
 #: Bins of a sketch; a pair at the threshold meets in no band with at most this probability.
@@ -143,7 +143,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     total = pairs.count()
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    hot_a, hot_b = (hot_keys(pairs.groupBy(c).agg(F.count("*").alias("k")), [c], "k", total) for c in "ab")
+    hot_a, hot_b = (listed_hot_keys(pairs.groupBy(c).agg(F.count("*").alias("k")), [c], "k", total) for c in "ab")
     full = join_hot(join_hot(pairs, one, ["b"], hot_b, "a"), two, ["a"], hot_a, "b").select("a", "text_a", "b", "text_b")
     return map_batches(full, "a long, b long, linked boolean", lambda: judge(percent)).where("linked").select("a", "b")
 
@@ -160,16 +160,17 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         around = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
         least = around.select("a", F.least("m", "a").alias("m"))
-        large = join_hot(both, least, ["a"], hot_keys(around, ["a"], "k", total), "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = store(join_hot(both, least, ["a"], listed_hot_keys(around, ["a"], "k", total), "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
         around = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
-        small = join_hot(large, around.select("a", "m"), ["a"], hot_keys(around, ["a"], "k", total), "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = join_hot(large, around.select("a", "m"), ["a"], listed_hot_keys(around, ["a"], "k", total), "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         after = store(small, "edges")
         # a forest of stars: nobody has two centres, and no centre has one
         open_ends = after.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
         centres = after.select("b").distinct()
         done = open_ends.where("lo <> hi").isEmpty() and centres.join(open_ends.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
-        drop(edges)
+        drop(edges, large)
         edges = after
+        release(edges.sparkSession)
         if done:
             return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
 
@@ -224,7 +225,7 @@ def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFr
     spelled = store(map_batches(whole, "doc_id long, component long, keys array<long>, bits array<long>", spell), "spelled")
     rows = spelled.select("doc_id", "component", F.size("keys").cast("long").alias("n_shingles"), F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("df"))
-    often = hot_keys(shared, ["key"], "df", spelled.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    often = hot_keys(shared.where(F.col("df") >= SMALL), ["key"], "df", spelled.agg(F.sum(F.size("keys"))).first()[0] or 0)
     hot = F.col("key").isin([r.key for r in often.collect()])  # fewer than SHARE
     salts = F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))
     salted = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
@@ -235,7 +236,7 @@ def rare_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFr
     maps = spelled.select("doc_id", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
     total = prefix.count()
     split = store(largest(prefix, "key").where("others > 0").withColumn("p", parts_of("k", total, root=True)), "split")
-    hot = hot_keys(split, ["key"], "k", total)
+    hot = listed_hot_keys(split, ["key"], "k", total)
     keyed = join_hot(prefix, split.drop("k"), ["key"], hot, "doc_id").withColumnRenamed("p", "parts").join(maps, "doc_id")
     # of the smaller set a shorter prefix is enough: as long as among sets of its own size
     need = f"ceil({percent} * (p.n_shingles + q.n_shingles) / {100 + percent})"
@@ -262,18 +263,19 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = sketch.where("n_shingles > 0 and doc_id is not null")
     alike = ["low", "high", "n_shingles"]
     same = store(sets.groupBy(alike).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("k")), "sets")
-    hot_sets = hot_keys(same, alike, "k", same.agg(F.sum("k")).first()[0] or 0)
+    hot_sets = listed_hot_keys(same, alike, "k", same.agg(F.sum("k")).first()[0] or 0)
     reps = sets.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
     # members of buckets with company; the hub is the least by a hash of both, so hubs differ between bands
     hubs = buckets.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("hub"), F.count("*").alias("k")).where("k > 1")
     hubs = store(hubs, "hubs")
-    hot_buckets = hot_keys(hubs, ["bucket"], "k", hubs.agg(F.sum("k")).first()[0] or 0)
+    hot_buckets = listed_hot_keys(hubs, ["bucket"], "k", hubs.agg(F.sum("k")).first()[0] or 0)
     members = store(join_hot(buckets, hubs.drop("k"), ["bucket"], hot_buckets, "doc_id").select("bucket", "hub", "doc_id"), "buckets")
     pairs = store(members.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "pairs")
     involved = members.select("doc_id").distinct()
     texts = store(docs.where("text is not null").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     sure = store(confirmed(pairs, texts, percent), "links")
+    release(spark)
     repeats = sets.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     # a doc_id with several sets links them
     twice = sets.join(repeats, "doc_id", "left_semi").join(same, alike).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -284,18 +286,22 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = placed.withColumnRenamed("bucket", "key")
     total = members.count()
     split = store(largest(placed, "key").where("others > 0").withColumn("p", parts_of("k", total)), "split")
-    hot = hot_keys(split, ["key"], "k", total)
+    hot = listed_hot_keys(split, ["key"], "k", total)
     bits = reps.select("doc_id", "n_shingles", *(F.col("bits")[k].alias(f"m{k}") for k in range(PARITY)))
     left = store(join_hot(placed, split.drop("k"), ["key"], hot, "doc_id").withColumnRenamed("p", "parts").join(bits, "doc_id"), "left")
     # a bucket with few members outside its largest component is searched by itself, all others by rare shingles
-    quiet = across(left.where(F.col("others") <= CROWD), fits(percent))
+    found, spelled = across(left.where(F.col("others") <= CROWD), fits(percent)), []
     crowd = left.where(F.col("others") > CROWD).select("doc_id", "component").distinct()
-    rare, spelled = rare_pairs(crowd, texts, percent)
-    rest = store(quiet.unionByName(rare).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not crowd.isEmpty():
+        rare, spelled = rare_pairs(crowd, texts, percent)
+        found = found.unionByName(rare)
+    release(spark)
+    rest = store(found.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     more = store(confirmed(rest, texts, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     drop(hubs, members, pairs, texts, sure, split, left, *spelled, rest, more)
+    release(spark)
 
     reached = same.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     moved = reached.where("component_id <> rep or rep <> last").select(*alike, "component_id")

@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SAMPLE = 12_000
 #: Words and phrases of clean sentences that the first round learns from, taken by hash; landmarks of either kind.
 CLEAN_STRINGS, LANDMARKS = 6000, 128
 ROUNDS = 3
+#: Strings mapped to landmarks, or rows of an SVM, that are worked on at once on the driver.
+ROWS = 2048
 DECAY, REACH = 0.6, 4
 #: Words of more letters are judged by windows of so many too, half of it apart.
 WINDOW = 16
@@ -130,21 +133,30 @@ def kernel(one: list[tuple], two: list[tuple]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM with squared hinge loss, each row with its own cost; by Newton steps."""
-    z = np.column_stack([x, np.ones(len(x), x.dtype)])
+    """Weights and bias of a linear SVM with squared hinge loss, each row with its own cost; by Newton steps.
+
+    Beside x itself there are only copies of ROWS rows at a time.
+    """
+    parts = [slice(k, k + ROWS) for k in range(0, len(x), ROWS)]
     own = np.append(np.ones(x.shape[1]), 1e-9)  # the bias is free
-    w = np.zeros(z.shape[1])
+    w = np.zeros(len(own))
+
+    def gaps(w: np.ndarray) -> np.ndarray:
+        return 1 - y * (np.concatenate([x[p] @ w[:-1] for p in parts]) + w[-1])
 
     def loss(w: np.ndarray) -> float:
-        return float((own * w * w).sum() / 2 + (c * np.maximum(0, 1 - y * (z @ w)) ** 2).sum())
+        return float((own * w * w).sum() / 2 + (c * np.maximum(0, gaps(w)) ** 2).sum())
 
     for _ in range(steps):
-        gap = 1 - y * (z @ w)
-        on = gap > 0
-        rows = z[on]
-        slope = own * w - 2 * rows.T @ (c * y * gap)[on]
-        rows *= np.sqrt(c[on, None]).astype(rows.dtype)
-        move = np.linalg.solve(np.diag(own) + 2.0 * (rows.T @ rows), slope)
+        gap = gaps(w)
+        slope, bend = own * w, np.diag(own)
+        for p in parts:
+            on = gap[p] > 0
+            rows = np.column_stack([x[p][on], np.ones(on.sum(), x.dtype)])
+            slope -= 2 * rows.T @ (c[p] * y[p] * gap[p])[on]
+            rows *= np.sqrt(c[p][on, None]).astype(rows.dtype)
+            bend += 2.0 * (rows.T @ rows)
+        move = np.linalg.solve(bend, slope)
         now, rate = loss(w), 1.0
         while rate > 1e-3 and loss(w - rate * move) > now - 0.1 * rate * float(slope @ move):
             rate /= 2
@@ -178,14 +190,16 @@ class Model:
 
 def learn_strings(toxic: dict[str, float], clean: dict[str, float], alphabet: str, cost: float = 1000.0) -> Model | None:
     """Fit the SVM on strings with weights; each kind has the same share of the cost."""
-    known = [(w, s, v) for strings, s in ((toxic, 1.0), (clean, -1.0)) for t, w in sorted(strings.items()) for v in vectors(t, alphabet)]
-    known.sort(key=lambda x: -x[0])
-    y = np.array([s for _, s, _ in known])
-    if not (y > 0).any() or not (y < 0).any():
-        return None
+    known = sorted(((w, s, t) for strings, s in ((toxic, 1.0), (clean, -1.0)) for t, w in sorted(strings.items())), key=lambda x: -x[0])
+
+    def spelled(texts: Iterable[tuple]) -> Iterator[tuple]:
+        return ((w, s, v) for w, s, t in texts for v in vectors(t, alphabet))
+
     marks: list[tuple] = []
     for sign in (1, -1):  # landmarks differ from each other
-        first = [v for _, s, v in known if s == sign][: 4 * LANDMARKS]
+        first = [v for *_, v in islice(spelled(x for x in known if x[1] == sign), 4 * LANDMARKS)]
+        if not first:
+            return None
         alike, own = kernel(first, first), []
         for i in range(len(first)):
             if len(own) < LANDMARKS and (not own or alike[i, own].max() < 0.9):
@@ -193,8 +207,14 @@ def learn_strings(toxic: dict[str, float], clean: dict[str, float], alphabet: st
         marks += [first[i] for i in own]
     value, base = np.linalg.eigh(kernel(marks, marks) + 1e-6 * np.eye(len(marks)))
     root = base @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ base.T
-    x = kernel([v for _, _, v in known], marks) @ root.astype(np.float32)
-    share = np.array([w for w, _, _ in known], float)
+    # room for all windows of all strings; what stays unused is never touched
+    x = np.empty((sum(1 + len(t) // (WINDOW // 2) for *_, t in known), len(marks)), np.float32)
+    y, share, rows = [], [], spelled(known)
+    while block := list(islice(rows, ROWS)):
+        x[len(y) : len(y) + len(block)] = kernel([v for *_, v in block], marks) @ root.astype(np.float32)
+        y += [s for _, s, _ in block]
+        share += [w for w, *_ in block]
+    x, y, share = x[: len(y)], np.array(y), np.array(share, float)
     share = np.where(y > 0, share / share[y > 0].sum(), share / share[y < 0].sum()) * cost
     w, bias = svm(x, y, share)
     per = np.zeros(LETTERS**3)
